@@ -1,14 +1,18 @@
 """Operators for large training-data pipelines; nothing outside this folder imports them."""
 
+from threadloom.llm import packing as _packing
 from threadloom.llm import quality_rules as _quality_rules
 from threadloom.llm import secret_scan as _secret_scan
 from threadloom.llm import simhash_dedup as _simhash_dedup
+from threadloom.llm import token_counts as _token_counts
 
 #: name -> (spark, sf_dir) -> DataFrame
 QUERIES = {
     "op1_secret_scan": _secret_scan.op1_secret_scan,
     "op5_simhash_dedup": _simhash_dedup.op5_simhash_dedup,
+    "op2_token_counts": _token_counts.op2_token_counts,
     "op7_quality_rules": _quality_rules.op7_quality_rules,
+    "op8_best_fit_packing": _packing.op8_best_fit_packing,
 }
 
 #: name -> DuckDB SQL with the same rows
