@@ -1,5 +1,8 @@
 """Operators for large training-data pipelines; nothing outside this folder imports them."""
 
+from threadloom.llm import chat_format as _chat_format
+from threadloom.llm import license_scan as _license_scan
+from threadloom.llm import mixing as _mixing
 from threadloom.llm import packing as _packing
 from threadloom.llm import quality_rules as _quality_rules
 from threadloom.llm import secret_scan as _secret_scan
@@ -11,11 +14,15 @@ QUERIES = {
     "op1_secret_scan": _secret_scan.op1_secret_scan,
     "op5_simhash_dedup": _simhash_dedup.op5_simhash_dedup,
     "op2_token_counts": _token_counts.op2_token_counts,
+    "op4_license_scan": _license_scan.op4_license_scan,
+    "op6_chat_format": _chat_format.op6_chat_format,
     "op7_quality_rules": _quality_rules.op7_quality_rules,
+    "op10_mixing": _mixing.op10_mixing,
     "op8_best_fit_packing": _packing.op8_best_fit_packing,
 }
 
 #: name -> DuckDB SQL with the same rows
 ORACLES = {
+    "op6_chat_format": _chat_format.ORACLE,
     "op7_quality_rules": _quality_rules.ORACLE,
 }
