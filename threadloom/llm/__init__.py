@@ -4,25 +4,30 @@ from threadloom.llm import chat_format as _chat_format
 from threadloom.llm import license_scan as _license_scan
 from threadloom.llm import mixing as _mixing
 from threadloom.llm import packing as _packing
+from threadloom.llm import quality_classifier as _quality_classifier
 from threadloom.llm import quality_rules as _quality_rules
 from threadloom.llm import secret_scan as _secret_scan
 from threadloom.llm import simhash_dedup as _simhash_dedup
 from threadloom.llm import token_counts as _token_counts
+from threadloom.llm import topk_search as _topk_search
 
 #: name -> (spark, sf_dir) -> DataFrame
 QUERIES = {
     "op1_secret_scan": _secret_scan.op1_secret_scan,
-    "op5_simhash_dedup": _simhash_dedup.op5_simhash_dedup,
     "op2_token_counts": _token_counts.op2_token_counts,
+    "op3_quality_classifier": _quality_classifier.op3_quality_classifier,
     "op4_license_scan": _license_scan.op4_license_scan,
+    "op5_simhash_dedup": _simhash_dedup.op5_simhash_dedup,
     "op6_chat_format": _chat_format.op6_chat_format,
     "op7_quality_rules": _quality_rules.op7_quality_rules,
-    "op10_mixing": _mixing.op10_mixing,
     "op8_best_fit_packing": _packing.op8_best_fit_packing,
+    "op9_topk_search": _topk_search.op9_topk_search,
+    "op10_mixing": _mixing.op10_mixing,
 }
 
 #: name -> DuckDB SQL with the same rows
 ORACLES = {
     "op6_chat_format": _chat_format.ORACLE,
     "op7_quality_rules": _quality_rules.ORACLE,
+    "op9_topk_search": _topk_search.ORACLE,
 }
