@@ -1,4 +1,5 @@
 """All registered queries with their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from threadloom.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
