@@ -21,7 +21,7 @@ def incidence(g: Graph, keywords: bool = False) -> DataFrame:
     return ents.unionByName(keys.select(F.col("msg_id").alias("row"), F.col("keyword_id").alias("col"))).distinct()
 
 
-def svd(cells: DataFrame, dim: int = 32, rounds: int = 8, seed: int = 42, scaled: bool = False) -> tuple[DataFrame, np.ndarray]:
+def svd(cells: DataFrame, dim: int = 32, rounds: int = 4, seed: int = 42, scaled: bool = False) -> tuple[DataFrame, np.ndarray]:
     """((row, vector), singular values) of a sparse (row, col[, value]) matrix by randomised subspace iteration.
 
     Only (columns x dim) products live on the driver side of the method, as DataFrames keyed by column; each round is two
@@ -65,8 +65,7 @@ def svd(cells: DataFrame, dim: int = 32, rounds: int = 8, seed: int = 42, scaled
     from threadloom.session import durable
 
     for _ in range(rounds):
-        y = durable(orthonormal(durable(times(basis, "col", "row")), "row"))
-        basis = durable(orthonormal(durable(times(y, "row", "col")), "col"))
+        basis = durable(orthonormal(durable(times(times(basis, "col", "row"), "row", "col")), "col"))
     u = durable(times(basis, "col", "row"))
     vals, vecs = np.linalg.eigh(gram(u, wide))
     order = np.argsort(-vals)[:k]

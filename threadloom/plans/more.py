@@ -53,9 +53,7 @@ _TF = (
 table_query("nlp_tfidf_search", _TF + "select doc, round(dot / (n * (select sqrt(sum(q * q)) from q)), 6) as score from (select doc, sum(w * q) as dot from w join q using (term) group by 1) join l using (doc) where round(dot / (n * (select sqrt(sum(q * q)) from q)), 6) >= 0.05 order by 2 desc, 1 limit 20")(
     lambda s, d: X.tfidf_search(_docs(s, d).select(F.col("doc_id").alias("doc"), "text"), "tion released license")
 )
-graph_query("nlp_tfidf", "select doc, term, weight from wl")(
-    lambda g: X.tfidf(g.of("Message").select(F.col("id").alias("doc"), "text"))
-)
+table_query("nlp_tfidf", "select doc, term, weight from wl", True)(lambda s, d: X.tfidf(views.chat_messages(s, d).select(F.col("id").alias("doc"), "text")))
 
 # vectors
 _COS = "(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))))"
@@ -194,7 +192,7 @@ table_query("snk_openai", "select count(distinct conv_id) as n from conversation
 table_query("snk_anthropic", "select count(distinct conv_id) as n from conversations where role <> 'system'")(lambda s, d: K.to_anthropic(_convs(s, d)).agg(F.count_distinct("id").alias("n")))
 table_query("snk_gemini", "select count(*) as n from conversations where role <> 'system'")(lambda s, d: K.to_gemini(_convs(s, d)).agg(F.count(F.lit(1)).alias("n")))
 table_query("win_prev_chain", "select 'c' || conv_id as id, count(*)::int + 1 as nodes from conversations where role <> 'system' group by 1")(lambda s, d: K.to_openai(_convs(s, d)).select("id", F.size(F.json_object_keys(F.get_json_object("doc", "$.mapping"))).alias("nodes")))
-graph_query("snk_gexf", "select (select count(*) from nodes) as nodes, (select count(*) from contains) + (select count(*) from replies) + (select count(*) from mentions) + 2 * (select count(*) from cooc) + (select count(*) from keywords) as edges")(lambda g: K.gexf(g).agg(F.count_if("part = 3").alias("nodes"), F.count_if("part = 5").alias("edges")))
+graph_query("snk_gexf", "select (select count(*) from nodes) as nodes, (select count(*) from contains) + (select count(*) from replies) + (select count(*) from mentions) + 2 * (select count(*) from cooc) + (select count(*) from keywords) as edges")(lambda g: K.gexf(g).agg(F.count_if(F.col("part") == 3).alias("nodes"), F.count_if(F.col("part") == 5).alias("edges")))
 graph_query("snk_graph_dict", "select id, label, nullif(name, '') as name from nodes")(lambda g: K.graph_dict(g).select("id", F.get_json_object("attrs", "$.label").alias("label"), F.get_json_object("attrs", "$.name").alias("name")))
 graph_query("snk_csv_timeline")(lambda g: T.timeline_wide(g))
 graph_query("snk_console", "select role, count(*) as n, repeat('#', round(count(*) * 40 / (select max(n) from (select count(*) as n from msgs group by role)))::int) as bar from msgs group by 1")(lambda g: K.bars(g.of("Message").groupBy("role").agg(F.count(F.lit(1)).alias("n")), "n"))
