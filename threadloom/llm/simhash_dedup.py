@@ -163,7 +163,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     found = materialise(found)
     same = docs["doc_id"].eqNullSafe(found["doc_id"])
-    kept = docs.join(found, same).select(*[docs[c] for c in docs.columns], found["n"].alias("_rows"))
+    # always by key: a plan that broadcasts small inputs says nothing about large ones
+    kept = docs.join(found.hint("merge"), same).select(*[docs[c] for c in docs.columns], found["n"].alias("_rows"))
     if found.where("n > 1").isEmpty():
         return kept.select(*[kept[c] for c in docs.columns])
     once = kept.where("_rows > 1").dropDuplicates(["doc_id"])
