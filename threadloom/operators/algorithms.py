@@ -194,7 +194,7 @@ def topic_clusters(g: Graph, least: int = 2, min_size: int = 3, top: int = 10) -
 
 def entity_domains(g: Graph, least: int = 2) -> DataFrame:
     """(id, domain): the first three member names of an entity's community."""
-    comm = communities(g, least, 2).join(g.names.select("id", "name"), "id")
+    comm = communities(g, least, 2).join(g.names.select("id", "name"), "id", "left").withColumn("name", F.coalesce("name", "id"))
     r = comm.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy("id"))).where("r <= 3")
     named = r.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("domain"))
     return comm.join(named, "community").select("id", "domain")
