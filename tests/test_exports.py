@@ -135,7 +135,7 @@ def test_gexf(spark, tmp_path):
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    row = {"id": "m1", "role": "user", "text": "Meet Alice", "conversation_id": "c", "lang": "en"}
+    row = {"id": "m1", "role": "user", "text": "see Alice", "conversation_id": "c", "lang": "en"}
     (source / "1.json").write_text(json.dumps(row))
     N.watch(spark, str(source), str(tmp_path / "g"), str(tmp_path / "ck")).awaitTermination()
     (source / "2.json").write_text(json.dumps(row | {"id": "m2", "parent": "m1"}) + "\n" + json.dumps(row))
@@ -143,7 +143,7 @@ def test_stream(spark, tmp_path):
     from threadloom.graph import Graph
 
     g = Graph.read(spark, str(tmp_path / "g/v1"))
-    assert g.of("Message").count() == 2 and g.mentions.count() == 2
+    assert g.of("Message").count() == 2 and g.mentions.count() == 2 and g.replies.count() == 1
     (tmp_path / "ev").mkdir()
     events = spark.createDataFrame([("2024-01-01 01:00:00", "a", "t"), ("2024-01-01 02:00:00", "a", "t"), ("2024-01-02 02:00:00", "b", "u")], "t string, event_type string, text string").withColumn("ts", F.to_timestamp("t")).drop("t")
     events.write.parquet(str(tmp_path / "ev/x"))

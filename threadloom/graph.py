@@ -110,9 +110,12 @@ def pairs_of(mentions: DataFrame) -> DataFrame:
 
 
 def build(
-    messages: DataFrame, extract: Extractor = capitalised_terms, langs: tuple[str, ...] | None = None, per_message: int = 5
+    messages: DataFrame, extract: Extractor = capitalised_terms, langs: tuple[str, ...] | None = None, per_message: int = 5, earlier: DataFrame | None = None
 ) -> Graph:
-    """The graph of a message table (``MESSAGE``). Replies need a known parent; texts are cut to 1000 characters in nodes."""
+    """The graph of a message table (``MESSAGE``). Texts are cut to 1000 characters in nodes.
+
+    Replies need a parent among the messages or in ``earlier`` (id).
+    """
     m = messages.where(F.col("lang").isin(*langs)) if langs else messages
     found = mentions_of(m, extract)
     words = tfidf_keywords(m.select(F.col("id").alias("doc"), "text"), per_doc=per_message)
@@ -135,6 +138,8 @@ def build(
     )
     mentions = found.select("msg_id", "entity_id")
     known = m.select(F.col("id").alias("parent_id"))
+    if earlier is not None:
+        known = known.unionAll(earlier.select("id"))
     replies = m.where("parent is not null").select(F.col("parent").alias("parent_id"), F.col("id").alias("child_id"))
     return Graph(
         nodes=all_nodes,

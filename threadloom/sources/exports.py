@@ -262,11 +262,13 @@ PARSERS = {
 
 def parse(files: DataFrame) -> DataFrame:
     """Every file by the parser of its format; unknown formats and summaries give nothing."""
-    known = files.withColumn("format", detect_format(F.col("raw"), F.col("path")))
+    # the place column keeps the format's many looks at ``raw`` from being pushed into whatever made ``raw``
+    placed = files.select("path", "raw", F.monotonically_increasing_id().alias("_at"))
+    known = placed.withColumn("format", detect_format(F.col("raw"), F.col("path"))).where("_at >= 0")
     out = None
     for f in dict.fromkeys(PARSERS.values()):
         names = [k for k, v in PARSERS.items() if v is f]
-        part = f(known.where(F.col("format").isin(*names)).drop("format"))
+        part = f(known.where(F.col("format").isin(*names)).select("path", "raw"))
         out = part if out is None else out.unionByName(part)
     return out
 

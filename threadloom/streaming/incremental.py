@@ -24,7 +24,7 @@ def page(messages: DataFrame, offset: int = 0, limit: int | None = None) -> Data
 def extend(graph: Graph, processed: DataFrame, messages: DataFrame) -> tuple[Graph, DataFrame]:
     """The graph with the new messages and the ids processed by then."""
     new = unprocessed(messages, processed)
-    return merge(graph, build(new)), processed.select("id").unionByName(new.select("id")).distinct()
+    return merge(graph, build(new, earlier=processed)), processed.select("id").unionByName(new.select("id")).distinct()
 
 
 def watch(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
