@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, row string, words string, key string, code long, piece string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, row string, words string, key string, code long, piece string, _rows string, _row long, doc string"
 
 
 def _prose(rng: random.Random, n: int) -> str:
@@ -20,9 +20,9 @@ def rows():
         "Released under the MIT License. Apache license, general public LICENSE mit license", "a<|endoftext|>b 日本語 ١٢٣ ½", "tab\x0bvt\x0cff\rcr \x85 \xa0 　 end",
         "key aB3dE5fG7hI9jK1lM2nO4pQ6 and example1example2example3 done",
     ]
-    out = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["src0", "src1", None]), len(t or ""), i, "r", "w", "k", 1, "p") for i, t in enumerate(texts)]
-    out += [out[4], (None, base, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None)]
-    out += [(100 + i, _prose(rng, rng.randint(30, 300)), "en", f"src{i % 3}", 0, 0, "", "", "", 0, "") for i in range(40)]
+    out = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["src0", "src1", None]), len(t or ""), i, "r", "w", "k", 1, "p", "q", 2, "d") for i, t in enumerate(texts)]
+    out += [out[4], (None, base, *[None] * 12), (None, *[None] * 13)]
+    out += [(100 + i, _prose(rng, rng.randint(30, 300)), "en", f"src{i % 3}", 0, 0, "", "", "", 0, "", "", 0, "") for i in range(40)]
     return out
 
 

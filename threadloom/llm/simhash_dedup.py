@@ -164,8 +164,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialise(found)
     same = docs["doc_id"].eqNullSafe(found["doc_id"])
     # always by key: a plan that broadcasts small inputs says nothing about large ones
-    kept = docs.join(found.hint("merge"), same).select(*[docs[c] for c in docs.columns], found["n"].alias("_rows"))
-    if found.where("n > 1").isEmpty():
-        return kept.select(*[kept[c] for c in docs.columns])
-    once = kept.where("_rows > 1").dropDuplicates(["doc_id"])
-    return kept.where("_rows = 1").unionByName(once).drop("_rows")
+    kept = docs.join(found.hint("merge"), same).select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), found["n"])
+    if not found.where("n > 1").isEmpty():
+        once = kept.where("n > 1").withColumn("doc_id", F.col("doc.doc_id")).dropDuplicates(["doc_id"]).drop("doc_id")
+        kept = kept.where("n = 1").unionByName(once)
+    return kept.select("doc.*")
