@@ -211,6 +211,16 @@ def test_secrets(spark, docs, rows, leaks, nothing):
     assert secret_scan.report(nothing).count() == 0
 
 
+def test_secrets_in_long_runs(spark):
+    """Patterns stay linear on long runs of separators, digits and letters, which no candidate test may try in all ways."""
+    texts = ["-" * 60 + "1a2", "=/" * 20_000 + "1a2", "7" * 300_000, "7" * 300_000 + "!", "word_" * 40_000 + "12", "Ab-" * 40_000 + "123456789"]
+    out = secret_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in out.collect()}
+    assert got[2] == "hex:0:300000" and got[3] == "hex:0:300000"
+    assert [got[i] for i in (0, 1, 4)] == ["", "", ""]
+    assert got[5] == shown(secrets_of(texts[5])[1])
+
+
 def test_redaction(spark, docs, leaks):
     out = secret_scan.redact(spark.createDataFrame(leaks, "doc_id long, text string"))
     want = []

@@ -48,8 +48,8 @@ BASE: tuple[Pattern, ...] = (
     Pattern("hex", "[0-9a-f]{24,}", 0, 24),
 )
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: A candidate counts only if this matches: letters and digits both.
-MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"
+#: A candidate counts only if this matches: letters and digits both. Anchored, so long runs cost one pass.
+MIXED = r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])"
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ CLASSES: tuple[CharClass, ...] = (
 ALLOWED: tuple[str, ...] = (
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     "(?i)example|sample|placeholder|dummy|changeme|xxxx|0000|1234567",
-    "^[A-Za-z]*([-_/=+]+[A-Za-z]*)*[-_/=+]*[0-9]{0,8}$",
+    "^[-A-Za-z_/=+]*[0-9]{0,8}$",
     "^[0-9=+/_-]*$",
 )
 KINDS: tuple[str, ...] = tuple(p.kind for p in BASE) + tuple(c.kind for c in CLASSES)
