@@ -73,6 +73,10 @@ def test_extract(spark, tmp_path):
     assert {r.conversation_id for r in rows} == {"c1", "other"} and {r.text for r in rows} == {"first", "second", " "}
     assert {r.role for r in rows} == {"tool", "assistant", "user"}
     assert {r.conversation_id for r in I.extract(I.read_zips(spark, str(tmp_path / "z.zip"))).collect()} == {"one"}
+    (tmp_path / "broken.zip").write_bytes(b"PK no archive")
+    assert I.read_zips(spark, str(tmp_path / "broken.zip")).count() == 0
+    packed = K.to_zips(spark.createDataFrame([("a.json", json.dumps(EXPORT)), ("b.json", None)], "name string, raw string"))
+    assert sorted((r.path, r.raw) for r in I.zip_members(packed).collect()) == [("a.zip!a.json", json.dumps(EXPORT)), ("b.zip!b.json", "")]
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "n.md").write_text("# x")
     assert I.collect_files(spark, str(tmp_path)).count() == 4

@@ -80,6 +80,16 @@ for _name, _deep in (("src_json_file", False), ("src_json_dir", False), ("src_re
     table_query(_name, _PER)(lambda s, d, deep=_deep: _read_back(s, d, deep))
 
 
+def _zipped(s: SparkSession, d: str) -> DataFrame:
+    """One archive per conversation, beside a broken one."""
+    archives = K.to_zips(K.to_openai(_convs(s, d)).select(F.concat("id", F.lit(".json")).alias("name"), F.col("doc").alias("raw")))
+    broken = s.createDataFrame([("broken.zip", bytearray(b"PK"))], "path string, content binary")
+    return I.extract(I.zip_members(archives.unionByName(broken))).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+table_query("src_json_zip", _PER)(_zipped)
+
+
 def _docs(s: SparkSession, d: str) -> DataFrame:
     return K.to_openai(_convs(s, d)).select(F.lit("x.json").alias("path"), F.col("doc").alias("raw"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +89,25 @@ def write_split(convs: DataFrame, path: str, form: str = "openai") -> DataFrame:
     return named
 
 
+def to_zips(files: DataFrame) -> DataFrame:
+    """(path, content): one archive per file of (name, raw); a null raw is an empty member."""
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+
+        for f in frames:
+            contents = []
+            for name, raw in zip(f["name"], f["raw"]):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(name, raw or "")
+                contents.append(held.getvalue())
+            yield pd.DataFrame({"path": f["name"].str.replace(r"\.[^.]*$", "", regex=True) + ".zip", "content": contents})
+
+    return files.select("name", "raw").mapInPandas(packed, "path string, content binary")
+
+
 def gexf(g: Graph) -> DataFrame:
     """(part, seq, line): the lines of a GEXF 1.3 file; sort by (part, seq). Pairs appear in both directions; edges of unknown ends are left out."""
     spark = g.spark

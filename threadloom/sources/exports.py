@@ -43,8 +43,8 @@ def collect_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return read_files(spark, paths, True, "*.json").unionByName(read_files(spark, paths, True, "*.md"))
 
 
-def read_zips(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, raw): one row per .json member of every archive."""
+def zip_members(archives: DataFrame) -> DataFrame:
+    """(path, raw): one row per .json member of every archive of (path, content); a broken archive gives no rows."""
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -52,11 +52,20 @@ def read_zips(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
         for f in frames:
             for path, content in zip(f["path"], f["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(content or b""))
+                except zipfile.BadZipFile:
+                    continue
+                with z:
                     for name in sorted(n for n in z.namelist() if n.endswith(".json")):
                         yield pd.DataFrame({"path": [f"{path}!{name}"], "raw": [z.read(name).decode("utf-8", "replace")]})
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(members, "path string, raw string")
+    return archives.select("path", "content").mapInPandas(members, "path string, raw string")
+
+
+def read_zips(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path, raw): one row per .json member of every archive."""
+    return zip_members(spark.read.format("binaryFile").load(paths))
 
 
 def conversations(files: DataFrame, schema: str = EXPORT) -> DataFrame:
