@@ -221,6 +221,17 @@ def test_secrets_in_long_runs(spark):
     assert got[5] == shown(secrets_of(texts[5])[1])
 
 
+def test_many_secrets_in_one_text(spark):
+    """A list of checksums, each a base span and a candidate, with other spans between."""
+    digest = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(2_000)]
+    text = "\n".join(f"{d} secret={d[:5]}.{d}.{d} aB3dE5fG7hI9jK1lM2nO{i}" if i % 9 == 0 else d for i, d in enumerate(digest))
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    base, every = secrets_of(text)
+    r = secret_scan.report(one).first()
+    assert len(base) > 2_000 and len(every) > len(base)
+    assert (r.n_hex, r.n_assign, r.spans) == (sum(k == 2 for _, k, _ in base), sum(k == 0 for _, k, _ in base), shown(every))
+
+
 def test_redaction(spark, docs, leaks):
     out = secret_scan.redact(spark.createDataFrame(leaks, "doc_id long, text string"))
     want = []

@@ -47,17 +47,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _scan(values: Column) -> Column:
-    start = F.struct(F.lit(0).cast("bigint").alias("t"), F.array().cast("array<bigint>").alias("o"))
+def _scan(values: Column, join: Callable[[Column, Column], Column], first: Column) -> Column:
+    start = F.struct(first.alias("t"), F.array().cast("array<bigint>").alias("o"))
 
     def step(acc: Column, x: Column) -> Column:
-        return F.struct((acc["t"] + x).alias("t"), F.concat(acc["o"], F.array(acc["t"] + x)).alias("o"))
+        return let(join(acc["t"], x), lambda t: F.struct(t.alias("t"), F.concat(acc["o"], F.array(t)).alias("o")))
 
     return F.aggregate(values, start, step, lambda acc: acc["o"])
 
 
-def running_sum(values: Column, block: int = 128) -> Column:
-    """Inclusive prefix sums of an array<bigint>; two levels, so long arrays stay far from quadratic."""
+def _running(values: Column, join: Callable[[Column, Column], Column], first: Column, block: int) -> Column:
+    """Inclusive prefixes of an array<bigint> under ``join``; two levels, so long arrays stay far from quadratic."""
 
     def whole(v: Column) -> Column:
         n = F.size(v)
@@ -67,11 +67,11 @@ def running_sum(values: Column, block: int = 128) -> Column:
         )
 
         def joined(p: Column) -> Column:
-            sums = F.transform(p, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, b: a + b))
+            totals = F.transform(p, lambda x: F.aggregate(x, first, join))
             return let(
-                F.concat(F.array(F.lit(0).cast("bigint")), _scan(sums)),
+                F.concat(F.array(first), _scan(totals, join, first)),
                 lambda before: F.flatten(
-                    F.transform(p, lambda x, i: F.transform(_scan(x), lambda y: y + F.get(before, i)))
+                    F.transform(p, lambda x, i: F.transform(_scan(x, join, first), lambda y: join(y, F.get(before, i))))
                 ),
             )
 
@@ -80,6 +80,16 @@ def running_sum(values: Column, block: int = 128) -> Column:
     return let(values, whole)
 
 
+def running_sum(values: Column, block: int = 128) -> Column:
+    """Inclusive prefix sums of an array<bigint>."""
+    return _running(values, lambda a, b: a + b, F.lit(0).cast("bigint"), block)
+
+
+def running_max(values: Column, block: int = 128) -> Column:
+    """Inclusive prefix maxima of an array<bigint> of whole numbers from 0."""
+    return _running(values, lambda a, b: F.greatest(a, b), F.lit(0).cast("bigint"), block)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

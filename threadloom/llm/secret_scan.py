@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import let, running_sum, table
+from threadloom.llm.common import let, running_max, running_sum, table
 
 WINDOW = 20
 _SCALE = 1 << 20
@@ -192,11 +192,37 @@ def spans(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns of ``docs`` plus ``base`` and ``found``: sorted arrays of struct<start, kind, end>."""
     base, candidates, judged = _columns(F.col("text"))
     first = docs.select(*keep, base, candidates)
-    clear = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    # few texts have candidates, and only those need to know where base spans reach
+    clear = F.when(
+        F.size("candidates") > 0,
+        let(
+            F.struct(F.col("base").alias("base"), running_max(F.transform("base", lambda b: b["end"])).alias("reach")),
+            lambda known: F.filter("candidates", lambda c: ~_touched(c, known["base"], known["reach"])),
+        ),
+    ).otherwise(F.col("candidates"))
     more = F.filter(F.transform(clear, judged), lambda s: s["start"].isNotNull())
     return first.select(*keep, "base", F.array_sort(F.concat("base", more.cast(_SPAN))).alias("found"))
 
 
+def _touched(c: Column, base: Column, reach: Column) -> Column:
+    """Does a span of ``base`` (sorted by start; ``reach``: prefix maxima of the ends) overlap ``c``? By binary search."""
+    n = F.size(base)
+    bounds = F.struct(F.lit(0).alias("low"), n.alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        before = F.get(base, middle)["start"] < c["end"]
+        open_ = at["low"] < at["high"]
+        return F.struct(
+            F.when(open_ & before, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(open_ & ~before, middle).otherwise(at["high"]).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(0), F.floor(F.log2(n)).cast("int"))
+    began = F.aggregate(steps, bounds, halve, lambda at: at["low"])  # base spans that start before the end of c
+    return F.when(n == 0, F.lit(False)).otherwise(F.coalesce(F.get(reach, began - 1) > c["start"], F.lit(False)))
+
+
 def _joined(column: str) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
@@ -218,19 +244,15 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``; overlapping spans become one. Same columns."""
     held = spans(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text"), "_row")
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        merged = F.concat(
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))),
-        )
-        fresh = F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-        return F.when(s["start"] <= last["end"], merged).otherwise(fresh)
-
-    union = F.aggregate("found", empty, step)
-    cut = held.select("_row", union.alias("cut"))
+    reached = held.select("_row", "found", running_max(F.transform("found", lambda s: s["end"])).alias("reach"))
+    # a union begins where no earlier span reaches, and ends where the next one begins
+    begins = F.filter(
+        F.transform("found", lambda s, i: F.when((i == 0) | (s["start"] > F.get("reach", i - 1)), s["start"])), lambda x: x.isNotNull()
+    )
+    ends = F.filter(
+        F.transform("reach", lambda e, i: F.when(F.coalesce(F.get("found", i + 1)["start"] > e, F.lit(True)), e)), lambda x: x.isNotNull()
+    )
+    cut = reached.select("_row", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"))).alias("cut"))
     text = F.col("_row.text")
 
     def piece(c: Column, i: Column) -> Column:
