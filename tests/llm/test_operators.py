@@ -466,6 +466,25 @@ def test_mixing(spark, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.stage(spark, nothing, "").columns == nothing.columns
 
 
+def test_mixing_with_one_odd_row(spark):
+    """A category of one short document changes neither the rate of the others nor their balance."""
+    rng = np.random.default_rng(8)
+    t = mixing.Targets({"a": 0.4, "b": 0.55, "*": 0.05}, {"en": 0.7, "fr": 0.28, "*": 0.02}, {"license": 0.1, "*": 0.9})
+    data = [(i, "w " * 50 + ("license" if rng.random() < 0.1 else "w"), "en" if rng.random() < 0.8 else "fr", "ab"[int(rng.random() < 0.5)]) for i in range(2000)]
+    kind = "doc_id long, text string, lang string, source string"
+
+    def rates(more):
+        out = mixing.mix(spark.createDataFrame(data + more, kind), t).collect()
+        return {r.doc_id: r.probability for r in out}, sum(r.sampled for r in out)
+
+    plain, kept = rates([])
+    assert kept > 800
+    for odd in ((-1, "w " * 30, None, "a"), (-1, "w " * 30, "en", "new"), (-1, "w license", None, None)):
+        p, n = rates([odd])
+        assert p[-1] == 1.0 and abs(n - kept) < 20
+        assert max(abs(p[i] - x) for i, x in plain.items()) < 0.02
+
+
 # 3
 
 

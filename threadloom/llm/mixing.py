@@ -4,11 +4,19 @@
    the category ``*``, so the number of cells is bounded by the targets, whatever the number of sources.
 2. The cells are gathered into one row of at most that many entries, and one SQL ``aggregate`` over ``ROUNDS`` rounds
    rakes them: per round and dimension each category is scaled to its target share.
-3. A cell's factor (raked share by observed share) divided by the largest factor is the probability with which each of
+3. A cell's factor (raked share by observed share) divided by the leading factor is the probability with which each of
    its documents stays; a hash of (seed, doc_id) decides, so a rerun or a lost executor gives the same sample.
 
-Tokens are words of ``[^\\x20\\x09-\\x0D]+``. Categories without tokens give up their share to the others of their
-dimension. Targets whose shares do not go together with the observed cells are met as well as ROUNDS rounds can.
+Rare cells cannot set the rate of the corpus, as documents are not repeated:
+
+* A category's target is at most ``REACH`` times its observed share; what it gives up goes to the others of its dimension
+  in proportion to their targets. A category without tokens so gives up all of it.
+* No cell's factor exceeds ``BOUND`` while raking; the other cells of its categories fill in.
+* The leading factor is the largest one that cells of ``SCARCE`` of all tokens or more reach. Cells beyond it keep all
+  their documents (probability 1) and stay below their raked share.
+
+Tokens are words of ``[^\\x20\\x09-\\x0D]+``. Targets whose shares do not go together with the observed cells are met as
+well as ROUNDS rounds can.
 
 Defined results: null source or language falls into ``*``; null texts have no tokens and stay with their cell's
 probability; a null doc_id hashes like any value; repeated rows share one fate; an empty table gives an empty result;
@@ -27,6 +35,9 @@ from threadloom.llm.common import BLANKS, let, materialise, table
 
 ROUNDS = 50
 SEED = 20
+REACH = 4.0
+BOUND = 16.0
+SCARCE = 0.01
 REST = "*"
 #: First match names the topic. Every pattern looks at a bounded stretch, so long runs cost no more than others.
 TOPICS: tuple[tuple[str, str], ...] = (
@@ -84,21 +95,43 @@ def rake(cells: DataFrame, targets: Targets = PRODUCTION, rounds: int = ROUNDS)
     ).where(F.size("cells") > 0)
     bound = prod(len(s) for _, s in targets.dims())
 
-    def scaled(weights: Column, cats: Column, shares: dict[str, float]) -> Column:
-        names, goals = F.array(*[F.lit(k) for k in shares]), F.array(*[F.lit(float(v)) for v in shares.values()])
-        sums = F.transform(
+    def sums_of(weights: Column, cats: Column, names: Column) -> Column:
+        return F.transform(
             names,
             lambda n: F.aggregate(F.zip_with(weights, cats, lambda w, c: F.when(c == n, w).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b),
         )
 
+    def total_of(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+    def reachable(name: str, shares: dict[str, float]) -> Column:
+        """Targets of one dimension, none over REACH times the observed share; they add up to 1 if any can be met."""
+        names, goals = F.array(*[F.lit(k) for k in shares]), F.array(*[F.lit(float(v)) for v in shares.values()])
+
+        def filled(most: Column) -> Column:
+            def more(scale: Column, _: Column) -> Column:
+                held = total_of(F.zip_with(goals, most, lambda g, m: F.when(g * scale >= m, m).otherwise(0.0)))
+                free = total_of(F.zip_with(goals, most, lambda g, m: F.when(g * scale >= m, 0.0).otherwise(g)))
+                return F.when(free > 0, F.greatest(scale, (1 - held) / free)).otherwise(scale)
+
+            # each step holds at least one more category at its limit, or nothing changes any more
+            scale = F.aggregate(F.sequence(F.lit(0), F.lit(len(shares))), F.lit(0.0), more)
+            return let(scale, lambda s: F.zip_with(goals, most, lambda g, m: F.least(g * s, m)))
+
+        return let(
+            F.transform(sums_of(F.col("start"), F.transform("cells", lambda c: c[name]), names), lambda x: x * F.lit(REACH)), filled
+        )
+
+    def scaled(weights: Column, cats: Column, names: Column, goals: Column) -> Column:
         def ratios(s: Column) -> Column:
-            met = F.aggregate(F.zip_with(s, goals, lambda x, g: F.when(x > 0, g).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
+            met = total_of(F.zip_with(s, goals, lambda x, g: F.when(x > 0, g).otherwise(0.0)))
             return let(met, lambda m: F.zip_with(s, goals, lambda x, g: F.when((x > 0) & (m > 0), g / m / x).otherwise(1.0)))
 
-        return let(
-            let(sums, ratios),
+        moved = let(
+            let(sums_of(weights, cats, names), ratios),
             lambda r: F.zip_with(weights, cats, lambda w, c: w * F.get(r, (F.array_position(names, c) - 1).cast("int"))),
         )
+        return F.zip_with(moved, F.col("start"), lambda w, s: F.least(w, s * F.lit(BOUND)))
 
     def one_round(weights: Column, _: Column) -> Column:
         for name, shares in targets.dims():
@@ -106,20 +139,37 @@ def rake(cells: DataFrame, targets: Targets = PRODUCTION, rounds: int = ROUNDS)
         return weights
 
     def fitted_to(weights: Column, name: str, shares: dict[str, float]) -> Column:
-        return let(weights, lambda w: scaled(w, F.transform("cells", lambda c: c[name]), shares))
+        names = F.array(*[F.lit(k) for k in shares])
+        return let(weights, lambda w: scaled(w, F.transform("cells", lambda c: c[name]), names, F.col(f"goals_{name}")))
+
+    def leading(pairs: Column) -> Column:
+        """The largest factor that cells of SCARCE of the tokens or more reach; ``pairs``: factor and share per cell."""
+        start = F.struct(F.lit(0.0).alias("held"), F.lit(None).cast("double").alias("most"))
+
+        def step(acc: Column, p: Column) -> Column:
+            held = acc["held"] + p["share"]
+            return F.struct(
+                held.alias("held"), F.when(acc["most"].isNull() & (held >= SCARCE), p["factor"]).otherwise(acc["most"]).alias("most")
+            )
+
+        return F.aggregate(F.sort_array(F.filter(pairs, lambda p: p["factor"].isNotNull()), asc=False), start, step, lambda acc: acc["most"])
 
     total = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["tokens"])
     start = let(total, lambda t: F.transform("cells", lambda c: F.when(t > 0, c["tokens"] / t).otherwise(0.0)))
     begun = gathered.select("cells", start.alias("start"))
+    begun = begun.select("*", *[reachable(name, shares).alias(f"goals_{name}") for name, shares in targets.dims()])
     fitted = begun.select("cells", "start", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("start"), one_round).alias("fit"))
     factors = fitted.select(
-        "cells", F.zip_with("fit", "start", lambda f, s: F.when(s > 0, f / s).otherwise(F.lit(None))).alias("factors")
-    ).select("cells", "factors", F.array_max("factors").alias("most"))
+        "cells", "start", F.zip_with("fit", "start", lambda f, s: F.when(s > 0, f / s).otherwise(F.lit(None))).alias("factors")
+    ).select(
+        "cells", "factors",
+        leading(F.zip_with("factors", "start", lambda f, s: F.struct(f.alias("factor"), s.alias("share")))).alias("most"),
+    )
     # a cell without tokens costs none, so its documents stay
     out = factors.select(F.posexplode("cells").alias("i", "cell"), "factors", "most").select(
         "cell.*",
         F.coalesce(F.get("factors", F.col("i")), F.lit(1.0)).alias("factor"),
-        F.coalesce(F.get("factors", F.col("i")) / F.nullif(F.col("most"), F.lit(0.0)), F.lit(1.0)).alias("probability"),
+        F.coalesce(F.least(F.get("factors", F.col("i")) / F.nullif(F.col("most"), F.lit(0.0)), F.lit(1.0)), F.lit(1.0)).alias("probability"),
     )
     return out.limit(bound)
 
