@@ -114,6 +114,14 @@ def test_simhash_stage_keeps_one_of_each(spark, docs, rows):
     assert kept.columns == docs.columns and sorted(map(repr, ids)) == sorted(map(repr, found))
 
 
+def test_simhash_stage_with_null_and_repeated_ids(spark):
+    """Null ids do not hide other null ids, and an id with two texts does not stand for both components."""
+    t = [" ".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest()[:6] for i in range(60)) for k in range(6)]
+    data = [(None, t[0]), (None, t[1]), (None, t[1]), (7, t[2]), (7, t[3]), (3, t[3]), (9, t[4]), (9, t[5]), (None, t[5])]
+    kept = simhash_dedup.stage(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    same([tuple(r) for r in kept.collect()], [(None, t[0]), (None, t[1]), (7, t[2]), (3, t[3]), (9, t[4]), (9, t[5])])
+
+
 def test_fingerprint_in_pieces(monkeypatch):
     t = " ".join(str(i * 7919 % 1000) for i in range(500))
     whole = simhash_dedup.fingerprint(t)

@@ -65,12 +65,13 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         codes = np.array([fingerprint(t.as_py()) for t in b.column("text")], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(codes.view(np.int64))], ["doc_id", "code"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(codes.view(np.int64))], ["doc_id", "key", "code"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, code) per row; code is the fingerprint as a signed 64-bit number."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, code bigint")
+    """(doc_id, key, code) per row; key is a hash of the text as it is, code the fingerprint as a signed 64-bit number."""
+    keyed = docs.select("doc_id", "text", F.xxhash64(docs["text"]).alias("key"))
+    return keyed.mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint, code bigint")
 
 
 def _linker(limit: int):
@@ -138,14 +139,18 @@ def links(codes: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> DataFrame
     )
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, fingerprint, component_id per row of ``docs`` (doc_id, text)."""
-    prints = materialise(fingerprints(docs))
-    classes = materialise(prints.groupBy("code").agg(F.min("doc_id").alias("least")))
+def _rooted(classes: DataFrame, limit: int) -> DataFrame:
+    """code, least, root per row of ``classes`` (code, least; codes are distinct)."""
     roots = components(links(classes.select("code"), limit))
-    rooted = classes.join(roots, classes["code"] == roots["node"], "left").select(
+    return classes.join(roots, classes["code"] == roots["node"], "left").select(
         "code", "least", F.coalesce("root", "code").alias("root")
     )
+
+
+def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id, fingerprint, component_id per row of ``docs`` (doc_id, text)."""
+    prints = materialise(fingerprints(docs).drop("key"))
+    rooted = _rooted(materialise(prints.groupBy("code").agg(F.min("doc_id").alias("least"))), limit)
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("code", "component_id")
     return prints.join(named, "code").select(
@@ -159,13 +164,20 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id (of repeated rows, one)."""
-    found = near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    found = materialise(found)
-    same = docs["doc_id"].eqNullSafe(found["doc_id"])
+    """One document of each component stays: the one with the smallest doc_id (of repeated rows, one).
+
+    Rows are told apart by doc_id and text: an id is null only where a component has no other, and neither null nor
+    repeated ids mix up components. Of one id's texts in a component, the one with the smallest hash stays.
+    """
+    rows = fingerprints(docs).groupBy("code", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "n")
+    rooted = _rooted(materialise(rows.groupBy("code").agg(F.min(row).alias("least"))), LIMIT)
+    found = materialise(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.key", "least.n"))
+    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["key"])
     # always by key: a plan that broadcasts small inputs says nothing about large ones
-    kept = docs.join(found.hint("merge"), same).select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), found["n"])
+    kept = docs.join(found.hint("merge"), same).select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("doc"), found["doc_id"], found["key"], found["n"]
+    )
     if not found.where("n > 1").isEmpty():
-        once = kept.where("n > 1").withColumn("doc_id", F.col("doc.doc_id")).dropDuplicates(["doc_id"]).drop("doc_id")
-        kept = kept.where("n = 1").unionByName(once)
+        kept = kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates(["doc_id", "key"]))
     return kept.select("doc.*")
