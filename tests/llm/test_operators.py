@@ -386,6 +386,17 @@ def test_license_passages():
     assert s.scan(b" ".join(bsd.split()[::-1]))[5:] == ("", 0.0)
 
 
+def test_license_passages_that_overlap():
+    """A doubled or a lost word costs no more than itself, and a passage inside another template's counts for its own."""
+    s = license_scan.Scanner()
+    w = license_scan.words(license_scan.TEMPLATES[3][1].encode())
+    for at in range(6, len(w) - 6):
+        labels, score = s.scan(b" ".join(w[: at + 1] + w[at:]))[5:]
+        assert labels == "bsd" and score == 1.0
+    s = license_scan.Scanner((("one", "p q a b c d e f r t"), ("two", "a b c d e f g h")))
+    assert {s.labels[k]: c for k, _, _, c in s.chains(b"p q a b c d e f r t".split())} == {"one": 1.0, "two": 0.75}
+
+
 # 6
 
 

@@ -71,6 +71,7 @@ class Automaton:
         for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
             self.ends[self.link[s]] |= self.ends[s]
         self.ends[0] = set()
+        self.below: dict[int, dict[int, tuple[int, int]]] = {}
         self.words = {w for seq in sequences for w in seq}
 
     def _state(self, length: int, nexts: dict, link: int) -> int:
@@ -101,6 +102,44 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
         return new
 
+    def _shorter(self, state: int, least: int) -> dict[int, tuple[int, int]]:
+        """template -> (length, state) of the longest shorter passage, for templates that the passage of ``state`` does not hold."""
+        found = self.below.get(state)
+        if found is None:
+            found, held, at = {}, {k for k, _ in self.ends[state]}, self.link[state]
+            while at > 0 and self.length[at] >= least:
+                for k in {k for k, _ in self.ends[at]} - held:
+                    found[k] = (self.length[at], at)
+                    held.add(k)
+                at = self.link[at]
+            self.below[state] = found
+        return found
+
+    def maximal_by_template(self, run: list[bytes], least: int) -> list[tuple[int, int, int, int]]:
+        """(template, start, length, state) of passages in ``run`` that cannot be made longer within that template."""
+        out, state, size, before = [], 0, 0, {}
+        for i, w in enumerate(run):
+            to = self.next[state].get(w)
+            while state and to is None:
+                state = self.link[state]
+                size = self.length[state]
+                to = self.next[state].get(w)
+            if to is None:
+                size = 0
+            else:
+                state, size = to, size + 1
+            now = {}
+            if size >= least:
+                now = dict(self._shorter(state, least))
+                for k, _ in self.ends[state]:
+                    now[k] = (size, state)
+            for k, (n, s) in before.items():
+                if k not in now or now[k][0] != n + 1:
+                    out.append((k, i - n, n, s))
+            before = now
+        out += [(k, len(run) - n, n, s) for k, (n, s) in before.items()]
+        return out
+
     def maximal(self, run: list[bytes], least: int) -> list[tuple[int, int, int]]:
         """(start, length, state) of passages in ``run`` that cannot be made longer, of ``least`` words or more."""
         out, state, size = [], 0, 0
@@ -150,9 +189,9 @@ class Scanner:
         flags = bytes([w in known for w in found])
         per: dict[int, list[tuple[int, int, int]]] = {}
         for run in self.runs.finditer(flags):
-            for start, size, state in self.automaton.maximal(found[run.start() : run.end()], SEED):
-                for k, end in self.automaton.ends[state]:
-                    per.setdefault(k, []).append((run.start() + start, end - size, size))
+            for k, start, size, state in self.automaton.maximal_by_template(found[run.start() : run.end()], SEED):
+                places = [(run.start() + start, end - size, size) for t, end in self.automaton.ends[state] if t == k]
+                per.setdefault(k, []).extend(places)
         out = []
         for k, hits in per.items():
             hits.sort()
@@ -164,8 +203,11 @@ class Scanner:
                 covered, first = size, at
                 for j in range(i - 1, low - 1, -1):
                     at2, tpl2, size2 = hits[j]
-                    if 0 <= at - at2 - size2 <= GAP and 0 <= tpl - tpl2 - size2 <= GAP and best[j][0] + size > covered:
-                        covered, first = best[j][0] + size, best[j][1]
+                    gap, tpl_gap = at - at2 - size2, tpl - tpl2 - size2
+                    over = max(0, -gap, -tpl_gap)  # words of this passage that the earlier one reaches; they count once
+                    near = over < size and at2 <= at and tpl2 <= tpl and max(gap, tpl_gap) + over <= GAP
+                    if near and best[j][0] + size - over > covered:
+                        covered, first = best[j][0] + size - over, best[j][1]
                 best.append((covered, first))
                 out.append((k, first, at + size, covered / self.sizes[k]))
         return out
