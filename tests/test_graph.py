@@ -230,3 +230,13 @@ def test_cluster_report(spark):
     (r,) = A.topic_clusters(g).collect()
     assert (r["size"], r.edges, r.keywords) == (3, 3, "k")
     assert {x.domain for x in A.entity_domains(g).collect()} == {"a, b, c"}
+
+
+def test_longest_depth_is_whole_or_refused(spark):
+    from threadloom.operators.traversal import longest_depth
+
+    nodes = spark.createDataFrame([(str(i),) for i in range(5)], "id string")
+    replies = spark.createDataFrame([(str(i), str(i + 1)) for i in range(4)], "parent_id string, child_id string")
+    assert {r.id: r.depth for r in longest_depth(nodes, replies, most=5).collect()} == {str(i): i + 1 for i in range(5)}
+    with pytest.raises(RuntimeError):
+        longest_depth(nodes, replies, most=4)

@@ -34,19 +34,22 @@ def ancestor_counts(g: Graph) -> DataFrame:
 def longest_depth(nodes: DataFrame, replies: DataFrame, most: int = 10_000) -> DataFrame:
     """(id, depth): messages on the longest chain from a root, root = 1; one step per level.
 
-    Members of a cycle never come up and are left out, as no order exists for them.
+    Members of a cycle that no root reaches never come up and are left out, as no order exists for them. Raises if a chain
+    goes on after ``most`` levels, as on a cycle that a root reaches.
     """
     waiting = durable(replies.select("parent_id", "child_id").distinct())
     heads = nodes.select("id").join(waiting.select(F.col("child_id").alias("id")).distinct(), "id", "left_anti")
     done = durable(heads.withColumn("depth", F.lit(1)))
     level = done
-    for step in range(2, most):
+    for step in range(2, most + 2):
         # a node's depth is the last level at which one of its parents hands over
         nxt = waiting.join(level, waiting["parent_id"] == level["id"]).select(F.col("child_id").alias("id")).distinct()
         level = durable(nxt.withColumn("depth", F.lit(step)))
         if level.isEmpty():
             break
         done = done.unionByName(level)
+    else:
+        raise RuntimeError(f"reply chains go on after {most} levels")
     return durable(done.groupBy("id").agg(F.max("depth").alias("depth")))
 
 
