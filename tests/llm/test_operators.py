@@ -16,7 +16,7 @@ from threadloom.llm import (
 )
 from threadloom.llm.bpe import default_path, encoder
 from threadloom.llm.components import components
-from threadloom.llm.hamming_index import forest
+from threadloom.llm.hamming_index import bucket_links, gray_rank
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -107,11 +107,12 @@ def test_simhash(docs, rows, nothing):
     assert simhash_dedup.near_duplicates(nothing).count() == 0
 
 
-def test_simhash_stage_keeps_one_of_each(spark, docs, rows):
+def test_simhash_stage_keeps_one_of_each(spark, docs, nothing):
     kept = simhash_dedup.stage(spark, docs, "")
+    assert kept.columns == docs.columns and simhash_dedup.stage(spark, nothing, "").count() == 0
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    found = {r.component_id for r in simhash_dedup.near_duplicates(docs).collect()}
-    assert kept.columns == docs.columns and sorted(map(repr, ids)) == sorted(map(repr, found))
+    # of texts without words one stays, of the copies and near copies the first; all others stay
+    assert sorted(map(repr, ids)) == sorted(map(repr, {r.doc_id for r in docs.collect()} - {1, 2, 5, 6, 7, None}))
 
 
 def test_simhash_stage_with_null_and_repeated_ids(spark):
@@ -124,41 +125,94 @@ def test_simhash_stage_with_null_and_repeated_ids(spark):
 
 def test_fingerprint_in_pieces(monkeypatch):
     t = " ".join(str(i * 7919 % 1000) for i in range(500))
-    whole = simhash_dedup.fingerprint(t)
+    whole, wide = simhash_dedup.fingerprint(t), simhash_dedup.fingerprint(t, 5, 3)
     monkeypatch.setattr(simhash_dedup, "_PIECE", 37)
-    assert simhash_dedup.fingerprint(t) == whole == simhash(t)
+    assert int(simhash_dedup.fingerprint(t)[0]) == int(whole[0]) == simhash(t)
+    assert simhash_dedup.fingerprint(t, 5, 3).tolist() == wide.tolist() and len(set(wide.tolist())) == 3
 
 
-def test_forest_spans_all_links():
-    rng = np.random.default_rng(1)
-    codes = []
-    for b in rng.integers(0, 2**63, size=12, dtype=np.uint64):
-        for _ in range(70):
+def near_codes(seed, centres, each, most):
+    rng = np.random.default_rng(seed)
+    codes = set()
+    for b in rng.integers(0, 2**63, size=centres, dtype=np.uint64):
+        for _ in range(each):
             x = int(b)
-            for k in rng.integers(0, 64, size=rng.integers(0, 6)):
+            for k in rng.integers(0, 64, size=rng.integers(0, most)):
                 x ^= 1 << int(k)
-            codes.append(x)
-    codes = np.unique(np.array(codes, dtype=np.uint64))
-    every = np.argwhere(np.bitwise_count(codes[:, None] ^ codes[None]) <= 4)
-    assert sets(len(codes), every) == sets(len(codes), forest(codes, 4))
-
-
-def test_links_over_many_blocks(spark):
-    rng = np.random.default_rng(2)
-    centre = int(rng.integers(0, 2**62))
-    codes = {centre}
-    while len(codes) < 400:
-        x = centre
-        for k in rng.integers(0, 63, size=rng.integers(1, 7)):
-            x ^= 1 << int(k)
-        codes.add(x)
-    codes = sorted(codes)
-    df = spark.createDataFrame([(c,) for c in codes], "code long")
-    at = {c: i for i, c in enumerate(codes)}
-    links = [(at[r.u], at[r.v]) for r in simhash_dedup.links(df, block=16).collect()]
-    assert all(bin(codes[a] ^ codes[b]).count("1") <= 4 for a, b in links)
-    every = [(i, j) for i in range(len(codes)) for j in range(i) if bin(codes[i] ^ codes[j]).count("1") <= 4]
-    assert sets(len(codes), every) == sets(len(codes), links)
+            codes.add(x)
+    return np.array(sorted(codes), dtype=np.uint64)
+
+
+def every_link(codes, limit):
+    return np.argwhere(np.triu(np.bitwise_count(codes[:, None] ^ codes[None]) <= limit, 1))
+
+
+@pytest.mark.parametrize("size", [2, 3, 5, 40, 900])
+def test_index_spans_all_links(size):
+    """Buckets of every size go through the nodes, and whole groups are left out."""
+    codes = near_codes(1, 12, 1 + size // 12, 6)
+    codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+    a, b, visited, pruned = bucket_links(np.zeros(len(codes), dtype=np.int64), codes[:, None], 4)
+    assert sets(len(codes), every_link(codes, 4)) == sets(len(codes), zip(a, b))
+    assert len(a) < len(codes) and visited > 0 and (pruned > 0 or size < 40)
+    two = np.r_[codes, codes]
+    a, b, *_ = bucket_links(np.repeat([3, 9], len(codes)), np.stack([two, two], axis=1), 8)
+    assert sets(len(two), zip(a, b)) == sets(len(two), [*every_link(codes, 4), *(every_link(codes, 4) + len(codes))])
+
+
+@pytest.mark.parametrize("crowd", [16, 1 << 20])
+def test_links_of_crowded_nodes(spark, crowd, monkeypatch):
+    """Splitting upper nodes loses no link, and every link comes out of the index."""
+    codes = near_codes(2, 3, 300, 7)
+    df = spark.createDataFrame([(int(c.view(np.int64)),) for c in codes], "code long")
+    at = {int(c.view(np.int64)): i for i, c in enumerate(codes)}
+    links = [(at[r.u], at[r.v]) for r in simhash_dedup.links(df, crowd=crowd).collect()]
+    assert all(int(np.bitwise_count(codes[a] ^ codes[b])) <= 4 for a, b in links)
+    assert sets(len(codes), every_link(codes, 4)) == sets(len(codes), links)
+    r = simhash_dedup.index_counts(df, crowd=crowd).first()
+    assert 0 < r.pruned < r.groups and r.links >= len(links)
+
+
+@pytest.mark.parametrize("limit, codes", [(4, 10), (4, 10**8), (4, 10**11), (1, 10)])
+def test_exact_masks_meet_every_link(limit, codes):
+    """Any few differing bits leave the bits of some mask alone, also below another mask."""
+    masks, rng = simhash_dedup.exact_masks(limit, codes), np.random.default_rng(4)
+    for _ in range(2000):
+        diff = sum(1 << int(k) for k in rng.choice(64, size=limit, replace=False))
+        (base, *_) = [m for m in masks if not m & diff]
+        assert any(not m & diff and m & base == base and m != base for m in simhash_dedup.exact_masks(limit, 0, base))
+
+
+def test_stage_finds_similar_texts(spark):
+    """Texts of similarity 0.8 and more by five words leave one of each group; others stay. Against all pairs."""
+    import random
+
+    rng = random.Random(11)
+
+    def prose(n):
+        return ["".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(2, 8))) for _ in range(n)]
+
+    texts = []
+    for k in range(40):
+        w = prose(rng.randint(60, 400))
+        texts.append(" ".join(w))
+        for _ in range(4):
+            v = list(w)
+            for _ in range(rng.choice([1, 2, 3, 6, 12])):
+                v[rng.randrange(len(v))] = "changed"
+            texts.append(" ".join(v))
+    texts += ["", "  ", "one two three", "One two  three", "one two four", None]
+
+    def shingles(t):
+        w = WORD.findall(lower(t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    grams = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    root = sets(len(texts), pairs)
+    kept = {r.doc_id for r in simhash_dedup.stage(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()}
+    want = {i for i, r in enumerate(root) if i == r}
+    assert want <= kept and len(kept - want) <= 0.05 * (len(texts) - len(want))
 
 
 def test_components(spark):

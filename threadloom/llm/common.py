@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words where a contract says ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Folders of intermediate tables that this process has made.
+_MADE: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none and runs inside one process (``local``: tests) a temporary folder is made and set;
+    on a cluster executors could not read it, so there a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="threadloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -34,14 +40,41 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    Cuts the lineage, and a lost executor costs nothing that was written.
+    Cuts the lineage, and a lost executor costs nothing that was written. All such tables of an application stand in
+    one folder, which goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom/{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/threadloom-{spark.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}"
+    if own not in _MADE:
+        _MADE.add(own)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(hadoop)
+        store.deleteOnExit(hadoop)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that ``join_spread`` may broadcast at most.
+HOT_KEYS = 1 << 14
+_LEAST_HOT = 64
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, one row per key with ``n``, the number of ``rows`` that have it.
+
+    ``total`` is at least the number of ``rows``. A key of more than total / HOT_KEYS of them is hot: there are fewer
+    than HOT_KEYS such keys, so they are broadcast and their rows stay where they are. Every other key is a small group
+    and goes through a keyed join. Both branches are always planned, and ``n`` is dropped.
+    """
+    least = max(_LEAST_HOT, -(-total // HOT_KEYS))
+    hot, cold = keyed.where(F.col("n") > least).drop("n"), keyed.where(F.col("n") <= least).drop("n")
+    here = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
+    return here.unionByName(rest)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside one native expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,17 +1,20 @@
-"""Gray-order hierarchical index over 64-bit fingerprints (numpy), for links of few differing bits.
+"""Gray-order hierarchical index over fingerprints (numpy), for links of few differing bits.
 
-Fingerprints of one bucket are sorted by Gray rank, which puts codes with long shared bit patterns side by side. A node
-keeps the bits on which all its members agree and that its parent does not keep already, so a query adds up differences
-on the way down and drops a whole group once they exceed the limit.
+Rows come sorted by bucket, then by Gray rank, which puts codes with long shared bit patterns side by side. The upper
+nodes of the index are the buckets (the masked pattern that their members share); below them stand runs of ``FAN`` nodes
+down to leaves of ``LEAF`` codes. A node keeps the bits on which all its members agree and that its parent does not keep
+already, so a query adds up differences on the way down and drops a whole group once they exceed the limit. Every link
+comes out of such a descent, whatever the size of the bucket.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-LEAF = 32
-_FAN = 8
-_CHUNK = 256
+LEAF = 4
+_FAN = 4
+#: Places (query, leaf) that one descent may hold.
+_ROOM = 1 << 21
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -22,40 +25,18 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return r
 
 
-def _levels(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """From leaves to root: (agreed bits, their values)."""
-    starts = np.arange(0, len(codes), LEAF)
-    every, some = np.bitwise_and.reduceat(codes, starts), np.bitwise_or.reduceat(codes, starts)
-    out = [(~(every ^ some), every)]
-    while len(every) > 1:
-        starts = np.arange(0, len(every), _FAN)
-        every, some = np.bitwise_and.reduceat(every, starts), np.bitwise_or.reduceat(some, starts)
-        out.append((~(every ^ some), every))
-    return out
-
-
-def _own(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """Per level the agreed bits that the parent does not hold."""
-    out = []
-    for k, (agreed, _) in enumerate(levels):
-        if k + 1 < len(levels):
-            agreed = agreed & ~levels[k + 1][0][np.arange(len(agreed)) // _FAN]
-        out.append(agreed)
-    return out
-
-
 class _Sets:
     """Union of members; labels are the smallest member's position."""
 
     def __init__(self, n: int) -> None:
         self.label = np.arange(n)
 
-    def union(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """Joins pairs of positions; returns those that joined two sets."""
+    def union(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+        """Joins pairs of positions in their order; returns those that joined two sets."""
         la, lb = self.label[a], self.label[b]
         new = la != lb
         if not new.any():
-            return []
+            return [], []
         a, b, la, lb = a[new], b[new], la[new], lb[new]
         _, first = np.unique(np.minimum(la, lb) * len(self.label) + np.maximum(la, lb), return_index=True)
         root: dict[int, int] = {}
@@ -66,81 +47,105 @@ class _Sets:
                 x = root[x]
             return x
 
-        made = []
-        for i in first:
+        left, right = [], []
+        for i in np.sort(first).tolist():
             x, y = find(int(la[i])), find(int(lb[i]))
             if x != y:
                 root[max(x, y)] = min(x, y)
-                made.append((int(a[i]), int(b[i])))
-        if root:
-            old = np.array(list(root))
-            to = np.arange(len(self.label))
-            to[old] = [find(int(x)) for x in old]
-            self.label = to[self.label]
-        return made
-
-
-def forest(codes: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Pairs (positions in ``codes``) that span the components of 'at most ``limit`` differing bits'.
-
-    ``codes`` are distinct uint64. Every link is found or implied; at most n - 1 pairs are returned.
-    """
-    order = np.argsort(gray_rank(codes), kind="stable")
-    codes = codes[order]
-    n = len(codes)
-    levels, sets, made = _levels(codes), _Sets(n), []
-    own = _own(levels)
-    leaf_start = np.arange(0, n, LEAF)
-    for at in range(0, n, _CHUNK):
-        q = np.arange(at, min(at + _CHUNK, n))
-        # leaves whose members all carry one label hold nothing new for a query with that label
-        low, high = np.minimum.reduceat(sets.label, leaf_start), np.maximum.reduceat(sets.label, leaf_start)
-        who, node, acc = q, np.zeros(len(q), dtype=np.int64), np.zeros(len(q), dtype=np.uint8)
-        for k in range(len(levels) - 1, -1, -1):
-            if k < len(levels) - 1:
-                width = len(levels[k][0])
-                kids = node[:, None] * _FAN + np.arange(_FAN)
-                real = kids < width
-                who, acc = np.repeat(who, _FAN)[real.ravel()], np.repeat(acc, _FAN)[real.ravel()]
-                node = kids[real]
-            acc = acc + np.bitwise_count((codes[who] ^ levels[k][1][node]) & own[k][node])
-            last = np.minimum((node + 1) * LEAF * _FAN**k, n) - 1
-            near = (acc <= limit) & (last > who)
-            who, node, acc = who[near], node[near], acc[near]
-        open_ = ~((low[node] == high[node]) & (low[node] == sets.label[who]))
-        who, node = who[open_], node[open_]
-        for s in range(0, len(who), 65536):
-            w, other = who[s : s + 65536], node[s : s + 65536, None] * LEAF + np.arange(LEAF)
-            real = (other < n) & (other > w[:, None])
-            a, b = np.repeat(w, LEAF)[real.ravel()], other[real]
-            hit = np.bitwise_count(codes[a] ^ codes[b]) <= limit
-            made += sets.union(a[hit], b[hit])
-    return [(int(order[a]), int(order[b])) for a, b in made]
-
-
-def bucket_links(bucket: np.ndarray, codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links inside every bucket; ``bucket`` is sorted. Returns two arrays of codes."""
-    n = len(codes)
-    if n < 2:
-        return codes[:0], codes[:0]
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    sizes = np.diff(np.r_[starts, n])
-    small = np.repeat(sizes <= LEAF, sizes)
-    left, right = [], []
-    # a bucket that fits one leaf needs no nodes below its own pattern
-    for d in range(1, int(sizes[sizes <= LEAF].max(initial=1))):
-        same = small[:-d] & (bucket[:-d] == bucket[d:])
-        at = np.flatnonzero(same)
-        if not len(at):
-            break
-        hit = at[np.bitwise_count(codes[at] ^ codes[at + d]) <= limit]
-        left.append(codes[hit])
-        right.append(codes[hit + d])
-    for s, size in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
-        part = np.unique(codes[s : s + size])
-        pairs = np.array(forest(part, limit), dtype=np.int64).reshape(-1, 2)
-        left.append(part[pairs[:, 0]])
-        right.append(part[pairs[:, 1]])
-    if not left:
-        return codes[:0], codes[:0]
-    return np.concatenate(left), np.concatenate(right)
+                left.append(int(a[i]))
+                right.append(int(b[i]))
+        old = np.array(list(root))
+        to = np.arange(len(self.label))
+        to[old] = [find(int(x)) for x in old]
+        self.label = to[self.label]
+        return left, right
+
+
+class Index:
+    """Nodes over rows (``bucket`` sorted, ``lanes``: n x w uint64), from leaves to one upper node per bucket."""
+
+    def __init__(self, bucket: np.ndarray, lanes: np.ndarray) -> None:
+        self.lanes = lanes
+        owner = np.cumsum(np.r_[False, bucket[1:] != bucket[:-1]])
+        self.home = owner  # a row's upper node
+        self.starts: list[np.ndarray] = []  # first child (row, for leaves) of every node
+        agreed, values = [], []
+        every = some = lanes
+        width = LEAF
+        while True:
+            begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            place = np.arange(len(owner)) - np.repeat(begins, np.diff(np.r_[begins, len(owner)]))
+            starts = np.flatnonzero(place % width == 0)
+            every, some = np.bitwise_and.reduceat(every, starts, axis=0), np.bitwise_or.reduceat(some, starts, axis=0)
+            owner = owner[starts]
+            self.starts.append(starts)
+            agreed.append(~(every ^ some))
+            values.append(every)
+            if len(starts) == owner[-1] + 1:
+                break
+            width = _FAN
+        self.values = values
+        self.ends: list[np.ndarray] = []  # one past the last child
+        self.reach: list[np.ndarray] = []  # one past the last row
+        self.own: list[np.ndarray] = []  # agreed bits that the parent does not hold
+        for k, starts in enumerate(self.starts):
+            below = len(self.reach[k - 1]) if k else len(lanes)
+            self.ends.append(np.r_[starts[1:], below])
+            self.reach.append(self.ends[k] if k == 0 else self.reach[k - 1][self.ends[k] - 1])
+        for k, mine in enumerate(agreed):
+            if k + 1 < len(agreed):
+                parent = np.repeat(np.arange(len(self.starts[k + 1])), self.ends[k + 1] - self.starts[k + 1])
+                mine = mine & ~agreed[k + 1][parent]
+            self.own.append(mine)
+        self.visited = self.pruned = 0
+
+    def forest(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of links of at most ``limit`` differing bits that span the components inside every bucket.
+
+        Nearer links go first inside a block of queries. At most members - 1 links of a bucket are returned.
+        """
+        n = len(self.lanes)
+        sets, left, right = _Sets(n), [], []
+        sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, self.home[1:] != self.home[:-1]]), n])
+        step = int(max(1, min(n, _ROOM // max(1, int(sizes.max(initial=1)) // LEAF))))
+        for at in range(0, n, step):
+            who = np.arange(at, min(at + step, n))
+            node, acc = self.home[who], np.zeros(len(who), dtype=np.int64)
+            for k in range(len(self.starts) - 1, -1, -1):
+                acc = acc + np.bitwise_count((self.lanes[who] ^ self.values[k][node]) & self.own[k][node]).sum(axis=1, dtype=np.int64)
+                later = self.reach[k][node] > who + 1
+                near = acc <= limit
+                self.visited += int(later.sum())
+                self.pruned += int((later & ~near).sum())
+                near &= later
+                who, node, acc = who[near], node[near], acc[near]
+                if k == 0:
+                    # a leaf whose members all carry the query's label holds nothing new
+                    low, high = np.minimum.reduceat(sets.label, self.starts[0]), np.maximum.reduceat(sets.label, self.starts[0])
+                    open_ = ~((low[node] == high[node]) & (low[node] == sets.label[who]))
+                    who, node, acc = who[open_], node[open_], acc[open_]
+                count = self.ends[k][node] - self.starts[k][node]
+                first = np.repeat(self.starts[k][node] - np.r_[0, np.cumsum(count)[:-1]], count) if len(count) else count
+                who, acc = np.repeat(who, count), np.repeat(acc, count)
+                node = first + np.arange(len(who))
+            real = node > who
+            a, b = who[real], node[real]
+            away = np.bitwise_count(self.lanes[a] ^ self.lanes[b]).sum(axis=1, dtype=np.int64)
+            hit = np.flatnonzero(away <= limit)
+            hit = hit[np.argsort(away[hit], kind="stable")]
+            u, v = sets.union(a[hit], b[hit])
+            left += u
+            right += v
+        return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
+def bucket_links(bucket: np.ndarray, lanes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Spanning links inside every bucket (positions), groups looked at and groups pruned; rows sorted as above."""
+    n = len(bucket)
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.zeros(0, dtype=np.int64)
+    shared = np.flatnonzero(np.repeat(np.diff(np.r_[starts, n]) > 1, np.diff(np.r_[starts, n])))
+    if not len(shared):
+        return shared, shared, 0, 0
+    index = Index(bucket[shared], lanes[shared])
+    a, b = index.forest(limit)
+    return shared[a], shared[b], index.visited, index.pruned

@@ -1,22 +1,29 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-1. Fingerprints: 64 majority bits over the XXH64 (seed 42) of all 4-word shingles of the whole text.
+1. Fingerprints: 64 majority bits over the XXH64 (seed 42) of all word shingles of the whole text. Further lanes of 64
+   bits, where asked for, come from the same hashes, mixed anew.
 2. Equal fingerprints collapse to one row before anything is compared.
-3. Fingerprints are cut into six segments. Two codes of at most four differing bits agree on two of them, so each code
-   goes into one bucket per pair of segments (15): these shared bit patterns are the upper nodes of the index.
-4. Inside a bucket, codes are sorted by Gray rank and compared through nodes of shared bits (``hamming_index``). A bucket
-   returns at most (members - 1) links, which span its components; no bucket emits its pairs.
-5. A bucket over ``BLOCK`` codes is cut into blocks by hash, and each pair of blocks is one group, so a large bucket is
-   shared out over many tasks and still every pair is looked at.
+3. A single Gray order leaves a query of a few differing bits nearly every node, so there are several orders. Each has a
+   mask, whose pattern is the upper node of the index: codes with the same masked bits stand under the same node.
+   ``exact_masks``: two codes of at most ``limit`` differing bits agree on at least two of ``limit + 2`` segments, so one
+   mask per pair of segments finds every link; more codes take more and narrower segments. ``sampled_masks``: bits drawn at
+   random from all lanes, for links of more differing bits than pigeonholes reach.
+4. Codes are dealt out by upper node and sorted by Gray rank; each task descends its nodes and prunes whole groups by
+   accumulated differences (``hamming_index``). A node returns at most (members - 1) links, which span its components.
+5. An upper node of very many codes is split by finer masks, which multiply its rows by a constant, whatever its size.
+   Exact masks so lose no link; sampled ones meet a link of the node with the probability that their number gives.
 6. Components by star contraction; ``component_id`` is the smallest doc_id in it.
 
-Defined results: a null text is empty; texts without words have fingerprint zero and are linked like any other; rows with
-a null doc_id keep their fingerprint and component, and never name one unless a component has no other id (then null);
-repeated rows stay; an empty table gives an empty result; extra columns of the input are ignored.
+Defined results: a null text is empty; texts without words have fingerprint zero and are linked like any other; a very
+long text is hashed whole, in pieces of bounded memory; rows with a null doc_id keep their fingerprint and component, and
+never name one unless a component has no other id (then null); ties for the name go to the smallest doc_id; repeated rows
+stay; an empty table gives an empty result; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -25,73 +32,159 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialise, table
+from threadloom.llm.common import ascii_lower, join_spread, let, materialise, table, words_of
 from threadloom.llm.components import components
 from threadloom.llm.hamming_index import bucket_links
 
 LIMIT = 4
 WIDTH = 4
 SEED = 42
-#: Segments of the 64 bits; with LIMIT differences at least two of six stay equal.
-SEGMENTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: A bucket over so many codes is cut into blocks; their number grows a little slower than the bucket.
-BLOCK = 256
-_GROWTH = 0.8
+#: The stage: five-word shingles, two lanes, and an exact check of candidates.
+STAGE_WIDTH = 5
+STAGE_LANES = 2
+STAGE_LIMIT = 28
+SIMILAR = 0.8
+#: Share of candidates of just that similarity that the sampled masks meet.
+MET = 0.99
+#: An upper node over so many codes is split by finer masks, at most so many times.
+CROWD = 1024
+DEPTH = 2
+_CROWDS = 1 << 14
+_SAMPLE = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PIECE = 1 << 16
+_ALL = (1 << 64) - 1
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of one whole text, in pieces of bounded memory."""
+def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """Lane 0 is the hash itself; others are its bits mixed anew (multiply and shift)."""
+    if not lane:
+        return h
+    x = h + np.uint64(lane * _GOLDEN & _ALL)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, width: int = WIDTH, lanes: int = 1) -> np.ndarray:
+    """``lanes`` 64-bit SimHashes of one whole text, in pieces of bounded memory."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
-    n = max(1, len(words) - WIDTH + 1)
-    ones = np.zeros(64, dtype=np.int64)
+        return np.zeros(lanes, dtype=np.uint64)
+    n = max(1, len(words) - width + 1)
+    ones = np.zeros(64 * lanes, dtype=np.int64)
     for at in range(0, n, _PIECE):
-        part = words[at : min(at + _PIECE, n) + WIDTH - 1]
+        part = words[at : min(at + _PIECE, n) + width - 1]
         line = b" ".join(part)
         ends = list(accumulate([len(w) + 1 for w in part]))
         starts = [0, *ends]
-        k = min(WIDTH, len(part)) - 1
+        k = min(width, len(part)) - 1
         h = np.array([xxh64_intdigest(line[s : e - 1], SEED) for s, e in zip(starts, ends[k:])], dtype=np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        every = h[:, None] if lanes == 1 else np.stack([_mixed(h, lane) for lane in range(lanes)], axis=1)
+        ones += np.unpackbits(np.ascontiguousarray(every).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * ones > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _fingerprints(width: int, lanes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = np.array([fingerprint(t.as_py(), width, lanes) for t in b.column("text")], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+            cols = [b.column("doc_id"), b.column("key"), *[pa.array(np.ascontiguousarray(codes[:, k])) for k in range(lanes)]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", *_lanes(lanes)])
 
+    return run
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        codes = np.array([fingerprint(t.as_py()) for t in b.column("text")], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(codes.view(np.int64))], ["doc_id", "key", "code"])
 
+def _lanes(lanes: int) -> list[str]:
+    return ["code", *[f"code{k}" for k in range(1, lanes)]]
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, code) per row; key is a hash of the text as it is, code the fingerprint as a signed 64-bit number."""
+
+def fingerprints(docs: DataFrame, width: int = WIDTH, lanes: int = 1) -> DataFrame:
+    """(doc_id, key, code, ...) per row; key is a hash of the text as it is, each code a lane as a signed 64-bit number."""
     keyed = docs.select("doc_id", "text", F.xxhash64(docs["text"]).alias("key"))
-    return keyed.mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint, code bigint")
+    made = ", ".join(f"{c} bigint" for c in _lanes(lanes))
+    return keyed.mapInArrow(_fingerprints(width, lanes), f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint, {made}")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _cut(bits: list[int], parts: int) -> list[int]:
+    """Masks of ``parts`` runs of nearly equal length over ``bits``."""
+    edges = [round(k * len(bits) / parts) for k in range(parts + 1)]
+    return [sum(1 << b for b in bits[a:z]) for a, z in zip(edges, edges[1:])]
+
+
+def exact_masks(limit: int, codes: int, base: int = 0, spare: int = 2) -> list[int]:
+    """Masks one of which any two codes of at most ``limit`` differing bits agree on; ``base`` is held already.
+
+    ``spare`` segments more than the limit are kept equal; for more ``codes`` there are more of them, so that random
+    codes meet few others under a node.
+    """
+    free = [b for b in range(64) if not base >> b & 1]
+    while not base and spare < 4 and codes > 16 << (64 * spare // (limit + spare)):
+        spare += 1
+    parts = _cut(free, min(limit + spare, max(limit + 1, len(free))))
+    return [base | sum(x) for x in combinations(parts, len(parts) - limit)]
 
 
-def _linker(limit: int):
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; a bucket may span batches."""
+def sampled_masks(codes: int, lanes: int, similar: float = SIMILAR, met: float = MET, seed: int = SEED) -> list[tuple[int, ...]]:
+    """Masks (one word a lane) of random bits, so many that a share ``met`` of pairs just ``similar`` agrees on one.
+
+    A bit of such a pair is equal with probability 1 - angle / pi. More ``codes`` take wider masks, so that random codes
+    meet few others under a node, and with them more masks: their number grows as codes^0.24 for a similarity of 0.8.
+    """
+    width = max(13, codes.bit_length() - 8)
+    equal = 1 - math.acos(2 * similar / (1 + similar)) / math.pi
+    return _drawn(math.ceil(math.log(1 - met) / math.log(1 - equal**width)), width, (0,) * lanes, seed)
+
+
+def _drawn(many: int, width: int, base: tuple[int, ...], seed: int = SEED) -> list[tuple[int, ...]]:
+    rng = random.Random(f"{seed} {base}")
+    free = [(k, b) for k, held in enumerate(base) for b in range(64) if not held >> b & 1]
+    out = []
+    for _ in range(many):
+        mask = list(base)
+        for k, b in rng.sample(free, min(width, len(free))):
+            mask[k] |= 1 << b
+        out.append(tuple(mask))
+    return out
+
+
+def _gray_rank(code: str) -> Column:
+    r = F.col(code)
+    for s in (1, 2, 4, 8, 16, 32):
+        r = r.bitwiseXOR(F.shiftrightunsigned(r, s))
+    return r
+
+
+def _linker(limit: int, lanes: int, counts: bool):
+    names = [f"{end}{k or ''}" for end in "uv" for k in range(lanes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by upper node and Gray rank; a node may span batches."""
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out(bucket: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_links(bucket, codes, limit)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
+            a, b, visited, pruned = bucket_links(bucket, codes, limit)
+            if counts:
+                return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (visited, pruned, len(a))], ["groups", "pruned", "links"])
+            pairs = codes.view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[x, k])) for x in (a, b) for k in range(lanes)], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
-            codes = batch.column("code").to_numpy(zero_copy_only=False).view(np.uint64)
+            codes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _lanes(lanes)], axis=1).view(np.uint64)
             last = int(np.searchsorted(bucket, bucket[-1]))
             if held and (last or held[-1][0][-1] != bucket[0]):
-                cut = last if last else 0
-                yield out(np.concatenate([x for x, _ in held] + [bucket[:cut]]), np.concatenate([y for _, y in held] + [codes[:cut]]))
+                yield out(np.concatenate([x for x, _ in held] + [bucket[:last]]), np.concatenate([y for _, y in held] + [codes[:last]]))
                 held = []
             elif last:
                 yield out(bucket[:last], codes[:last])
@@ -99,80 +192,145 @@ def _linker(limit: int):
         if held:
             yield out(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
 
-    return links
+    return run
 
 
-def links(codes: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
-    """(u, v): links that span all components of distinct ``codes`` (code bigint)."""
+def _placed(codes: DataFrame, orders: list[tuple[int, ...]], finer, crowd: int) -> DataFrame:
+    """(bucket, codes): every code under its upper nodes; ``orders`` are masks, one word a lane; ``finer`` splits a mask."""
+    spark, lanes = codes.sparkSession, len(orders[0])
+    names, held = _lanes(lanes), [f"m{k}" for k in range(lanes)]
 
-    def segment(k: int) -> Column:
-        at, width = SEGMENTS[k]
-        return F.shiftrightunsigned("code", at).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+    def under(rows: DataFrame) -> DataFrame:
+        patterns = [F.col(c).bitwiseAND(F.col(f"mask.{m}")) for c, m in zip(names, held)]
+        return rows.select("mask", *names, F.xxhash64(*[f"mask.{m}" for m in held], *patterns).alias("bucket"))
 
-    pairs = list(combinations(range(len(SEGMENTS)), 2))
-    keys = F.array(
-        *[
-            F.lit(i << 22).cast("bigint").bitwiseOR(F.shiftleft(segment(a), 11)).bitwiseOR(segment(b))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    keyed = codes.select("code", F.explode(keys).alias("key"))
-    shared = (
-        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("key", F.ceil(F.pow(F.col("n") / F.lit(block), F.lit(_GROWTH))).cast("int").alias("blocks"))
-    )
-    mine = F.pmod(F.xxhash64("code", F.lit(7)), F.col("blocks")).cast("int")
-    together = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
-        F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("mine")),
-            lambda j: F.least(j, F.col("mine")) * F.col("blocks") + F.greatest(j, F.col("mine")),
-        )
-    )
-    grouped = (
-        keyed.join(shared, "key").withColumn("mine", mine)
-        .select("code", "key", F.explode(together).alias("pair"))
-        .select("code", F.xxhash64("key", "pair").alias("bucket"))
-    )
-    n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return grouped.repartition(n, "bucket").sortWithinPartitions("bucket").select("bucket", "code").mapInArrow(
-        _linker(limit), "u bigint, v bigint"
-    )
+    masks = F.array(*[F.struct(*[F.lit(_signed(x)).alias(m) for m, x in zip(held, mask)]) for mask in orders])
+    rows = under(codes.select(*names, F.explode(masks).alias("mask")))
+    total, level, out = codes.count() * len(orders), set(orders), None
+    for _ in range(DEPTH):
+        # crowded nodes are recognised from a sample of codes, as nothing but the split depends on it
+        least = max(crowd, total // _CROWDS) / _SAMPLE
+        some = rows.where(F.pmod(F.xxhash64(F.lit(3), *names), F.lit(_SAMPLE)) == 0)
+        hot = materialise(some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("bucket"))
+        if hot.isEmpty():
+            break
+        few = F.broadcast(hot)  # at most _SAMPLE * _CROWDS rows, as each has more than ``least`` of the rows
+        quiet = rows.join(few, "bucket", "left_anti").select("bucket", *names)
+        out = quiet if out is None else out.unionByName(quiet)
+        split = {m: finer(m) for m in level}
+        kind = "struct<" + ", ".join(f"{m}: bigint" for m in held) + ">"
+        known = [(tuple(map(_signed, m)), [tuple(map(_signed, x)) for x in xs]) for m, xs in split.items()]
+        sub = F.broadcast(spark.createDataFrame(known, f"mask {kind}, masks array<{kind}>"))
+        level = {x for xs in split.values() for x in xs}
+        rows = under(rows.join(few, "bucket", "left_semi").join(sub, "mask").select(*names, F.explode("masks").alias("mask"))).distinct()
+    rest = rows.select("bucket", *names)
+    out = rest if out is None else out.unionByName(rest)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return out.withColumn("rank", _gray_rank("code")).repartition(n, "bucket").sortWithinPartitions("bucket", "rank").select("bucket", *names)
 
 
-def _rooted(classes: DataFrame, limit: int) -> DataFrame:
-    """code, least, root per row of ``classes`` (code, least; codes are distinct)."""
-    roots = components(links(classes.select("code"), limit))
-    return classes.join(roots, classes["code"] == roots["node"], "left").select(
-        "code", "least", F.coalesce("root", "code").alias("root")
-    )
+def _exact(codes: DataFrame, limit: int, crowd: int) -> DataFrame:
+    def tuples(codes: int, base: int = 0) -> list[tuple[int]]:
+        return [(m,) for m in exact_masks(limit, codes, base)]
+
+    return _placed(codes, tuples(codes.count()), lambda m: tuples(0, m[0]), crowd)
+
+
+def links(codes: DataFrame, limit: int = LIMIT, crowd: int = CROWD) -> DataFrame:
+    """(u, v): links of at most ``limit`` differing bits that span all components of distinct ``codes`` (code bigint)."""
+    return _exact(codes, limit, crowd).mapInArrow(_linker(limit, 1, False), "u bigint, v bigint").where("u <> v")
+
+
+def index_counts(codes: DataFrame, limit: int = LIMIT, crowd: int = CROWD) -> DataFrame:
+    """(groups, pruned, links): nodes that queries met, those left out by accumulated differences, links returned."""
+    met = _exact(codes, limit, crowd).mapInArrow(_linker(limit, 1, True), "groups bigint, pruned bigint, links bigint")
+    return met.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("groups", "pruned", "links")])
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, fingerprint, component_id per row of ``docs`` (doc_id, text)."""
     prints = materialise(fingerprints(docs).drop("key"))
-    rooted = _rooted(materialise(prints.groupBy("code").agg(F.min("doc_id").alias("least"))), limit)
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("code", "component_id")
-    return prints.join(named, "code").select(
+    classes = materialise(prints.groupBy("code").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    named = materialise(_named(classes, "code", components(links(classes.select("code"), limit)), F.min("least").alias("component_id")))
+    return join_spread(prints, named.select("code", "component_id", "n"), "code", prints.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def _named(classes: DataFrame, node: str, roots: DataFrame, name: Column) -> DataFrame:
+    """The rows of ``classes``, each with what ``name`` aggregates over its component; a large component is spread."""
+    rooted = materialise(
+        classes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+    )
+    names = materialise(rooted.groupBy("root").agg(name, F.count(F.lit(1)).alias("n")))
+    return join_spread(rooted, names, "root", rooted.count())
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id (of repeated rows, one).
+def grams(text: Column, width: int) -> Column:
+    """Distinct word shingles of a whole text as hashes; fewer words: the whole sequence; none: empty. Native."""
+
+    def of(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
+        return F.when(F.size(w) >= width, F.array_distinct(each)).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(
+            F.array().cast("array<bigint>")
+        )
+
+    return let(words_of(ascii_lower(text)), of)
+
+
+def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """The ``pairs`` (u, v: nodes) whose representatives' shingle sets have a Jaccard similarity of ``least`` or more.
 
-    Rows are told apart by doc_id and text: an id is null only where a component has no other, and neither null nor
-    repeated ids mix up components. Of one id's texts in a component, the one with the smallest hash stays.
+    ``classes`` holds node and the representative's doc_id and key; only texts of linked nodes are cut into shingles.
     """
-    rows = fingerprints(docs).groupBy("code", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = classes.join(ends, "node").select("node", F.col("least.doc_id").alias("id"), F.col("least.key").alias("hash"))
+    plain = docs.select("doc_id", "text")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.xxhash64("text"))
+    texts = plain.join(asked.hint("merge"), same).select("node", grams(F.col("text"), width).alias("g"))
+    sets = materialise(texts.groupBy("node").agg(F.first("g").alias("g")))  # repeated rows have the same set
+    left, right = sets.select(F.col("node").alias("u"), F.col("g").alias("a")), sets.select(F.col("node").alias("v"), F.col("g").alias("b"))
+    both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").withColumn("common", F.size(F.array_intersect("a", "b")))
+    return both.where(F.col("common") >= F.lit(least) * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
+
+
+def survivors(
+    docs: DataFrame, width: int = STAGE_WIDTH, lanes: int = STAGE_LANES, limit: int = STAGE_LIMIT, least: float = SIMILAR, crowd: int = CROWD
+) -> DataFrame:
+    """(doc_id, key, n): the row that stays for each group of near duplicates, and how often ``docs`` repeats it.
+
+    Candidates come from the index over ``lanes`` x 64 bits (at most ``limit`` differing); a candidate is a link if the
+    exact similarity of its shingle sets is ``least`` or more. Equal fingerprints count as equal texts.
+    """
+    names = _lanes(lanes)
+    rows = fingerprints(docs, width, lanes).groupBy(*names, "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "n")
-    rooted = _rooted(materialise(rows.groupBy("code").agg(F.min(row).alias("least"))), LIMIT)
-    found = materialise(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.key", "least.n"))
+    classes = materialise(rows.groupBy(*names).agg(F.min(row).alias("least")).withColumn("node", F.xxhash64(*names)))
+    placed = _placed(classes.select(*names), sampled_masks(classes.count(), lanes, least), lambda m: _drawn(16, 6, m), crowd)
+    ends = [f"{end}{k or ''}" for end in "uv" for k in range(lanes)]
+    found = placed.mapInArrow(_linker(limit, lanes, False), ", ".join(f"{c} bigint" for c in ends))
+    nodes = found.select(F.xxhash64(*ends[:lanes]).alias("a"), F.xxhash64(*ends[lanes:]).alias("b"))
+    pairs = materialise(nodes.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    roots = components(similar_pairs(docs, classes, pairs, width, least))
+    grouped = classes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    return materialise(grouped.agg(F.min("least").alias("least")).select("least.doc_id", "least.key", "least.n"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the one with the smallest doc_id (of repeated rows, one).
+
+    Near duplicates are texts whose sets of five-word shingles have a similarity of 0.8 or more, found from SimHash
+    candidates (``survivors``), and chains of such texts. Rows are told apart by doc_id and text: an id is null only where
+    a group has no other, and neither null nor repeated ids mix up groups. Of one id's texts in a group, the one with the
+    smallest hash stays. Null texts are empty, and of all texts without words one stays; an empty table gives an empty
+    one; all columns come through, whatever their names.
+    """
+    found = survivors(docs)
     same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["key"])
     # always by key: a plan that broadcasts small inputs says nothing about large ones
     kept = docs.join(found.hint("merge"), same).select(
