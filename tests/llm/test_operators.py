@@ -575,6 +575,108 @@ def test_classifier(spark, docs, nothing):
     assert quality_classifier.classify(nothing, said).count() == 0
 
 
+def plain_classifier(rows, said):
+    """(evidence, host posterior, path posterior, score) per row, worked out in plain Python."""
+    from statistics import fmean
+
+    q = quality_classifier
+    x = [q.features((t or "").encode()) for _, t, _, _ in rows]
+    seen, told = defaultdict(list), defaultdict(list)
+    for i, y in said:
+        if i is not None and y is not None:
+            told[i].append(y)
+    for r, v in zip(rows, x):
+        if r[0] in told:
+            seen[r[0]].append(v)
+    fx, fy = [[fmean(c) for c in zip(*v)] for v in seen.values()], [fmean(told[i]) for i in seen]
+    w, b = q.fit(np.array(fx), np.array(fy))
+    rate = min(0.99, max(0.01, fmean(fy)))
+    odds = [min(12.0, max(-12.0, b + sum(c * d for c, d in zip(v, w)))) for v in x]
+    p = [fmean(told[r[0]]) if r[0] in told else 1 / (1 + math.exp(-o)) for r, o in zip(rows, odds)]
+    host, path = [r[3] or "" for r in rows], [f"{r[3] or ''}/{r[2] or ''}" for r in rows]
+    mean = min(0.99, max(0.01, fmean(p)))
+
+    def sites(names):
+        good, n = Counter(), Counter()
+        for s, v in zip(names, p):
+            good[s] += v
+            n[s] += 1
+        noise = mean * (1 - mean)
+        spread = sum(n[s] * (good[s] / n[s] - mean) ** 2 for s in n)
+        between = max(0.0, (spread - noise * len(n)) / sum(n.values()))
+        k = q.STRENGTH[1] if len(n) < 2 or not between else min(q.STRENGTH[1], max(q.STRENGTH[0], noise / between - 1))
+        return good, n, k
+
+    (hg, hn, hk), (pg, pn, pk) = sites(host), sites(path)
+    out = []
+    for r, o, v, h, s in zip(rows, odds, p, host, path):
+        hp = (hk * mean + hg[h] - v) / (hk + hn[h] - 1)
+        pp = (pk * hp + pg[s] - v) / (pk + pn[s] - 1)
+        inside = min(1 - 1e-4, max(1e-4, pp))
+        e = o - math.log(rate / (1 - rate))
+        out.append((e, hp, pp, 1 / (1 + math.exp(-(e + math.log(inside / (1 - inside)))))))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 14])
+def test_classifier_against_plain_version(spark, hot, monkeypatch):
+    """Both posteriors, the prior strengths and the score, with hot sites broadcast and without."""
+    from threadloom.llm import common
+
+    monkeypatch.setattr(common, "_LEAST_HOT", hot)
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(500):
+        site = f"h{min(int(rng.exponential(3)), 12)}"
+        good = rng.random() < (0.9 if site in ("h0", "h3", "h5") else 0.2)
+        text = " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 5)) for _ in range(int(rng.integers(3, 60)))) + (" plain" if good else " BUY!! #1")
+        rows.append((i, text, rng.choice(["en", "fr"]), site))
+    rows += [(None, None, None, None), (None, "x", "en", None), rows[5], rows[5], (3, "another text of the same id", "fr", "h0")]
+    said = [(i, int(rng.random() < 0.5)) for i in range(0, 300, 3)] + [(6, 1), (6, None), (None, 1), (9999, 1)]
+    df = spark.createDataFrame([(None if a is None else int(a), b, None if c is None else str(c), d, 1.0, "h") for a, b, c, d in rows], "doc_id long, text string, lang string, source string, p double, host string")
+    got = quality_classifier.classify(df, spark.createDataFrame(said, "doc_id long, quality int"))
+    key = lambda t: (str(t[0]), *[round(float(v), 6) for v in t[1:]])
+    mine = sorted(key((r.doc_id, r.evidence, r.host_posterior, r.path_posterior, r.score)) for r in got.collect())
+    assert mine == sorted(key((r[0], *v)) for r, v in zip(rows, plain_classifier(rows, said)))
+
+
+def test_fit_is_the_optimum():
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=(300, 9)), (rng.random(300) < 0.4).astype(float)
+    w, b = quality_classifier.fit(x, y)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(z.T @ (y - p) - quality_classifier.RIDGE * w * (x.std(0) + 1e-9)).max() < 1e-4
+
+
+def test_sites_help_where_texts_say_little(spark):
+    """Sites of one quality each, texts that tell nothing: labels of a site's other documents order the unlabelled ones."""
+    rng = np.random.default_rng(14)
+    rows, good = [], {}
+    for i in range(600):
+        site = i % 30
+        good[i] = site % 2 == 0
+        rows.append((i, " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 5)) for _ in range(int(rng.integers(5, 60)))), "en", f"s{site}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    said = spark.createDataFrame([(i, int(good[i])) for i in range(0, 600, 7)], "doc_id long, quality int")
+    out = [r for r in quality_classifier.classify(df, said).collect() if r.doc_id % 7]
+
+    def auc(value):
+        up, down = [value(r) for r in out if good[r.doc_id]], [value(r) for r in out if not good[r.doc_id]]
+        return sum((a > b) + 0.5 * (a == b) for a in up for b in down) / (len(up) * len(down))
+
+    assert auc(lambda r: r.score) > 0.75 > 0.6 > auc(lambda r: r.evidence)
+
+
+def test_labelled_sample_is_bounded(spark):
+    """Whole levels of hashes, never more than the bound, repeated ids one row each."""
+    x = [0.5] * len(quality_classifier.FEATURES)
+    known = spark.createDataFrame([(i % 5000, x) for i in range(6000)], "doc_id long, x array<double>").repartition(16)
+    said = spark.createDataFrame([(i, 1.0) for i in range(0, 10_000, 2)], "doc_id long, y double")
+    taken = {n: quality_classifier.labelled(known, said, n).count() for n in (0, 1, 100, 1000, 10_000)}
+    assert taken[10_000] == 2500 and taken[0] == 0 and taken[1] <= 1 and 60 <= taken[100] <= 100 and 850 <= taken[1000] <= 1000
+
+
 def test_shrinkage(spark):
     """A site of one document stays nearer to the whole than a site of many."""
     rows = [(i, "BUY!! ### $$$ " * 20, "en", "big") for i in range(50)] + [(100, "BUY!! ### $$$ " * 20, "en", "small")] + [(200 + i, "plain words follow here " + "abc def " * i, "en", "good") for i in range(50)]

@@ -1,18 +1,24 @@
 """Quality classifier: hierarchical empirical Bayes over document, path and host.
 
 1. One pass over the whole texts gives each document a short vector of shape measurements.
-2. A logistic model is fitted on at most ``SAMPLE`` labelled documents (smallest hash of doc_id; the only bounded sample
-   here). A document's evidence is its log-odds under the model less the log-odds of the fitted base rate.
-3. Expected good documents per path and host are grouped sums over all documents. The spread between sites, by moments,
-   gives the strength of the prior: hosts shrink towards the global rate, paths towards their host; sparse sites shrink
-   most. A document's own contribution is taken out of its sites before they speak about it.
+2. A logistic model is fitted on at most ``SAMPLE`` labelled documents (whole levels of the smallest hashes of doc_id; the
+   only bounded sample here). The cut-off comes from counts per level, so no more than the sample ever travels to the
+   driver, whatever the number of tasks or labels. A document's evidence is its log-odds under the model less the
+   log-odds of the fitted base rate.
+3. Good documents per path and host are grouped sums over all documents: a labelled document counts with its label, any
+   other with its probability. The spread between sites, by moments, gives the strength of the prior: hosts shrink towards
+   the global rate, paths towards their host; sparse sites shrink most. A document's own contribution is taken out of its
+   sites before they speak about it, so its own label never reaches its score.
 4. score = sigmoid(evidence + log-odds of the path posterior); kept from ``KEEP`` on.
 
-Host is ``source``; the path below it is ``lang`` (for tables with URLs pass other columns).
+Host is ``source``; the path below it is ``lang`` (for tables with URLs pass other columns). Sites of very many documents
+are broadcast (a bounded number), all others joined by key, so no site's documents meet in one task.
 
-Defined results: null texts are empty texts; null hosts and paths are sites of their own, named ''; a null doc_id is
-carried; repeated rows are scored one by one; a document with several labels has their mean; without any label the
-evidence is 0 and the rate 1/2, so all documents stay; an empty table gives an empty result; extra columns are ignored.
+Defined results: null texts are empty texts; very long texts are measured whole, one at a time; null hosts and paths are
+sites of their own, named ''; a null doc_id is carried and has no label; repeated rows are scored one by one, each with
+the label of its id; for the fit, an id's rows are averaged to one; a document with several labels has their mean; ties
+of hashes fall into one level and are taken or left together; without any label the evidence is 0 and the rate 1/2, so all
+documents stay; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialise, table
+from threadloom.llm.common import join_spread, materialise, table
 
 SAMPLE = 20_000
 KEEP = 0.5
@@ -106,11 +112,41 @@ def _strength(sites: DataFrame, mean: float) -> float:
     return float(min(STRENGTH[1], max(STRENGTH[0], noise / between - 1 if between > 0 else STRENGTH[1])))
 
 
+def _cut_off(ids: DataFrame, sample: int) -> float:
+    """The share of the hash range below which at most ``sample`` of the distinct ``ids`` lie.
+
+    Levels are sixteenths of a power of two, so the driver sees at most 1024 counts.
+    """
+    level = F.floor(-16 * F.log2(_place(F.col("doc_id"))))
+    counts = {r["level"]: r["n"] for r in ids.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken, least = 0, None
+    for k in sorted(counts, reverse=True):
+        taken += counts[k]
+        if taken > sample:
+            return 0.0 if least is None else 2.0 ** (-least / 16)
+        least = k
+    return 1.0
+
+
+def _place(key: Column) -> Column:
+    """A hash of ``key`` as a number above 0 and up to 1."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(42), key), 11) + 1) / F.lit(float(1 << 53))
+
+
+def labelled(known: DataFrame, said: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, x, y): at most ``sample`` documents of ``known`` (doc_id, x) with their mean label, those of least hash."""
+    ids = known.select("doc_id").join(said.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    few = said.where(_place(F.col("doc_id")) <= F.lit(_cut_off(ids, sample)))
+    means = [F.avg(F.get("x", F.lit(k))).alias(f"x{k}") for k in range(len(FEATURES))]
+    rows = known.join(few, "doc_id").groupBy("doc_id").agg(*means, F.first("y").alias("y"))
+    return rows.select("doc_id", F.array(*[f"x{k}" for k in range(len(FEATURES))]).alias("x"), "y")
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """doc_id, host, path, evidence, host_posterior, path_posterior, score, kept per row of ``docs``."""
     known = measured(docs, host, path)
-    said = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
-    chosen = known.join(said, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", "y").collect()
+    said = materialise(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("y")))
+    chosen = labelled(known, said, sample).select("x", "y").collect()  # at most ``sample`` rows
     if chosen:
         x, y = np.array([r["x"] for r in chosen]), np.array([r["y"] for r in chosen], dtype=float)
         weights, intercept = fit(x, y)
@@ -122,16 +158,19 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     for k, w in enumerate(weights):
         odds = odds + F.get("x", F.lit(k)) * F.lit(float(w))
     odds = F.least(F.greatest(odds, F.lit(-12.0)), F.lit(12.0))
-    scored = known.select("doc_id", "host", "path", odds.alias("odds")).withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))
+    plain = known.select("doc_id", "host", "path", odds.alias("odds"))
+    # null ids have no label and would all meet in one task of the join
+    told = plain.where("doc_id is not null").join(said, "doc_id", "left").unionByName(plain.where("doc_id is null").withColumn("y", F.lit(None).cast("double")))
+    scored = materialise(told.withColumn("p", F.coalesce("y", 1 / (1 + F.exp(-F.col("odds"))))).drop("y"))
     paths = materialise(scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).cast("double").alias("n")))
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    whole = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
+    hosts = materialise(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("paths")))
+    whole = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.sum("paths").alias("paths")).first()
     mean = float(np.clip(whole["good"] / whole["n"], 0.01, 0.99)) if whole["n"] else rate
     k_host, k_path = _strength(hosts, mean), _strength(paths, mean)
-    sites = paths.select("path", "host", F.col("good").alias("path_good"), F.col("n").alias("path_n")).join(
-        hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_n")), "host"
-    )
-    joined = scored.join(sites.drop("host"), "path")
+    above = hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_n"), F.col("paths").alias("n"))
+    sites = join_spread(paths.select("path", "host", F.col("good").alias("path_good"), F.col("n").alias("path_n")), above, "host", int(whole["paths"] or 0))
+    sites = materialise(sites.drop("host").withColumn("n", F.col("path_n")))
+    joined = join_spread(scored, sites, "path", int(whole["n"] or 0))
     host_post = (F.lit(k_host * mean) + F.col("host_good") - F.col("p")) / (F.lit(k_host) + F.col("host_n") - 1)
     path_post = (F.lit(k_path) * F.col("host_posterior") + F.col("path_good") - F.col("p")) / (F.lit(k_path) + F.col("path_n") - 1)
     inside = F.least(F.greatest(F.col("path_posterior"), F.lit(1e-4)), F.lit(1 - 1e-4))
