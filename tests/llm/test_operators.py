@@ -484,13 +484,15 @@ def test_chat_query(spark, tmp_path):
 # 9
 
 
-@pytest.mark.parametrize("shard", [4096, 50])
-def test_topk(spark, shard):
+@pytest.mark.parametrize("shard, visitors, cell", [(16384, 16384, 256), (50, 3, 20), (7, 1, 4)])
+def test_topk(spark, shard, visitors, cell, monkeypatch):
+    monkeypatch.setattr(topk_search, "CELL", cell)
     rng = np.random.default_rng(6)
     v = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(300)]
     v += [(400 + i, v[3][1]) for i in range(150)] + [(500, None), (501, [1.0, None]), (502, [float("nan")] * 8), (None, v[0][1]), (503, [1.0]), (550, [2.0]), (600, [])]
-    df = spark.createDataFrame([(i, x, 1) for i, x in v], "vec_id long, embedding array<float>, rank int")
-    got = topk_search.top_k(df, df.where("vec_id % 50 = 0"), shard=shard, block=3).collect()
+    v += [(1000 + i, [float(i)] * 300) for i in range(4)] + [(1050, [0.0] * 8), (1051, [-0.0] * 8)]
+    df = spark.createDataFrame([(i, x, 1, 2, 3) for i, x in v], "vec_id long, embedding array<float>, rank int, q int, cell int")
+    got = topk_search.top_k(df, df.where("vec_id % 50 = 0"), shard=shard, visitors=visitors).collect()
     ok = [(i, [math.floor(256 * c) for c in x]) for i, x in v if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
     want = []
     for i, q in ok:
@@ -499,6 +501,26 @@ def test_topk(spark, shard):
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     same([(r.query_id, r["rank"], r.vec_id, r.score) for r in got], want)
     assert topk_search.top_k(df.where("false"), df.where("false")).count() == 0
+    assert topk_search.top_k(df.where("false"), df).count() == 0 and topk_search.top_k(df, df.where("false")).count() == 0
+
+
+def test_topk_repeated_rows(spark):
+    """A repeated query counts once per different vector, repeated candidates each, and never a query's own id."""
+    v = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk_search.top_k(df, df.where("vec_id = 50")).collect()]
+    s = 65536
+    same(got, [(50, 1, 1, 3 * s), (50, 2, 1, 3 * s), (50, 3, 2, 0), (50, 1, 2, 2 * s), (50, 2, 1, 0), (50, 3, 1, 0)])
+
+
+def test_topk_leaves_cells_out(spark):
+    """On clustered vectors most visits are dropped before vectors move."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 16)) * 4
+    v = [(i, [float(x) for x in centres[i % 20] + rng.normal(size=16) * 0.1]) for i in range(4000)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    counts = topk_search.search_counts(df, df.where("vec_id % 50 = 0"))
+    assert sum(n for n, _ in counts) < 0.6 * counts[0][1]
 
 
 # 10
