@@ -234,16 +234,22 @@ def secrets_of(t):
     base = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(SECRETS) for m in p.finditer(t) if len(m[g]) >= n)
     more = []
     for m in re.finditer(secret_scan.CANDIDATE, t):
-        c = m[0]
-        if not re.search(secret_scan.MIXED, c) or any(re.search(a, c) for a in secret_scan.ALLOWED) or any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        k, cls = next((k, x) for k, x in enumerate(secret_scan.CLASSES) if re.search(x.regex, c))
-        d, n = c.lower() if cls.alphabet.islower() else c, secret_scan.WINDOW
-        scale = 1 << 20
-        cost = [sum(round(v * math.log2(v) * scale) for v in Counter(d[i : i + n]).values()) for i in range(len(d) - n + 1)]
-        hit = [i for i, x in enumerate(cost) if x <= round(n * math.log2(n) * scale - cls.bits * n * scale)]
-        if hit:
-            more.append((m.start() + hit[0], 3 + k, m.start() + hit[-1] + n))
+        free = [True] * len(m[0])
+        for s, _, e in base:
+            for i in range(max(s, m.start()), min(e, m.end())):
+                free[i - m.start()] = False
+        for part in re.finditer("1+", "".join("01"[f] for f in free)):
+            c, begin = m[0][part.start() : part.end()], m.start() + part.start()
+            n = secret_scan.WINDOW
+            if len(c) < n or not re.search(secret_scan.MIXED, c) or any(re.search(a, c) for a in secret_scan.ALLOWED) or len(re.sub(secret_scan.PLACEHOLDERS, "", c)) < n:
+                continue
+            k, cls = next((k, x) for k, x in enumerate(secret_scan.CLASSES) if re.search(x.regex, c))
+            d = c.lower() if cls.alphabet.islower() else c
+            scale = 1 << 20
+            cost = [sum(round(v * math.log2(v) * scale) for v in Counter(d[i : i + n]).values()) for i in range(len(d) - n + 1)]
+            hit = [i for i, x in enumerate(cost) if x <= round(n * math.log2(n) * scale - cls.bits * n * scale)]
+            if hit:
+                more.append((begin + hit[0], 3 + k, begin + hit[-1] + n))
     return base, sorted(base + more)
 
 
@@ -251,6 +257,14 @@ def shown(spans):
     return ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+#: Keys beside base spans, and with placeholder words in or around them.
+KEY = "aB3dE5fG7hI9jK1lM2nO4pQ6rS8tU0vW2xY4zA6b"
+BESIDE = [
+    "AKIA" + "QW3E" * 4 + "/" + KEY, KEY + "_token=abcdef", f"/sample/hooks/{KEY}", "aB3dE5fG70000I9jK1lM2nO4pQ6xY8z", "example1example2example3sample4",
+    "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", f"x {KEY}/deadbeefdeadbeefdeadbeef0/{KEY}=token=abcdefgh.{KEY}", "DEADBEEF0000123456789ABCDEF98765",
+]
+
+
 @pytest.fixture(scope="module")
 def leaks(spark):
     texts = [
@@ -273,6 +287,17 @@ def test_secrets(spark, docs, rows, leaks, nothing):
     assert secret_scan.report(nothing).count() == 0
 
 
+def test_keys_beside_other_spans(spark):
+    """What stands beside a base span or a placeholder word is found; placeholders alone are not."""
+    out = secret_scan.report(spark.createDataFrame(list(enumerate(BESIDE)), "doc_id long, text string"))
+    got = {r.doc_id: [tuple(s.split(":")) for s in r.spans.split(",") if s] for r in out.collect()}
+    kinds = {i: [k for k, _, _ in v] for i, v in got.items()}
+    assert kinds[0] == ["access", "entropy_base64"] and kinds[1] == ["entropy_base64", "assign"] and kinds[2] == kinds[3] == ["entropy_base64"]
+    assert kinds[4] == kinds[5] == [] and kinds[6] == ["entropy_base64", "hex", "entropy_base64", "assign"] and kinds[7] == ["entropy_hex"]
+    start, end = map(int, got[0][1][1:])
+    assert BESIDE[0][start:end] == "/" + KEY
+
+
 def test_secrets_in_long_runs(spark):
     """Patterns stay linear on long runs of separators, digits and letters, which no candidate test may try in all ways."""
     texts = ["-" * 60 + "1a2", "=/" * 20_000 + "1a2", "7" * 300_000, "7" * 300_000 + "!", "word_" * 40_000 + "12", "Ab-" * 40_000 + "123456789"]
@@ -484,7 +509,7 @@ def test_chat_query(spark, tmp_path):
 # 9
 
 
-@pytest.mark.parametrize("shard, visitors, cell", [(16384, 16384, 256), (50, 3, 20), (7, 1, 4)])
+@pytest.mark.parametrize("shard, visitors, cell", [(16384, 16384, 1024), (50, 3, 20), (7, 1, 4)])
 def test_topk(spark, shard, visitors, cell, monkeypatch):
     monkeypatch.setattr(topk_search, "CELL", cell)
     rng = np.random.default_rng(6)

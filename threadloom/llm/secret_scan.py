@@ -3,14 +3,18 @@
 Candidates are the runs ``[A-Za-z0-9+/_=-]{20,}``. Each belongs to a character class (hex, or base64 for the rest). A
 window of ``WINDOW`` characters slides over it; one count per character is raised for the character that enters and
 lowered for the one that leaves, and the sum of c*log2(c) follows by table look-up in whole numbers, so the entropy of
-every window costs one step. Windows at or over the class's threshold are hulled into one span. Candidates that an
-allow-list pattern matches, or that touch a base span, are suppressed.
+every window costs one step. Windows at or over the class's threshold are hulled into one span.
+
+Base spans are cut out of a candidate, and the window slides over each part that is left, so a key beside an access id or
+an assignment is still found. The allow-list suppresses a part that it matches as a whole (``ALLOWED``), or of which its
+placeholder words leave less than one window (``PLACEHOLDERS``); a key that merely holds such a word counts.
 
 Positions are code points from 0, end exclusive. They come from splitting the text at the matches and summing lengths, so
 everything stays in built-in expressions; texts without a match are settled by one regular-expression search.
 
-Defined results: a null text is empty (no spans); a null doc_id is carried; repeated rows stay; an empty table gives an
-empty result; extra columns of the input are ignored.
+Defined results: a null text is empty (no spans); a null doc_id is carried; repeated rows stay; spans of one start go by
+kind; a very long text is scanned whole, in one row; an empty table gives an empty result; extra columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -64,13 +68,15 @@ CLASSES: tuple[CharClass, ...] = (
     CharClass("entropy_hex", "^[0-9A-Fa-f]+$", "0123456789abcdef", 2.8),
     CharClass("entropy_base64", ".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.6),
 )
-#: Candidates that are no secrets: UUIDs, placeholders, slugs and paths of plain words, dates and versions.
+#: Parts that are no secrets: UUIDs, a key that public manuals print, slugs and paths of plain words, dates and versions.
 ALLOWED: tuple[str, ...] = (
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    "(?i)example|sample|placeholder|dummy|changeme|xxxx|0000|1234567",
+    "^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",
     "^[-A-Za-z_/=+]*[0-9]{0,8}$",
     "^[0-9=+/_-]*$",
 )
+#: Words of made-up values.
+PLACEHOLDERS = "(?i)example|sample|placeholder|dummy|changeme|x{4,}|0{4,}|1234567"
 KINDS: tuple[str, ...] = tuple(p.kind for p in BASE) + tuple(c.kind for c in CLASSES)
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -156,7 +162,7 @@ def _entropy_span(text: Column, alphabet: str, bits: float) -> Column:
 
 
 def _columns(source: Column) -> tuple:
-    """Base spans, candidates, and the function that turns a candidate into a span."""
+    """Base spans, candidates, the test that a part passes, and the function that turns it into a span."""
     text = F.coalesce(source, F.lit(""))
 
     def as_spans(p: Pattern, k: int) -> Column:
@@ -166,10 +172,10 @@ def _columns(source: Column) -> tuple:
     base = F.array_sort(F.concat(*[as_spans(p, k) for k, p in enumerate(BASE)])).cast(_SPAN)
 
     def secretive(t: Column) -> Column:
-        ok = t.rlike(MIXED)
+        ok = (F.length(t) >= WINDOW) & t.rlike(MIXED)
         for a in ALLOWED:
             ok = ok & ~t.rlike(a)
-        return ok
+        return ok & (~t.rlike(PLACEHOLDERS) | (F.length(F.regexp_replace(t, PLACEHOLDERS, "")) >= WINDOW))
 
     def span(c: Column, k: int) -> Column:
         kind = F.lit(len(BASE) + k).alias("kind")
@@ -184,43 +190,64 @@ def _columns(source: Column) -> tuple:
             picked = F.when(c["text"].rlike(CLASSES[k].regex), span(c, k)).otherwise(picked)
         return picked
 
-    candidates = _located(text, CANDIDATE, 0, secretive)
-    return base.alias("base"), candidates.alias("candidates"), judged
+    candidates = _located(text, CANDIDATE, 0, lambda t: t.rlike(MIXED))
+    return base.alias("base"), candidates.alias("candidates"), secretive, judged
 
 
 def spans(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns of ``docs`` plus ``base`` and ``found``: sorted arrays of struct<start, kind, end>."""
-    base, candidates, judged = _columns(F.col("text"))
+    base, candidates, secretive, judged = _columns(F.col("text"))
     first = docs.select(*keep, base, candidates)
     # few texts have candidates, and only those need to know where base spans reach
-    clear = F.when(
+    parts = F.when(
         F.size("candidates") > 0,
         let(
             F.struct(F.col("base").alias("base"), running_max(F.transform("base", lambda b: b["end"])).alias("reach")),
-            lambda known: F.filter("candidates", lambda c: ~_touched(c, known["base"], known["reach"])),
+            lambda known: F.flatten(F.transform("candidates", lambda c: _left_over(c, known["base"], known["reach"]))),
         ),
     ).otherwise(F.col("candidates"))
-    more = F.filter(F.transform(clear, judged), lambda s: s["start"].isNotNull())
+    more = F.filter(F.transform(F.filter(parts, lambda c: secretive(c["text"])), judged), lambda s: s["start"].isNotNull())
     return first.select(*keep, "base", F.array_sort(F.concat("base", more.cast(_SPAN))).alias("found"))
 
 
-def _touched(c: Column, base: Column, reach: Column) -> Column:
-    """Does a span of ``base`` (sorted by start; ``reach``: prefix maxima of the ends) overlap ``c``? By binary search."""
-    n = F.size(base)
-    bounds = F.struct(F.lit(0).alias("low"), n.alias("high"))
+def _first(n: Column, holds) -> Column:
+    """The smallest index from 0 of which the monotone ``holds`` is true, or ``n``; by binary search."""
 
     def halve(at: Column, _: Column) -> Column:
         middle = F.shiftright(at["low"] + at["high"], 1)
-        before = F.get(base, middle)["start"] < c["end"]
-        open_ = at["low"] < at["high"]
+        open_, yes = at["low"] < at["high"], holds(middle)
         return F.struct(
-            F.when(open_ & before, middle + 1).otherwise(at["low"]).alias("low"),
-            F.when(open_ & ~before, middle).otherwise(at["high"]).alias("high"),
+            F.when(open_ & ~yes, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(open_ & yes, middle).otherwise(at["high"]).alias("high"),
         )
 
     steps = F.sequence(F.lit(0), F.floor(F.log2(n)).cast("int"))
-    began = F.aggregate(steps, bounds, halve, lambda at: at["low"])  # base spans that start before the end of c
-    return F.when(n == 0, F.lit(False)).otherwise(F.coalesce(F.get(reach, began - 1) > c["start"], F.lit(False)))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve, lambda at: at["low"])
+
+
+def _left_over(c: Column, base: Column, reach: Column) -> Column:
+    """The parts of ``c`` that no span of ``base`` (sorted by start; ``reach``: prefix maxima of the ends) covers."""
+    n = F.size(base)
+
+    def cut(at: Column) -> Column:
+        touching = F.slice(base, at["low"] + 1, at["high"] - at["low"])
+        # where each span begins, and how far those before it reach
+        begins = F.concat(F.transform(touching, lambda b: b["start"]), F.array(c["end"]))
+        ends = F.concat(F.array(c["start"]), F.slice(reach, at["low"] + 1, at["high"] - at["low"]))
+        gaps = F.filter(F.zip_with(ends, begins, lambda a, b: F.struct(a.alias("start"), F.least(b, c["end"]).alias("end"))), lambda g: g["end"] > g["start"])
+        return F.transform(
+            gaps,
+            lambda g: F.struct(
+                g["start"].alias("start"), g["end"].alias("end"),
+                F.substring(c["text"], (g["start"] - c["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int")).alias("text"),
+            ),
+        )
+
+    whole = F.array(F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text")))
+    touched = F.struct(
+        _first(n, lambda i: F.get(reach, i) > c["start"]).alias("low"), _first(n, lambda i: F.get(base, i)["start"] >= c["end"]).alias("high")
+    )
+    return F.when(n == 0, whole).otherwise(let(touched, lambda at: F.when(at["low"] >= at["high"], whole).otherwise(cut(at))))
 
 
 def _joined(column: str) -> Column:

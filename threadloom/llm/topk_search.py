@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import materialise, table
 
-CELL = 256  # rows that a cell aims at, while there are fewer than CELLS
+CELL = 1024  # rows that a cell aims at, while there are fewer than CELLS
 CELLS = 4096
 FIT = 32_768
 SHARD = 16_384
