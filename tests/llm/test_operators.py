@@ -455,25 +455,91 @@ def test_automaton():
             assert s.automaton.ends[state] == {(k, e) for k, q in enumerate(seqs) for e in range(n, len(q) + 1) if q[e - n : e] == run[a : a + n]}
 
 
+def template(label):
+    return next(t for k, t in license_scan.TEMPLATES if k == label)
+
+
 def test_license_passages():
     s = license_scan.Scanner()
-    bsd = license_scan.TEMPLATES[3][1].encode()
-    assert s.scan(b"before " + bsd + b" after")[5:] == ("bsd", 1.0)
-    broken = b" ".join(w if i % 9 else b"zz" for i, w in enumerate(bsd.split()))
-    labels, score = s.scan(broken)[5:]
-    assert labels == "bsd" and 0.6 <= score < 1
-    assert s.scan(b" ".join(bsd.split()[::-1]))[5:] == ("", 0.0)
+    isc = template("isc").encode()
+    w = license_scan.words(isc)
+    *_, labels, score, spans = s.scan(b"before " + isc + b" after " + isc)
+    assert (labels, score) == ("isc", 1.0)
+    assert [(x["label"], x["first_word"], x["end_word"]) for x in spans] == [("isc", 1, 1 + len(w)), ("isc", 2 + len(w), 2 + 2 * len(w))]
+    broken = b" ".join(x if i % 9 else b"zz" for i, x in enumerate(w))
+    labels, score, spans = s.scan(broken)[5:]
+    assert labels == "isc" and 0.6 <= score < 1 and len(spans) == 1
+    for p in spans[0]["passages"]:
+        assert license_scan.words(broken)[p["start"] : p["start"] + p["words"]] == w[p["template_start"] : p["template_start"] + p["words"]]
+    assert s.scan(b" ".join(w[::-1]))[5:7] == ("", 0.0)
+    # a short quotation is no licence, and the longer of two related licences covers more
+    assert s.scan(b" ".join(w[:20]))[5] == ""
+    assert s.scan(template("bsd-3-clause").encode())[5].split(",")[-1] == "bsd-3-clause"
 
 
 def test_license_passages_that_overlap():
     """A doubled or a lost word costs no more than itself, and a passage inside another template's counts for its own."""
     s = license_scan.Scanner()
-    w = license_scan.words(license_scan.TEMPLATES[3][1].encode())
-    for at in range(6, len(w) - 6):
-        labels, score = s.scan(b" ".join(w[: at + 1] + w[at:]))[5:]
-        assert labels == "bsd" and score == 1.0
+    w = license_scan.words(template("isc").encode())
+    for at in range(6, len(w) - 6, 5):
+        labels, score = s.scan(b" ".join(w[: at + 1] + w[at:]))[5:7]
+        assert labels == "isc" and score == 1.0
     s = license_scan.Scanner((("one", "p q a b c d e f r t"), ("two", "a b c d e f g h")))
-    assert {s.labels[k]: c for k, _, _, c in s.chains(b"p q a b c d e f r t".split())} == {"one": 1.0, "two": 0.75}
+    assert {s.labels[c.template]: c.coverage for c in s.chains(b"p q a b c d e f r t".split())} == {"one": 1.0, "two": 0.75}
+
+
+def test_license_chains_against_all_chains():
+    """Passages, best coverage, labels and spans of random texts, against every chain worked out by recursion."""
+    import random
+
+    rng = random.Random(15)
+    templates = (("one", " ".join(rng.choice("abcd") for _ in range(14))), ("two", " ".join(rng.choice("abcde") for _ in range(11))), ("two", "a b a b a b c d e"))
+    s = license_scan.Scanner(templates)
+    seqs = [t.split() for _, t in templates]
+    hit = 0
+    for _ in range(150):
+        w = []
+        while len(w) < 40:
+            q = rng.choice(seqs)
+            i = rng.randrange(len(q))
+            w += q[i : i + rng.randrange(1, 12)] + (["zz"] if rng.random() < 0.3 else [])
+        text = [x.encode() for x in w]
+        score, good = 0.0, []
+        for k, q in enumerate(seqs):
+            long = [max((n for n in range(1, i + 2) if any(q[j : j + n] == w[i + 1 - n : i + 1] for j in range(len(q)))), default=0) for i in range(len(w))]
+            hits = sorted(
+                (i + 1 - n, j, n) for i, n in enumerate(long) if n >= license_scan.SEED and (i + 1 == len(w) or long[i + 1] != n + 1)
+                for j in range(len(q)) if q[j : j + n] == w[i + 1 - n : i + 1]
+            )
+            assert s.passages(text).get(k, []) == hits
+
+            def best(i):
+                """Most words of a chain that ends with hits[i]."""
+                at, tpl, n = hits[i]
+                out = n
+                for j in range(i):
+                    a, t, m = hits[j]
+                    gap, tgap = at - a - m, tpl - t - m
+                    over = max(0, -gap, -tgap)
+                    near = at <= a + len(q) + license_scan.GAP and over < n and a <= at and t <= tpl and max(gap, tgap) + over <= license_scan.GAP
+                    if near:
+                        out = max(out, best(j) + n - over)
+                return out
+
+            covers = [best(i) / len(q) for i in range(len(hits))]
+            score = max([score, *covers])
+            if any(c >= license_scan.COVER for c in covers):
+                good.append((templates[k][0], max(covers)))
+        *_, labels, got, spans = s.scan(b" ".join(text))
+        assert got == pytest.approx(score) and labels == ",".join(sorted({x for x, _ in good}))
+        for x in spans:
+            parts = x["passages"]
+            total = parts[0]["words"] + sum(license_scan.added(tuple(a.values()), tuple(b.values())) for a, b in zip(parts, parts[1:]))
+            assert any(total / len(q) == pytest.approx(x["coverage"]) for q in seqs) and (x["first_word"], x["end_word"]) == (parts[0]["start"], parts[-1]["start"] + parts[-1]["words"])
+        for x, c in good:
+            assert max(y["coverage"] for y in spans if y["label"] == x) >= c - 1e-9
+        hit += len(spans)
+    assert hit > 50
 
 
 # 6

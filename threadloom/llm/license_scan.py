@@ -3,23 +3,31 @@
 The automaton holds all word sequences of all templates and is built once per worker; its size depends on the templates
 alone. A text is streamed through it word by word, which gives at every word the longest template passage that ends
 there. Maximal passages of ``SEED`` words or more are chained per template (in order in both, gaps of at most ``GAP``
-words), and a chain that covers ``COVER`` of its template adds the template's label. Runs of words that no template holds
-are skipped, since the automaton would stay in its root there.
+words); a chain that covers ``COVER`` of its template is a span. Spans of one template do not overlap: of those that do,
+the one that covers most stays, of equal ones the first. A span adds its template's label; ``score`` is the best coverage
+of any chain. Runs of words that no template holds are skipped, since the automaton would stay in its root there.
 
-Defined results: a null text is empty (0 words, no places, null first and last word, no labels, score 0); a null doc_id is
-carried; repeated rows stay; an empty table gives an empty result; extra columns of the input are ignored.
+Templates are whole licence texts, or the notices that stand for long ones (``license_texts``).
+
+Defined results: a null text is empty (0 words, no places, null first and last word, no labels, no spans, score 0); a null
+doc_id is carried; repeated rows stay; a very long text is scanned whole, one at a time; an empty table gives an empty
+result; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadloom.llm.common import table
+from threadloom.llm.license_texts import TEMPLATES
 
 #: phrase -> label
 PHRASES = {
@@ -27,22 +35,6 @@ PHRASES = {
     "apache license": "apache",
     "general public license": "gpl",
 }
-#: (label, text) of passages by which a license is known
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("mit", "Released under the MIT License."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-)
 SEED = 4
 GAP = 8
 COVER = 0.6
@@ -160,6 +152,35 @@ class Automaton:
         return out
 
 
+_PASSAGE = ("start", "template_start", "words")
+
+
+def added(a: tuple[int, int, int], b: tuple[int, int, int]) -> int:
+    """Words that passage ``b`` adds behind ``a`` in one chain; 0 where it cannot follow. Overlaps count once."""
+    gap, tpl_gap = b[0] - a[0] - a[2], b[1] - a[1] - a[2]
+    over = max(0, -gap, -tpl_gap)
+    return b[2] - over if over < b[2] and a[0] <= b[0] and a[1] <= b[1] and max(gap, tpl_gap) + over <= GAP else 0
+
+
+@dataclass
+class Chain:
+    """A chain of passages of one template, by its last one."""
+
+    template: int
+    end: int
+    coverage: float
+    last: int
+    hits: list[tuple[int, int, int]]
+    back: list[int]
+
+    def passages(self) -> list[tuple[int, int, int]]:
+        out, i = [], self.last
+        while i >= 0:
+            out.append(self.hits[i])
+            i = self.back[i]
+        return out[::-1]
+
+
 class Scanner:
     """Templates and phrases, ready to scan."""
 
@@ -183,44 +204,65 @@ class Scanner:
                     out.append((at, label))
         return out
 
-    def chains(self, found: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, coverage): the best chain that ends at each passage."""
+    def passages(self, found: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
+        """template -> sorted (text start, template start, words) of every maximal passage."""
         known = self.automaton.words
         flags = bytes([w in known for w in found])
         per: dict[int, list[tuple[int, int, int]]] = {}
         for run in self.runs.finditer(flags):
             for k, start, size, state in self.automaton.maximal_by_template(found[run.start() : run.end()], SEED):
-                places = [(run.start() + start, end - size, size) for t, end in self.automaton.ends[state] if t == k]
-                per.setdefault(k, []).extend(places)
+                per.setdefault(k, []).extend((run.start() + start, end - size, size) for t, end in self.automaton.ends[state] if t == k)
+        return {k: sorted(hits) for k, hits in per.items()}
+
+    def chains(self, found: list[bytes]) -> list[Chain]:
+        """The best chain that ends at each passage, per template."""
         out = []
-        for k, hits in per.items():
-            hits.sort()
-            best: list[tuple[int, int]] = []  # covered words, first word
+        for k, hits in self.passages(found).items():
+            best: list[int] = []  # covered words
+            back: list[int] = []  # passage before
             low = 0
             for i, (at, tpl, size) in enumerate(hits):
                 while hits[low][0] + self.sizes[k] + GAP < at:
                     low += 1
-                covered, first = size, at
+                covered, before = size, -1
                 for j in range(i - 1, low - 1, -1):
-                    at2, tpl2, size2 = hits[j]
-                    gap, tpl_gap = at - at2 - size2, tpl - tpl2 - size2
-                    over = max(0, -gap, -tpl_gap)  # words of this passage that the earlier one reaches; they count once
-                    near = over < size and at2 <= at and tpl2 <= tpl and max(gap, tpl_gap) + over <= GAP
-                    if near and best[j][0] + size - over > covered:
-                        covered, first = best[j][0] + size - over, best[j][1]
-                best.append((covered, first))
-                out.append((k, first, at + size, covered / self.sizes[k]))
+                    more = added(hits[j], hits[i])
+                    if more and best[j] + more > covered:
+                        covered, before = best[j] + more, j
+                best.append(covered)
+                back.append(before)
+            for i, (at, _, size) in enumerate(hits):
+                out.append(Chain(k, at + size, best[i] / self.sizes[k], i, hits, back))
         return out
 
+    def spans(self, chains: list[Chain]) -> list[tuple[int, float, list[tuple[int, int, int]]]]:
+        """(template, coverage, passages) of chains that cover enough, of overlapping ones the best, in order of the text."""
+        out, taken = [], {}
+        for c in sorted((c for c in chains if c.coverage >= COVER), key=lambda c: (-c.coverage, c.template, c.end)):
+            parts = c.passages()
+            held = taken.setdefault(c.template, [])
+            at = bisect.bisect_left(held, (parts[0][0], 0))
+            if (at and held[at - 1][1] > parts[0][0]) or (at < len(held) and held[at][0] < c.end):
+                continue
+            held.insert(at, (parts[0][0], c.end))
+            out.append((c.template, c.coverage, parts))
+        return sorted(out, key=lambda x: (x[2][0][0], x[0]))
+
     def scan(self, text: bytes | None) -> tuple:
+        """Words, places, first and last place, base labels, all labels, score, spans."""
         found = words(text or b"")
         places = self.places(found)
         chains = self.chains(found)
+        spans = self.spans(chains)
         base = sorted({label for _, label in places})
-        more = sorted({*base, *(self.labels[k] for k, _, _, c in chains if c >= COVER)})
+        more = sorted({*base, *(self.labels[k] for k, _, _ in spans)})
         starts = [at for at, _ in places]
-        score = max((c for *_, c in chains), default=0.0)
-        return len(found), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(more), score
+        score = max((c.coverage for c in chains), default=0.0)
+        shown = [
+            {"label": self.labels[k], "coverage": c, "first_word": p[0][0], "end_word": p[-1][0] + p[-1][2], "passages": [dict(zip(_PASSAGE, x)) for x in p]}
+            for k, c, p in spans
+        ]
+        return len(found), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(more), score, shown
 
 
 @cache
@@ -228,26 +270,35 @@ def _scanner() -> Scanner:
     return Scanner()
 
 
+_SPAN = pa.struct(
+    [("label", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("passages", pa.list_(pa.struct([(c, pa.int64()) for c in _PASSAGE])))]
+)
+
+
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scan = _scanner().scan
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(_SPAN))
     for b in batches:
         rows = [scan(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
         cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), *cols], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+            [b.column(0), *cols], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
         )
 
 
 def license_labels(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text) with counts, base and all labels, and the best template coverage."""
+    """One row per row of ``docs`` (doc_id, text): counts, base and all labels, best coverage, and the covered spans."""
     kind = dict(docs.dtypes)["doc_id"]
+    passages = "array<struct<" + ", ".join(f"{c}: bigint" for c in _PASSAGE) + ">>"
     return docs.select("doc_id", "text").mapInArrow(
         _run,
-        f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+        f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, "
+        f"spans array<struct<label: string, coverage: double, first_word: bigint, end_word: bigint, passages: {passages}>>",
     )
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licenses in every document."""
-    return license_labels(table(spark, sf_dir, "documents"))
+    """Licenses in every document; labels and score are read off the spans and chains."""
+    found = license_labels(table(spark, sf_dir, "documents"))
+    shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["first_word"], s["end_word"])), ",")
+    return found.withColumn("spans", shown)
