@@ -649,9 +649,30 @@ def test_mixing(spark, nothing):
     for c, g in t.source.items():
         assert kept["source", c] / mass == pytest.approx(g, abs=1e-3)
     same([(r.doc_id, r.sampled) for r in mixing.mix(df.repartition(7), t).collect()], [(r.doc_id, r.sampled) for r in out])
+    assert {r.residual for r in out} == {0.0}
+    mass = sum(kept[d, c] for d, c in kept if d == "source")
+    for r in mixing.marginals(mixing.mix(df, t), t).collect():
+        if r.dimension != "topic":
+            assert r.target == t.dims()[("source", "lang").index(r.dimension)][1][r.category]
+            assert r.expected == pytest.approx(kept[r.dimension, r.category] / mass) and r.expected == pytest.approx(r.target, abs=1e-3)
+    # a topic column instead of the patterns, and columns that are called like those of the result
+    more = df.withColumn("topic", F.when(F.col("doc_id") % 3 == 0, "license")).withColumn("probability", F.lit(7)).withColumn("row", F.lit("x")).withColumn("factor", F.lit(None))
+    named = mixing.mix(more, t, topic=F.col("topic")).collect()
+    assert all(r.topic == ("license" if r.doc_id is not None and r.doc_id % 3 == 0 else "*") for r in named)
+    assert mixing.stage(spark, more, "").columns == more.columns and mixing.stage(spark, more, "").count() > 100
     assert mixing.mix(nothing).count() == 0 and mixing.stage(spark, nothing, "").columns == nothing.columns
 
 
+def test_mixing_targets_that_cannot_be_met(spark):
+    """What is out of reach shows in the residual; shares that do not add up are refused."""
+    t = mixing.Targets({"a": 0.9, "*": 0.1}, {"en": 0.5, "*": 0.5}, {"*": 1.0})
+    df = spark.createDataFrame([(i, "w " * 10, "en", "a") for i in range(20)], "doc_id long, text string, lang string, source string")
+    assert {r.residual for r in mixing.mix(df, t).collect()} == {0.5}
+    for bad in ({"a": 0.9, "*": 0.2}, {"a": 1.0}, {"a": 1.1, "*": -0.1}):
+        with pytest.raises(ValueError):
+            mixing.Targets(bad, {"*": 1.0}, {"*": 1.0})
+
+
 def test_mixing_with_one_odd_row(spark):
     """A category of one short document changes neither the rate of the others nor their balance."""
     rng = np.random.default_rng(8)

@@ -16,11 +16,16 @@ Rare cells cannot set the rate of the corpus, as documents are not repeated:
   their documents (probability 1) and stay below their raked share.
 
 Tokens are words of ``[^\\x20\\x09-\\x0D]+``. Targets whose shares do not go together with the observed cells are met as
-well as ROUNDS rounds can.
+well as ROUNDS rounds can: ``residual`` is how far the raked share of any category is from its target at most, 0 where all
+are met, and ``marginals`` shows every category.
 
-Defined results: null source or language falls into ``*``; null texts have no tokens and stay with their cell's
-probability; a null doc_id hashes like any value; repeated rows share one fate; an empty table gives an empty result;
-extra columns of the input are ignored.
+The topic is a column where the caller names one (a model's or an editor's); otherwise the first of ``TOPICS`` that a whole
+text matches, which is a coarse stand-in. Targets must add up to 1 in each dimension.
+
+Defined results: null source, language or topic falls into ``*``; null texts have no tokens and stay with their cell's
+probability; a very long text is split whole, in one row; a null doc_id hashes like any value; repeated rows and rows of
+one id share one fate, so there are no ties; an empty table gives an empty result; extra columns of the input are ignored,
+and may be called like columns of the result.
 """
 
 from __future__ import annotations
@@ -55,13 +60,18 @@ class Targets:
     lang: dict[str, float]
     topic: dict[str, float]
 
+    def __post_init__(self) -> None:
+        for name, shares in self.dims():
+            if REST not in shares or any(v < 0 for v in shares.values()) or abs(sum(shares.values()) - 1) > 1e-9:
+                raise ValueError(f"shares of {name} must hold {REST!r}, be 0 or more and add up to 1")
+
     def dims(self) -> tuple[tuple[str, dict[str, float]], ...]:
         return (("source", self.source), ("lang", self.lang), ("topic", self.topic))
 
 
 PRODUCTION = Targets(
-    source={f"src{i}": 0.05 for i in range(20)} | {REST: 0.05},
-    lang={"en": 0.55, "fr": 0.17, "de": 0.17, "es": 0.11, REST: 0.02},
+    source={f"src{i}": 0.0475 for i in range(20)} | {REST: 0.05},
+    lang={"en": 0.54, "fr": 0.17, "de": 0.17, "es": 0.10, REST: 0.02},
     topic={"license": 0.02, "contact": 0.03, "numbers": 0.02, REST: 0.93},
 )
 
@@ -71,13 +81,19 @@ def _category(value: Column, shares: dict[str, float]) -> Column:
     return F.when(value.isin(*named), value).otherwise(F.lit(REST)) if named else F.lit(REST)
 
 
-def classify(docs: DataFrame, targets: Targets = PRODUCTION, *more: str) -> DataFrame:
-    """doc_id, source, lang, topic (categories of the targets) and n_tokens per row of ``docs``."""
-    text = F.coalesce("text", F.lit(""))
-    bare = F.trim(text, F.lit(BLANKS))
+def topic_of(text: Column) -> Column:
+    """The first topic whose pattern a whole text matches, or ``*``."""
     topic = F.lit(REST)
     for name, regex in reversed(TOPICS):
         topic = F.when(text.rlike(regex), F.lit(name)).otherwise(topic)
+    return topic
+
+
+def classify(docs: DataFrame, targets: Targets = PRODUCTION, *more: str, topic: Column | None = None) -> DataFrame:
+    """doc_id, source, lang, topic (categories of the targets) and n_tokens per row of ``docs``."""
+    text = F.coalesce("text", F.lit(""))
+    bare = F.trim(text, F.lit(BLANKS))
+    topic = topic_of(text) if topic is None else topic
     return docs.select(
         "doc_id",
         _category(F.col("source"), targets.source).alias("source"),
@@ -89,7 +105,7 @@ def classify(docs: DataFrame, targets: Targets = PRODUCTION, *more: str) -> Data
 
 
 def rake(cells: DataFrame, targets: Targets = PRODUCTION, rounds: int = ROUNDS) -> DataFrame:
-    """source, lang, topic, tokens, factor, probability per cell of ``cells`` (source, lang, topic, tokens)."""
+    """source, lang, topic, tokens, factor, probability, residual per cell of ``cells`` (source, lang, topic, tokens)."""
     gathered = cells.agg(
         F.sort_array(F.collect_list(F.struct("source", "lang", "topic", F.col("tokens").cast("double").alias("tokens")))).alias("cells")
     ).where(F.size("cells") > 0)
@@ -159,33 +175,65 @@ def rake(cells: DataFrame, targets: Targets = PRODUCTION, rounds: int = ROUNDS)
     begun = gathered.select("cells", start.alias("start"))
     begun = begun.select("*", *[reachable(name, shares).alias(f"goals_{name}") for name, shares in targets.dims()])
     fitted = begun.select("cells", "start", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("start"), one_round).alias("fit"))
+    def gaps(name: str, shares: dict[str, float]) -> Column:
+        sums = sums_of(F.col("fit"), F.transform("cells", lambda c: c[name]), F.array(*[F.lit(k) for k in shares]))
+        return F.zip_with(sums, F.array(*[F.lit(float(v)) for v in shares.values()]), lambda x, g: F.abs(x - g))
+
+    worst = F.round(F.array_max(F.concat(*[gaps(name, shares) for name, shares in targets.dims()])), 6)
     factors = fitted.select(
-        "cells", "start", F.zip_with("fit", "start", lambda f, s: F.when(s > 0, f / s).otherwise(F.lit(None))).alias("factors")
+        "cells", "start", worst.alias("residual"), F.zip_with("fit", "start", lambda f, s: F.when(s > 0, f / s).otherwise(F.lit(None))).alias("factors")
     ).select(
-        "cells", "factors",
+        "cells", "factors", "residual",
         leading(F.zip_with("factors", "start", lambda f, s: F.struct(f.alias("factor"), s.alias("share")))).alias("most"),
     )
     # a cell without tokens costs none, so its documents stay
-    out = factors.select(F.posexplode("cells").alias("i", "cell"), "factors", "most").select(
-        "cell.*",
+    out = factors.select(F.posexplode("cells").alias("i", "cell"), "factors", "most", "residual").select(
+        "cell.*", "residual",
         F.coalesce(F.get("factors", F.col("i")), F.lit(1.0)).alias("factor"),
         F.coalesce(F.least(F.get("factors", F.col("i")) / F.nullif(F.col("most"), F.lit(0.0)), F.lit(1.0)), F.lit(1.0)).alias("probability"),
     )
     return out.limit(bound)
 
 
-def mix(docs: DataFrame, targets: Targets = PRODUCTION, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, factor, probability, sampled per row of ``docs``; ``row``: the ``keep`` columns."""
-    rows = docs.withColumn("row", F.struct(*[docs[c] for c in keep])) if keep else docs
-    known = classify(rows, targets, *(("row",) if keep else ()))
+def mix(
+    docs: DataFrame, targets: Targets = PRODUCTION, seed: int = SEED, keep: tuple[str, ...] = (), topic: Column | None = None
+) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, factor, probability, residual, sampled per row of ``docs``; ``row``: the ``keep`` columns."""
+    plain = [F.col(c) for c in ("doc_id", "text", "source", "lang")] + ([topic.alias("_topic")] if topic is not None else [])
+    named = F.col("_topic") if topic is not None else None
+    rows = docs.select(*plain, *([F.struct(*[docs[c] for c in keep]).alias("_kept")] if keep else []))
+    known = classify(rows, targets, *(("_kept",) if keep else ()), topic=named)
     if keep:  # texts are read again rather than written
-        counted = classify(docs, targets)
+        counted = classify(docs.select(*plain), targets, topic=named)
     else:
         counted = known = materialise(known)
     cells = counted.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
     raked = F.broadcast(rake(cells, targets).drop("tokens"))  # bounded by the targets
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    return known.join(raked, ["source", "lang", "topic"]).withColumn("sampled", draw < F.col("probability"))
+    drawn = known.join(raked, ["source", "lang", "topic"]).withColumn("sampled", draw < F.col("probability"))
+    return drawn.withColumnRenamed("_kept", "row") if keep else drawn
+
+
+def marginals(mixed: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
+    """dimension, category, target, observed, expected: token shares before the draw and, on average, after it."""
+    cells = mixed.groupBy("source", "lang", "topic", "probability").agg(F.sum("n_tokens").alias("n")).select(
+        F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d, _ in targets.dims()])).alias("k"), "n", "probability"
+    )
+    sums = cells.groupBy("k.dimension", "k.category").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("probability")).alias("m"))
+    whole = sums.groupBy("dimension").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"))
+    goals = F.explode(
+        F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(c).alias("category"), F.lit(float(v)).alias("target")) for d, s in targets.dims() for c, v in s.items()])
+    )
+    spark = mixed.sparkSession
+    wanted = spark.range(1).select(goals.alias("g")).select("g.*")
+    zero = F.lit(0.0)
+    return (
+        wanted.join(sums, ["dimension", "category"], "left").join(whole, "dimension", "left")
+        .select(
+            "dimension", "category", "target",
+            F.coalesce(F.col("n") / F.nullif("all_n", F.lit(0)), zero).alias("observed"), F.coalesce(F.col("m") / F.nullif("all_m", F.lit(0.0)), zero).alias("expected"),
+        )
+    )
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
