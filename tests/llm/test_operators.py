@@ -405,6 +405,7 @@ def test_plan_against_first_fit():
         hist = {int(k): int(rng.integers(1, 9)) for k in rng.integers(1, cap + 1, size=rng.integers(1, 12))}
         bins = packing.plan(dict(hist), cap)
         held = Counter()
+        assert len(bins) < 3 * cap
         for b in bins:
             assert sum(s * k for s, k in b.items) + b.left == cap and b.left >= 0
             assert sum(k for s, k in b.items if s > cap // 3) <= 2
@@ -840,6 +841,47 @@ def test_pipeline(spark, docs, tmp_path, library):
     same(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32").collect(), cur.select("doc_id", "piece", "ids_crc32").collect())
 
 
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_on_odd_tables(spark, docs, nothing, empty):
+    """Every stage on an empty table, and on one of nulls, blanks and repeated rows, alone."""
+    import corpus_pipeline
+
+    blank = spark.createDataFrame([(None, None, None, None), (1, "", "en", "a"), (1, "", "en", "a"), (2, None, None, "a"), (None, " \n", "x", None)], "doc_id long, text string, lang string, source string")
+    cur = nothing if empty else blank
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, cur, "")
+        assert out.columns == cur.columns
+        n = {"quality_rules": 0, "simhash_dedup": 1, "secret_scan": 5, "mixing": 5}[name]
+        assert out.count() == (0 if empty else n)
+    last = corpus_pipeline.STAGES[-1][1](spark, cur, "").collect()
+    assert sorted(r.length for r in last) == ([] if empty else [1, 1, 1, 1, 3])
+
+
+def test_pipeline_on_an_empty_table(spark, nothing, tmp_path):
+    import corpus_pipeline
+
+    nothing.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    """Without the setting a local session makes its own folder; any other master is refused."""
+    from threadloom.llm import common
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
 def test_oracles(spark):
     """Queries with SQL give the SQL's rows on the smallest driver tables, if those are there."""
     import os

@@ -20,6 +20,7 @@ QUERIES = {
     "op5_simhash_dedup": _simhash_dedup.op5_simhash_dedup,
     "op6_chat_format": _chat_format.op6_chat_format,
     "op7_quality_rules": _quality_rules.op7_quality_rules,
+    "quality_ablations": _quality_rules.quality_ablations,
     "op8_best_fit_packing": _packing.op8_best_fit_packing,
     "op9_topk_search": _topk_search.op9_topk_search,
     "op10_mixing": _mixing.op10_mixing,
@@ -29,5 +30,6 @@ QUERIES = {
 ORACLES = {
     "op6_chat_format": _chat_format.ORACLE,
     "op7_quality_rules": _quality_rules.ORACLE,
+    "quality_ablations": _quality_rules.ABLATIONS,
     "op9_topk_search": _topk_search.ORACLE,
 }

@@ -9,7 +9,7 @@ A conversation is one output row with one digest, so its turns meet in one task;
 
 Defined results: rows go by (turn, role, text), nulls first, so ties are settled; null roles and texts are empty; rows of a
 null conv_id form one conversation with a null id; repeated rows are turns of their own; an empty table gives the extra
-conversations alone; extra columns of the input are ignored; a conversation that breaks the turn order is formatted
+conversations alone; very long texts are formatted whole; extra columns of the input are ignored; a conversation that breaks the turn order is formatted
 all the same, with ``valid`` false and ``bad_turn`` the first turn (from 0) that the automaton refuses.
 """
 
@@ -139,11 +139,10 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
 
 def with_probe(turns: DataFrame) -> DataFrame:
     """The conversations and one more, whose texts are nothing but control strings."""
-    spark, kinds = turns.sparkSession, dict(turns.dtypes)
-    cols = ("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame(
-        [(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], "conv_id bigint, turn bigint, role string, text string"
-    ).select(*[F.col(c).cast(kinds[c]) for c in cols])
+    kinds, cols = dict(turns.dtypes), ("conv_id", "turn", "role", "text")
+    said = [(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)]
+    rows = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for v, c in zip(r, cols)]) for r in said])
+    probe = turns.sparkSession.range(1).select(F.inline(rows))
     return turns.select(*cols).unionByName(probe)
 
 

@@ -242,5 +242,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the draw keeps."""
+    """The documents that the draw keeps, with all their columns, each as often as ``docs`` has it; an empty table gives an empty one."""
     return mix(docs, keep=tuple(docs.columns)).where("sampled").select("row.*")

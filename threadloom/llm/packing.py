@@ -11,8 +11,13 @@ proven bound, whatever the number of documents. The plan is made on the driver f
 Every piece then finds its place by its rank among the pieces of its length. Ranks come from counts per task and length,
 so pieces of one very common length need not meet in one task. Nothing is dropped or capped.
 
-Defined results: a null text is empty and gives one piece, the end id alone; a null doc_id is carried; repeated rows are
-packed one by one; an empty table gives an empty result; extra columns of the input are ignored.
+The plan goes to the tasks as groups of equal bins. A length opens at most three groups (two splits and a new one) and a
+pair of large lengths two, so there are under 3 x ``CAPACITY`` groups, whatever the number of documents.
+
+Defined results: a null text is empty and gives one piece, the end id alone; a very long text is cut into as many pieces as
+it needs; a null doc_id is carried; repeated rows are packed one by one; among pieces of one length the place is settled
+by task and position, as any order packs equally well; an empty table gives an empty result; extra columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -220,7 +225,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     places = docs.sparkSession.sparkContext.broadcast(Places(plan(histogram, capacity)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     offsets = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = cut.join(offsets, ["length", "task"]).select(
+    # the offsets grow with the number of tasks, so they are joined by key
+    ranked = cut.join(offsets.hint("merge"), ["length", "task"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank")
     )
     kind = dict(docs.dtypes)["doc_id"]
@@ -236,5 +242,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents."""
+    """The packed pieces of all documents; null and empty texts give the end id alone, an empty table no piece."""
     return pack(docs)

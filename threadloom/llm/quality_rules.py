@@ -5,8 +5,11 @@ when rule ``r`` failed. Policies are masks with a version: applying one is ``fai
 reads the texts again. Ablations ("what would come back without this rule?") are sums over the distinct bit patterns, of
 which there are at most 2^rules, so they pre-aggregate on the map side.
 
+The stage's filter stands behind a column that depends on a row's place (``monotonically_increasing_id``): the optimiser
+would otherwise push it below the ledger and evaluate its rules twice. The column changes nothing else and is not returned.
+
 Defined results: a null or blank text has no words and fails the length rule; a null ``doc_id`` is carried through;
-repeated rows give repeated rows; an empty table gives an empty ledger; other columns are dropped, so clashing names do
+repeated rows give repeated rows; a very long text is measured whole, in one row; an empty table gives an empty ledger; other columns are dropped, so clashing names do
 no harm.
 """
 
@@ -121,11 +124,10 @@ def apply_policy(kept_ledger: DataFrame, policy: str, column: str = "kept") -> D
 
 def ablations(kept_ledger: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     """Per rule of the policy: documents it fails, those only it rejects, and what the policy keeps without it."""
-    spark, m = kept_ledger.sparkSession, mask(policy)
+    m = mask(policy)
     patterns = kept_ledger.groupBy(F.col("failures").bitwiseAND(F.lit(m).cast("bigint")).alias("f")).agg(F.count(F.lit(1)).alias("n"))
-    rules = spark.createDataFrame(
-        [(r.name, 1 << i) for i, r in enumerate(RULES) if r.name in POLICIES[policy]], "rule string, bit bigint"
-    )
+    held = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << i).cast("bigint").alias("bit")) for i, r in enumerate(RULES) if r.name in POLICIES[policy]])
+    rules = kept_ledger.sparkSession.range(1).select(F.inline(held))
 
     def total(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("bigint")
@@ -151,8 +153,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy rejects, alone and with others, and what would be kept without it."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy keeps."""
+    """Documents that the production policy keeps, with all their columns; an empty table gives an empty one."""
     keys = [c for c in docs.columns if c != "doc_id"]
     packed = docs.select(F.struct("doc_id", *keys).alias("doc_id"), F.col("text"))
     # a filter pushed below the ledger would evaluate its rules again; a column that depends on the place stops it
@@ -179,3 +186,11 @@ b as (select *, ((n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_wor
        + 32 * (100 * n_upper > 50 * word_chars)::bigint)::bigint as failures from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 as base_failed, failures = 0 as kept, failures from b
 """
+
+#: DuckDB: ablations from the failure bits.
+ABLATIONS = f"""
+with f as (select failures as f, count(*) as n from ({ORACLE}) group by 1),
+r as (select unnest([{", ".join(f"'{r.name}'" for r in RULES)}]) as rule, unnest([{", ".join(str(1 << i) for i in range(len(RULES)))}]) as bit)
+select rule, coalesce(sum(n) filter (f & bit <> 0), 0)::bigint as failed, coalesce(sum(n) filter (f = bit), 0)::bigint as only_this,
+  coalesce(sum(n) filter (f = 0 or f = bit), 0)::bigint as kept_without from r left join f on true group by rule
+"""

@@ -6,7 +6,7 @@
    (a fixed bound of rows) are broadcast and settled where the document is read, which also takes the hot keys out of the
    shuffle; all others are joined by key. Both ways are exact; ``HEAD`` moves work only.
 
-Defined results: a null text is empty (0 bytes, 0 tokens); a null doc_id is carried; repeated rows (same doc_id) are
+Defined results: a null text is empty (0 bytes, 0 tokens); a very long text is cut whole, one at a time; a null doc_id is carried; repeated rows (same doc_id) are
 counted one by one; an empty table gives an empty result; extra columns of the input are ignored.
 """
 
@@ -24,7 +24,7 @@ from threadloom.llm.bpe import default_path, encoder
 from threadloom.llm.common import materialise, table
 
 CONTEXT = 1024
-#: Rows of the broadcast table: at most some 6 MB.
+#: Rows of the broadcast table; a worker holds them as a dict of some 30 MB.
 HEAD = 1 << 18
 #: Distinct pre-tokens that one task holds before it hands its sums on.
 _HELD = 300_000
