@@ -40,18 +40,26 @@ def clean_parts(parts: Column) -> Column:
     return F.filter(parts, lambda p: p.isNotNull() & ~is_noise(p))
 
 
-def parse_time(c: Column) -> Column:
-    """Epoch seconds (double) from a number (over 1e12: milliseconds) or UTC date text; anything else is null."""
+def parse_time(c: Column, offsets: bool = False) -> Column:
+    """Epoch seconds (double) from a number (over 1e12: milliseconds) or date text; anything else is null.
+
+    Text may end in Z or +00:00; without either it is UTC. With ``offsets`` it may end in any other offset too (+02:00,
+    -0530, +02), which otherwise makes it null.
+    """
     s = F.trim(c.cast("string"))
     n = s.try_cast("double")
-    iso = F.regexp_replace(s, r"(Z|\+00:00)$", "")
+    offset = F.regexp_extract(s if offsets else F.regexp_extract(s, r"^(.*)\+00:00$", 0), r"T?\d{2}:\d{2}:\d{2}(?:\.\d+)?\s*([+-]\d{2}:?(?:\d{2})?)$", 1)
+    iso = F.when(offset != "", F.rtrim(F.left(s, F.length(s) - F.length(offset)))).otherwise(F.regexp_replace(s, "Z$", ""))
     t = F.coalesce(
         F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
         F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS")),
         F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
         F.try_to_timestamp(iso, F.lit("yyyy-MM-dd HH:mm:ss")),
     )
-    micros = F.unix_micros(t) / F.lit(1e6)
+    minutes = F.regexp_extract(offset, r"(\d{2})$", 1).try_cast("int")
+    hours = F.substring(offset, 2, 2).try_cast("int")
+    ahead = (hours * 3600 + F.when(F.length(offset) > 3, minutes).otherwise(0) * 60) * F.when(F.left(offset, F.lit(1)) == "-", -1).otherwise(1)
+    micros = F.unix_micros(t) / F.lit(1e6) - F.coalesce(ahead, F.lit(0))
     return F.when(n.isNotNull(), F.when(n > 1e12, n / 1000).otherwise(n)).otherwise(micros)
 
 

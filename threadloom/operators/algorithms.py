@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from threadloom.graph import Graph
 from threadloom.operators.traversal import components
 
-#: Edges that a kernel may hold; a larger graph is refused with a hint rather than cut.
+#: Edges that a kernel may hold: some 160 MB of arrays, and about 2 GB while names are turned into numbers. A larger graph
+#: is refused with a hint rather than cut.
 MOST_EDGES = 5_000_000
 
 
@@ -148,12 +149,18 @@ def modularity(offsets: np.ndarray, targets: np.ndarray, weights: np.ndarray, co
 
 
 def communities(g: Graph, least: int = 2, min_size: int = 3) -> DataFrame:
-    """(id, component, community): Louvain inside every component of ``min_size`` vertices or more, one group per component."""
+    """(id, component, community): Louvain inside every component of ``min_size`` vertices or more, one group per component.
+
+    A component's edges meet in one task, so their number is checked first: over ``MOST_EDGES`` it is refused.
+    """
     e = cooc_edges(g, least)
     comp = components(e.select("a", "b"))
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
     member = comp.join(size, "component").select(F.col("id").alias("a"), "component")
     keyed = e.join(member, "a").select("component", "a", "b", F.col("weight").cast("double").alias("weight"))
+    largest = keyed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > MOST_EDGES:
+        raise ValueError(f"a component of {largest} edges: raise the least weight (limit {MOST_EDGES})")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(pdf["a"]) | set(pdf["b"]))

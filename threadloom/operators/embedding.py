@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +24,11 @@ def incidence(g: Graph, keywords: bool = False) -> DataFrame:
     return ents.unionByName(keys.select(F.col("msg_id").alias("row"), F.col("keyword_id").alias("col"))).distinct()
 
 
-def svd(cells: DataFrame, dim: int = 32, rounds: int = 4, seed: int = 42, scaled: bool = False) -> tuple[DataFrame, np.ndarray]:
+def svd(cells: DataFrame, dim: int = 32, rounds: int = 5, seed: int = 42, scaled: bool = False) -> tuple[DataFrame, np.ndarray]:
     """((row, vector), singular values) of a sparse (row, col[, value]) matrix by randomised subspace iteration.
 
-    Only (columns x dim) products live on the driver side of the method, as DataFrames keyed by column; each round is two
-    joins with pre-aggregated sums. ``scaled`` gives U * S instead of U.
+    Both sides of the product stay DataFrames; only (dim + 8)^2 numbers come to the driver, to make each side orthonormal
+    between two products. A round is two joins with pre-aggregated sums. ``scaled`` gives U * S instead of U.
     """
     spark = cells.sparkSession
     value = F.col("value") if "value" in cells.columns else F.lit(1.0)
@@ -39,22 +42,31 @@ def svd(cells: DataFrame, dim: int = 32, rounds: int = 4, seed: int = 42, scaled
     basis = m.select("col").distinct().select("col", gauss.alias("q"))
 
     def times(left: DataFrame, by: str, to: str) -> DataFrame:
-        joined = m.join(left, by).select(to, F.posexplode(F.transform("q", lambda x: x * F.col("value"))).alias("i", "x"))
-        sums = joined.groupBy(to, "i").agg(F.sum("x").alias("x"))
-        return sums.groupBy(to).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+        sums = [F.sum(F.get("q", F.lit(i)) * F.col("value")).alias(f"x{i}") for i in range(wide)]
+        return m.join(left, by).groupBy(to).agg(*sums).select(to, F.array(*[f"x{i}" for i in range(wide)]).alias("q"))
 
     def gram(df: DataFrame, width: int) -> np.ndarray:
-        cells_ = [F.sum(F.get("q", F.lit(i)) * F.get("q", F.lit(j))).alias(f"c{i}_{j}") for i in range(width) for j in range(i, width)]
-        r = df.agg(*cells_).first()
-        out = np.zeros((width, width))
-        for i in range(width):
-            for j in range(i, width):
-                out[i, j] = out[j, i] = r[f"c{i}_{j}"]
-        return out
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((width, width))
+            for batch in batches:
+                q = batch.column("q").flatten().to_numpy().reshape(-1, width)
+                total += q.T @ q
+            yield pa.RecordBatch.from_arrays([pa.array(range(width * width), pa.int32()), pa.array(total.ravel())], ["i", "x"])
+
+        sums = df.select("q").mapInArrow(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(width * width)
+        for r in sums:
+            out[r["i"]] = r["x"]
+        return out.reshape(width, width)
 
     def apply(df: DataFrame, key: str, r: np.ndarray) -> DataFrame:
-        cols = [sum((F.get("q", F.lit(i)) * float(r[i, j]) for i in range(r.shape[0])), F.lit(0.0)) for j in range(r.shape[1])]
-        return df.select(key, F.array(*cols).alias("q"))
+        def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                q = batch.column("q").flatten().to_numpy().reshape(-1, r.shape[0]) @ r
+                ends = pa.array(np.arange(len(q) + 1) * r.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, pa.array(q.ravel()))], [key, "q"])
+
+        return df.select(key, "q").mapInArrow(turned, f"{key} {dict(df.dtypes)[key]}, q array<double>")
 
     def orthonormal(df: DataFrame, key: str) -> DataFrame:
         vals, vecs = np.linalg.eigh(gram(df, wide))
@@ -65,7 +77,8 @@ def svd(cells: DataFrame, dim: int = 32, rounds: int = 4, seed: int = 42, scaled
     from threadloom.session import durable
 
     for _ in range(rounds):
-        basis = durable(orthonormal(durable(times(times(basis, "col", "row"), "row", "col")), "col"))
+        left = orthonormal(durable(times(basis, "col", "row")), "row")
+        basis = durable(orthonormal(durable(times(left, "row", "col")), "col"))
     u = durable(times(basis, "col", "row"))
     vals, vecs = np.linalg.eigh(gram(u, wide))
     order = np.argsort(-vals)[:k]

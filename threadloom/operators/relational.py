@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.graph import Graph
 from threadloom.operators.text import name_score, query_terms
+from threadloom.session import durable
 
 
 def _count(alias: str) -> Column:
@@ -169,8 +173,15 @@ def _features(g: Graph) -> tuple[DataFrame, DataFrame]:
     return ents, keys
 
 
-def _jaccard_pairs(sets: DataFrame, key: str) -> DataFrame:
-    """a < b with a shared feature: inter and Jaccard; an inverted index, not all pairs."""
+def _jaccard_pairs(sets: DataFrame, key: str, least: float = 0.0) -> DataFrame:
+    """a < b with a shared feature: inter and Jaccard of ``least`` or more; an inverted index, not all pairs.
+
+    With a threshold only prefixes are indexed: two sets that alike share one of their rarest n - ceil(least * n) + 1
+    features, and their sizes differ by no more than the threshold allows. A feature that nearly every set holds is then
+    met only where a set has little else.
+    """
+    if least > 0:
+        return _similar_sets(sets, key, least - 1e-6)  # callers round
     size = sets.groupBy(key).agg(_count("n"))
     a, b = sets.select(F.col(key).alias("a"), "f"), sets.select(F.col(key).alias("b"), "f")
     inter = a.join(b, "f").where("a < b").groupBy("a", "b").agg(_count("inter"))
@@ -178,10 +189,25 @@ def _jaccard_pairs(sets: DataFrame, key: str) -> DataFrame:
     return inter.join(na, "a").join(nb, "b").select("a", "b", "inter", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jaccard"))
 
 
+def _similar_sets(sets: DataFrame, key: str, least: float) -> DataFrame:
+    rare = sets.groupBy("f").agg(_count("df"))
+    held = sets.join(rare, "f").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "f"))).alias("s"))  # one set is one row
+    rows = durable(held.select(key, F.transform("s", lambda x: x["f"]).alias("fs"), F.size("s").alias("n")))
+    first = rows.select(key, "n", F.explode(F.slice("fs", F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("f"))
+    a = first.select(F.col(key).alias("a"), F.col("n").alias("na"), "f")
+    b = first.select(F.col(key).alias("b"), F.col("n").alias("nb"), "f")
+    near = (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
+    pairs = a.join(b, "f").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    both = pairs.join(rows.select(F.col(key).alias("a"), F.col("fs").alias("fa")), "a").join(rows.select(F.col(key).alias("b"), F.col("fs").alias("fb")), "b")
+    inter = both.select("a", "b", F.size(F.array_intersect("fa", "fb")).cast("bigint").alias("inter"), F.size("fa").alias("na"), F.size("fb").alias("nb"))
+    return inter.select("a", "b", "inter", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
 def conversation_similarity(g: Graph, least: float = 0.3, top: int | None = None, keywords: bool = False) -> DataFrame:
     """a, b, score: Jaccard of entity sets, or 0.7 of it and 0.3 of the keywords'. ``least`` <= 0 adds disjoint pairs with score 0."""
     ents, keys = _features(g)
-    pairs = _jaccard_pairs(ents, "conv_id")
+    # keywords give at most 0.3 of a score
+    pairs = _jaccard_pairs(ents, "conv_id", (least - 0.3) / 0.7 if keywords else least)
     score = F.col("jaccard")
     if least <= 0:
         convs = ents.select("conv_id").distinct()
@@ -210,7 +236,7 @@ def similar_conversations(g: Graph, conv_id: str, top: int = 10, least: float =
 def cross_links(g: Graph, least: float = 0.3) -> DataFrame:
     """msg_a < msg_b whose entities and keywords overlap: similarity at least ``least``; no cap on comparisons."""
     f = g.mentions.select("msg_id", F.col("entity_id").alias("f")).unionByName(g.keywords.select("msg_id", F.col("keyword_id").alias("f"))).distinct()
-    p = _jaccard_pairs(f, "msg_id")
+    p = _jaccard_pairs(f, "msg_id", least)
     return p.where(F.col("jaccard") >= least).select(F.col("a").alias("msg_a"), F.col("b").alias("msg_b"), F.round("jaccard", 6).alias("similarity"))
 
 
@@ -270,6 +296,22 @@ def llm_context(results: DataFrame, budget: int = 50_000) -> DataFrame:
     )
 
 
+def ask(contexts: DataFrame, question: str, call: Callable[[str, str], str]) -> DataFrame:
+    """(conv_id, answer) of (conv_id, context): ``call(question, context)`` per row, in the tasks; a failing call gives null."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(context: str) -> str | None:
+            try:
+                return call(question, context)
+            except Exception:  # a model's failure is an answer of its own
+                return None
+
+        for f in frames:
+            yield pd.DataFrame({"conv_id": f["conv_id"], "answer": [one(c) for c in f["context"]]})
+
+    return contexts.select("conv_id", "context").mapInPandas(run, "conv_id string, answer string")
+
+
 # neighbourhood
 
 

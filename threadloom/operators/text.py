@@ -30,15 +30,21 @@ def dedup_exact(rows: DataFrame, text: str = "text", order: tuple[str, ...] = ("
     return hashed.join(first, [*scope, "_hash", "_first"], "left_semi").drop("_hash", "_first")
 
 
-def detect_language(text: Column, least: int = 2) -> Column:
-    """The profile with most function words among the first 5000 characters; under ``least`` hits: 'unknown'."""
-    words = F.split(F.lower(F.substring(text, 1, 5000)), r"[^\p{L}]+", -1)
+def detect_language(text: Column, least: int = 2, chars: int | None = 5000) -> Column:
+    """The profile with most function words among the first ``chars`` characters (None: all); under ``least`` hits: 'unknown'."""
+    some = F.lower(F.substring(text, 1, chars) if chars else text)
+    every = sorted({w for words in PROFILES.values() for w in words})
+    # cut once, to the few words that any profile has
+    hits = F.array(F.filter(F.split(some, r"[^\p{L}]+", -1), lambda w: w.isin(*every)))
 
-    def score(lang: str) -> Column:
-        return F.struct(F.size(F.filter(words, lambda w: w.isin(*PROFILES[lang]))).alias("n"), F.lit(lang).alias("lang"))
+    def best(found: Column) -> Column:
+        def score(lang: str) -> Column:
+            return F.struct(F.size(F.filter(found, lambda w: w.isin(*PROFILES[lang]))).alias("n"), F.lit(lang).alias("lang"))
 
-    best = F.greatest(*[score(k) for k in PROFILES])
-    return F.when(best["n"] >= least, best["lang"]).otherwise(F.lit("unknown"))
+        return F.greatest(*[score(k) for k in PROFILES])
+
+    top = F.get(F.transform(hits, best), F.lit(0))
+    return F.get(F.transform(F.array(top), lambda b: F.when(b["n"] >= least, b["lang"]).otherwise(F.lit("unknown"))), F.lit(0))
 
 
 def term_counts(docs: DataFrame, stop: bool = True) -> DataFrame:

@@ -121,8 +121,8 @@ def context(g: Graph, msg_id: str, depth: int = 3) -> DataFrame:
     out = spark.createDataFrame([(msg_id, 0)], "id string, hop int").join(g.of("Message").select("id"), "id", "left_semi")
     up = down = out
     for k in range(1, depth + 1):
-        up = g.replies.join(F.broadcast(up.select(F.col("id").alias("child_id"))), "child_id").select(F.col("parent_id").alias("id"), F.lit(-k).alias("hop")).distinct()
-        down = g.replies.join(F.broadcast(down.select(F.col("id").alias("parent_id"))), "parent_id").select(F.col("child_id").alias("id"), F.lit(k).alias("hop")).distinct()
+        up = g.replies.join(up.select(F.col("id").alias("child_id")), "child_id").select(F.col("parent_id").alias("id"), F.lit(-k).alias("hop")).distinct()
+        down = g.replies.join(down.select(F.col("id").alias("parent_id")), "parent_id").select(F.col("child_id").alias("id"), F.lit(k).alias("hop")).distinct()
         out = out.unionByName(up).unionByName(down)
     return out.groupBy("id").agg(F.min_by("hop", F.abs("hop")).alias("hop"))
 
@@ -151,7 +151,7 @@ def traverse(similar: DataFrame, bridges: DataFrame, start: str, hops: int = 2,
     seen = edges.sparkSession.createDataFrame([(start, 0, "start")], "entity_id string, hop int, via string")
     front = seen
     for k in range(1, hops + 1):
-        nxt = edges.join(F.broadcast(front.select(F.col("entity_id").alias("source"))), "source").groupBy(F.col("target").alias("entity_id")).agg(F.min("via").alias("via"))
+        nxt = edges.join(front.select(F.col("entity_id").alias("source")), "source").groupBy(F.col("target").alias("entity_id")).agg(F.min("via").alias("via"))
         front = durable(nxt.join(seen, "entity_id", "left_anti").select("entity_id", F.lit(k).alias("hop"), "via"))
         seen = seen.unionByName(front)
     return seen.where("hop > 0")
@@ -172,6 +172,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most: int = 100
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
     found = e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
     if nodes is None:
         return found

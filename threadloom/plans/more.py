@@ -71,27 +71,27 @@ graph_query("emb_incidence", "select msg_id as row, entity_id as col from mentio
 
 def _spectrum(s: SparkSession, d: str) -> DataFrame:
     cells = _table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("row"), F.posexplode("embedding").alias("col", "value"))
-    _, sigma = E.svd(cells.select("row", F.col("col").cast("string").alias("col"), "value"), 4)
+    _, sigma = E.svd(cells.select("row", F.col("col").cast("string").alias("col"), "value"))
     return s.createDataFrame([(i, float(round(x, 3))) for i, x in enumerate(sigma)], "i int, sigma double")
 
 
 table_query("emb_truncsvd")(_spectrum)
-graph_query("emb_spectral")(lambda g: E.spectral(g, 8).select("id", F.size("vector").alias("dim")))
+graph_query("emb_spectral")(lambda g: E.spectral(g).select("id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector")))
 
 
 @graph_query("emb_node2vec")
 def _node2vec(g) -> DataFrame:
     from threadloom.operators.algorithms import random_walks
 
-    vectors, _ = E.svd(E.walk_pairs(random_walks(g, 10, 2)), 8)
-    return vectors.select("row", F.size("vector").alias("dim"))
+    vectors, _ = E.svd(E.walk_pairs(random_walks(g)))
+    return vectors.select("row", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
 
 
-@graph_query("emb_prune", "select entity_a as a, entity_b as b, weight from (select *, row_number() over (partition by v order by weight desc, entity_a, entity_b) as r from (select entity_a as v, * from cooc union all select entity_b, * from cooc)) where r <= 3 group by all")
+@graph_query("emb_prune", "select entity_a as a, entity_b as b, weight from (select *, row_number() over (partition by v order by weight desc, entity_a, entity_b) as r from (select entity_a as v, * from cooc union all select entity_b, * from cooc)) where r <= 100 group by all")
 def _prune(g) -> DataFrame:
     from threadloom.operators.algorithms import cooc_edges, prune
 
-    return prune(cooc_edges(g, 1), 3)
+    return prune(cooc_edges(g, 1))
 
 
 @graph_query("gr_traverse")
@@ -138,7 +138,7 @@ def _third(s: SparkSession, d: str) -> DataFrame:
 
 table_query("flt_offset_limit", "select doc_id from documents order by doc_id limit 50 offset 100")(lambda s, d: _docs(s, d).select("doc_id").orderBy("doc_id").offset(100).limit(50))
 graph_query("flt_orphan_parent", "select id, parent from msgs where parent in (select id from msgs)")(lambda g: g.replies.select(F.col("child_id").alias("id"), F.col("parent_id").alias("parent")))
-graph_query("gr_backfill", "select id, coalesce(create_time, 0.0) as create_time from nodes where label = 'Message'")(lambda g: R.backfill_times(g, g.of("Message").select("id", F.lit(5.0).alias("create_time"))).where("label = 'Message'").select("id", F.coalesce("create_time", F.lit(0.0)).alias("create_time")))
+table_query("gr_backfill", "select id, case when cn % 3 = 0 then 5.0 else create_time end::double as create_time from msgs", True)(lambda s, d: R.backfill_times(g := views.chat_untimed(s, d), g.of("Message").select("id", F.lit(5.0).alias("create_time"))).where("label = 'Message'").select("id", "create_time"))
 table_query("win_pseudo_time", "select id, ((row_number() over (order by id) - 1) * 86400)::double as create_time from msgs", True)(lambda s, d: T.pseudo_times(views.chat_messages(s, d).select("id")))
 
 # exports: provider documents made from the table, parsed back

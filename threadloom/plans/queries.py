@@ -221,11 +221,13 @@ graph_query("gr_components", _E2 + ", reach as (select a as x, a as y from both_
 _PATHS = _E2 + (
     ", walk as (select a as s, a as t, [a] as p, 0 as d from (select distinct a from both_) union all select w.s, x.b, list_append(w.p, x.b), w.d + 1 from walk w join both_ x on x.a = w.t where not list_contains(w.p, x.b) and w.d < 8), "
     "dist as (select s, t, min(d) as d from walk group by 1, 2), short as (select w.s, w.t, w.p from walk w join dist using (s, t) where w.d = dist.d), sig as (select s, t, count(*) as k from short group by 1, 2), "
-    "bt as (select v, round(sum(n / k) / 2, 6) as betweenness from (select s, t, v, count(*) as n from (select s, t, unnest(p[2:-2]) as v from short) group by 1, 2, 3) join sig using (s, t) group by 1) "
+    "bt as (select v, round(sum(n / k) / 2, 6) as betweenness from (select s, t, v, count(*) as n from (select s, t, unnest(p[2:-2]) as v from short) group by 1, 2, 3) join sig using (s, t) group by 1), "
+    "all_bt as (select distinct a as v, coalesce(betweenness, 0.0) as betweenness from both_ left join bt on v = a), "
+    "br as (select s as entity_a, t as entity_b, d::int as path_length, round((x.betweenness + y.betweenness) / 2, 6) as betweenness from dist join all_bt x on x.v = s join all_bt y on y.v = t where d between 2 and 4 and x.betweenness >= 0.01) "
 )
-graph_query("gr_betweenness_entity")(lambda g: A.entity_centrality(g, 10_000))
-graph_query("gr_shortest_bridge")(lambda g: A.entity_bridges(g))
-graph_query("gr_get_bridges")(lambda g: A.bridges_of(A.entity_bridges(g), (A.entity_bridges(g).select("entity_a").orderBy("entity_a").first() or [""])[0]))
+graph_query("gr_betweenness_entity", _PATHS + "select v as id, betweenness, degree from all_bt join (select a, count(*) as degree from both_ group by 1) on a = v order by betweenness desc, degree desc, id limit 20")(A.entity_centrality)
+graph_query("gr_shortest_bridge", _PATHS + "select entity_a, entity_b, path_length, betweenness from br")(lambda g: A.entity_bridges(g))
+graph_query("gr_get_bridges", _PATHS + "select entity_a, entity_b, path_length, betweenness from br where entity_a = (select min(entity_a) from br) order by betweenness desc, entity_b limit 20")(lambda g: A.bridges_of(A.entity_bridges(g), (A.entity_bridges(g).select("entity_a").orderBy("entity_a").first() or [""])[0]))
 graph_query("gr_louvain")(lambda g: A.communities(g))
 graph_query("gr_induced_stats")(lambda g: A.topic_clusters(g))
 graph_query("gr_domains")(lambda g: A.entity_domains(g))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,15 +15,15 @@ from threadloom.operators import text as X
 from threadloom.operators import traversal as V
 from threadloom.plans import views
 from threadloom.plans.more import _convs, _halves, _table
-from threadloom.plans.queries import graph_query, table_query
+from threadloom.plans.queries import _FS, _PATHS, graph_query, jac, table_query
+from threadloom.session import shared_folder
 from threadloom.sinks import exports as K
 from threadloom.sources import exports as I
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the session's shared one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-")
-    return f"{root.rstrip('/')}/stores/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -45,7 +44,24 @@ graph_query("src_graph_db", "select entity_a, entity_b, weight from cooc")(lambd
 table_query("snk_messages", _MSGS, True)(lambda s, d: stored(views.chat_messages(s, d)).select("id", "role", "text", "parent"))
 table_query("src_messages_table", _MSGS, True)(lambda s, d: stored(views.chat_messages(s, d)).select("id", "role", "text", "parent"))
 graph_query("src_from_pickle", "select count(*) as n from nodes")(lambda g: stored_graph(g).nodes.agg(F.count(F.lit(1)).alias("n")))
-graph_query("snk_reset", "select 0::bigint as n")(lambda g: stored_graph(Graph.empty(g.spark)).nodes.agg(F.count(F.lit(1)).alias("n")))
+
+
+@graph_query("snk_reset", "select 'before' as moment, (select count(*) from nodes) as nodes, (select count(*) from mentions) as mentions union all select 'after', 0, 0")
+def _reset(g: Graph) -> DataFrame:
+    """A filled store, and the same store after a reset."""
+    path = scratch(g.spark)
+    g.write(path)
+
+    def seen(moment: str) -> DataFrame:
+        now = Graph.read(g.spark, path)
+        n = now.nodes.agg(F.count(F.lit(1)).alias("nodes")).join(now.mentions.agg(F.count(F.lit(1)).alias("mentions")))
+        return stored(n.select(F.lit(moment).alias("moment"), "nodes", "mentions"))
+
+    before = seen("before")
+    Graph.empty(g.spark).write(path)
+    return before.unionByName(seen("after"))
+
+
 for _name in ("snk_embeddings", "src_embeddings", "emb_store_load", "snk_npz"):
     table_query(_name, "select vec_id, len(embedding)::int as dim from embeddings")(lambda s, d: stored(_table(s, d, "embeddings")).select("vec_id", F.size("embedding").alias("dim")))
 
@@ -58,7 +74,7 @@ def _bulk(g: Graph) -> DataFrame:
 
 
 graph_query("snk_kuzu", "select entity_a, entity_b, weight from cooc")(_bulk)
-graph_query("jn_kuzu_match", "select msg_id, entity_id from mentions where msg_id in (select id from nodes) and entity_id in (select id from nodes)")(
+graph_query("jn_kuzu_match", "select msg_id, entity_id from mentions join (select distinct id from nodes) a on a.id = msg_id join (select distinct id from nodes) b on b.id = entity_id")(
     lambda g: g.mentions.join(g.nodes.select(F.col("id").alias("msg_id")), "msg_id", "left_semi").join(g.nodes.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("msg_id", "entity_id")
 )
 
@@ -110,7 +126,7 @@ table_query(
     "flt_entity_type",
     r"select distinct 'm' || conv_id || '_' || turn as msg_id, 'entity::ORG::' || lower(w) as entity_id from (select conv_id, turn, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}_]+')) as w from conversations) where w = 'The'",
 )(lambda s, d: mentions_of(views.chat_messages(s, d), known_terms({"The": "ORG", "the": "DATE", "of": "MONEY"})).select("msg_id", "entity_id"))
-graph_query("flt_has_ts", "select id from nodes where create_time is not null")(lambda g: g.nodes.where("create_time is not null").select("id"))
+table_query("flt_has_ts", "select id from msgs where cn % 3 <> 0", True)(lambda s, d: views.chat_untimed(s, d).of("Message").where("create_time is not null").select("id"))
 graph_query("jn_parent_known", "select parent_id, child_id from replies")(lambda g: g.replies)
 graph_query("jn_mention_ts_inner", "select entity_id, create_time from mt where create_time is not null")(
     lambda g: g.mentions.join(g.of("Message").where("create_time is not null").select(F.col("id").alias("msg_id"), "create_time"), "msg_id").select("entity_id", "create_time")
@@ -144,7 +160,11 @@ graph_query(
     .unionByName(R.keyword_enrichment(g).agg(F.sum("document_frequency").alias("total")).select(F.lit("Keyword").alias("label"), "total"))
     .unionByName(V.conversation_meta(g).agg(F.sum("message_count").alias("total")).select(F.lit("Conversation").alias("label"), "total"))
 )
-graph_query("gr_derive_all")(
+graph_query(
+    "gr_derive_all",
+    _PATHS + "select 'HAS_TOPIC' as edge, (select count(*) from ce join (select conv_id, count(*) as size from contains group by 1) using (conv_id) where round(n / size, 6) >= 0.3 and n >= 2) as n "
+    f"union all select 'SIMILAR_TO', (select count(*) from ({jac('msg_id', _FS)}) where j >= 0.3) union all select 'BRIDGES', (select count(*) from br)",
+)(
     lambda g: R.conversation_topics(g).agg(F.count(F.lit(1)).alias("n")).select(F.lit("HAS_TOPIC").alias("edge"), "n")
     .unionByName(R.cross_links(g).agg(F.count(F.lit(1)).alias("n")).select(F.lit("SIMILAR_TO").alias("edge"), "n"))
     .unionByName(A.entity_bridges(g).agg(F.count(F.lit(1)).alias("n")).select(F.lit("BRIDGES").alias("edge"), "n"))
@@ -164,8 +184,8 @@ graph_query("agg_cluster_keywords")(lambda g: A.topic_clusters(g).select("commun
 @graph_query("emb_variance")
 def _variance(g: Graph) -> DataFrame:
     cells = E.incidence(g)
-    _, sigma = E.svd(cells, 4)
+    _, sigma = E.svd(cells)
     return g.spark.createDataFrame([(round(E.explained_variance(sigma, cells), 4),)], "share double")
 
 
-graph_query("emb_run")(lambda g: E.spectral(g, 4, True).select("id", F.size("vector").alias("dim")))
+graph_query("emb_run")(lambda g: E.spectral(g, 32, True).select("id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector")))

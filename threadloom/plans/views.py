@@ -26,6 +26,12 @@ def chat(spark: SparkSession, sf_dir: str) -> Graph:
     return build(chat_messages(spark, sf_dir))
 
 
+def chat_untimed(spark: SparkSession, sf_dir: str) -> Graph:
+    """The chat graph, but conversations of numbers divisible by three have no times."""
+    m = chat_messages(spark, sf_dir)
+    return build(m.withColumn("create_time", F.when(F.substring("conversation_id", 2, 20).cast("bigint") % 3 != 0, F.col("create_time"))))
+
+
 def chat_half(spark: SparkSession, sf_dir: str, odd: bool) -> Graph:
     """The graph of the conversations with even or odd numbers, for comparisons of two graphs."""
     m = chat_messages(spark, sf_dir)

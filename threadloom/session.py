@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -21,9 +24,18 @@ def session(name: str = "threadloom", **conf: str) -> SparkSession:
 
 def durable(df, spark: SparkSession | None = None):
     """Reliable checkpoint in the session's shared folder; cuts lineage between iterations."""
-    import tempfile
-
     spark = spark or df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Unset, a local session gets a temporary folder; a cluster gets an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="threadloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

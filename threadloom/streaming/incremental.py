@@ -27,6 +27,17 @@ def extend(graph: Graph, processed: DataFrame, messages: DataFrame) -> tuple[Gra
     return merge(graph, build(new, earlier=processed)), processed.select("id").unionByName(new.select("id")).distinct()
 
 
+def _last_version(spark: SparkSession, target: str, before: int) -> int | None:
+    """The newest whole version under ``target`` of a number below ``before``; empty batches leave gaps."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return None
+    names = [x.getPath().getName() for x in store.listStatus(folder)]
+    whole = [int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit() and store.exists(folder.suffix(f"/{x}/processed/_SUCCESS"))]
+    return max((x for x in whole if x < before), default=None)
+
+
 def watch(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
     """Merges every new file of message JSON lines below ``folder`` into the graph at ``target``; each batch is a new version."""
 
@@ -34,8 +45,9 @@ def watch(spark: SparkSession, folder: str, target: str, checkpoint: str) -> Str
         if batch.isEmpty():
             return
         s = batch.sparkSession
-        if number:
-            old, done = Graph.read(s, f"{target}/v{number - 1}"), s.read.parquet(f"{target}/v{number - 1}/processed")
+        last = _last_version(s, target, number)
+        if last is not None:
+            old, done = Graph.read(s, f"{target}/v{last}"), s.read.parquet(f"{target}/v{last}/processed")
         else:
             old, done = Graph.empty(s), s.createDataFrame([], "id string")
         new, seen = extend(old, done, batch.select("id", "role", "text", "parent", "create_time", "conversation_id", "lang"))
