@@ -175,16 +175,39 @@ def communities(g: Graph, least: int = 2, min_size: int = 3) -> DataFrame:
     return keyed.groupBy("component").applyInPandas(run, "id string, component string, community string")
 
 
+def inner_edges(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """Edges (a, b, weight) whose ends lie in one part of (id, community), with that ``community``."""
+    left = parts.select(F.col("id").alias("a"), F.col("community").alias("ca"))
+    right = parts.select(F.col("id").alias("b"), F.col("community").alias("cb"))
+    return edges.join(left, "a").join(right, "b").where("ca = cb").select("a", "b", "weight", F.col("ca").alias("community"))
+
+
+def partition_modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(vertices, communities, modularity): one row for parts (id, community) of weighted edges (a, b, weight), by sums alone.
+
+    Edges with an end outside the parts count for neither; without edges the modularity is 0.
+    """
+    ends = parts.select("id", "community")
+    known = edges.join(ends.select(F.col("id").alias("a")), "a", "left_semi").join(ends.select(F.col("id").alias("b")), "b", "left_semi")
+    total = known.agg(F.sum("weight").cast("double").alias("t"))
+    inside = inner_edges(known, ends).groupBy("community").agg(F.sum("weight").cast("double").alias("inside"))
+    strength = known.select(F.explode(F.array("a", "b")).alias("id"), "weight").groupBy("id").agg(F.sum("weight").cast("double").alias("s"))
+    per = ends.join(strength, "id", "left").groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("s", F.lit(0.0))).alias("s"))
+    part = F.coalesce("inside", F.lit(0.0)) / F.col("t") - F.pow(F.col("s") / (2 * F.col("t")), 2)
+    return per.join(inside, "community", "left").join(F.broadcast(total)).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("vertices"), F.count(F.lit(1)).alias("communities"), F.coalesce(F.round(F.sum(part), 6), F.lit(0.0)).alias("modularity")
+    )
+
+
 def topic_clusters(g: Graph, least: int = 2, min_size: int = 3, top: int = 10) -> DataFrame:
     """community, size, edges inside, top entities by degree and top keywords of each cluster."""
     comm = communities(g, least, min_size)
     size = comm.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     e = cooc_edges(g, least)
-    left, right = comm.select(F.col("id").alias("a"), F.col("community").alias("ca")), comm.select(F.col("id").alias("b"), F.col("community").alias("cb"))
-    inside = e.join(left, "a").join(right, "b").where("ca = cb")
-    edges = inside.groupBy(F.col("ca").alias("community")).agg(F.count(F.lit(1)).alias("edges"))
-    ends = inside.select(F.col("a").alias("id"), "ca").unionAll(inside.select("b", "ca"))
-    deg = ends.groupBy("id", F.col("ca").alias("community")).agg(F.count(F.lit(1)).alias("degree"))
+    inside = inner_edges(e, comm)
+    edges = inside.groupBy("community").agg(F.count(F.lit(1)).alias("edges"))
+    ends = inside.select(F.col("a").alias("id"), "community").unionAll(inside.select("b", "community"))
+    deg = ends.groupBy("id", "community").agg(F.count(F.lit(1)).alias("degree"))
     order = Window.partitionBy("community")
 
     def best(df: DataFrame, score: str, key: str, alias: str, k: int) -> DataFrame:

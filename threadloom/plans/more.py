@@ -12,7 +12,7 @@ from threadloom.operators import temporal as T
 from threadloom.operators import text as X
 from threadloom.operators import traversal as V
 from threadloom.plans import views
-from threadloom.plans.queries import graph_query, table_query
+from threadloom.plans.queries import _EDGE, _FLAT, _HITS, graph_query, table_query
 from threadloom.sinks import exports as K
 from threadloom.sources import exports as I
 from threadloom.streaming import incremental as N
@@ -113,12 +113,15 @@ _HALF = ", la as (select distinct m.entity_id as id, x.cn % 2 as h from mentions
 table_query("set_diff", _HALF + "select count(*) filter (where l and not r) as left_only, count(*) filter (where r and not l) as right_only, count(*) filter (where l and r) as shared, round(count(*) filter (where l and r) / count(*), 6) as jaccard from (select id, bool_or(h = 0) as l, bool_or(h = 1) as r from la group by 1)", True)(
     lambda s, d: R.diff_counts(*_halves(s, d)).where("kind = 'Entity'").drop("kind")
 )
-table_query("gr_diff")(lambda s, d: R.diff_counts(*_halves(s, d)))
 _DM = ", c as (select m.entity_id, count(*) filter (where x.cn % 2 = 0) as n_left, count(*) filter (where x.cn % 2 = 1) as n_right from mentions m join msgs x on x.id = m.msg_id group by 1) "
 table_query("jn_full_outer_diff", _DM + "select entity_id, n_left, n_right, abs(n_left - n_right) as diff, case when n_left > n_right then 'left' when n_left < n_right then 'right' else 'equal' end as lean from c order by 4 desc, 1 limit 30", True)(lambda s, d: R.diff_mentions(*_halves(s, d)))
 table_query("agg_type_breakdown", _DM + "select entity_type, sum(n_left)::bigint as n_left, sum(n_right)::bigint as n_right from c join ents on id = entity_id group by 1", True)(lambda s, d: R.diff_types(*_halves(s, d)))
-table_query("set_merge_batches", "select label, count(*) as n from nodes where label <> 'Keyword' group by 1", True)(
-    lambda s, d: N.extend(*N.extend(_empty(s), s.createDataFrame([], "id string"), (m := views.chat_messages(s, d)).where("conversation_id < 'c5'")), m)[0].nodes.where("label <> 'Keyword'").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+_BATCH = "({0}select id, label from nodes)"
+table_query(
+    "set_merge_batches",
+    f"with b as ({_BATCH.format(views.chat_sql(chr(39) + 'c' + chr(39) + ' || conv_id < ' + chr(39) + 'c5' + chr(39)))} union {_BATCH.format(views.chat_sql(chr(39) + 'c' + chr(39) + ' || conv_id >= ' + chr(39) + 'c5' + chr(39)))}) select label, count(*) as n from b group by 1",
+)(  # keywords are those of each batch's own TF-IDF
+    lambda s, d: N.extend(*N.extend(_empty(s), s.createDataFrame([], "id string"), (m := views.chat_messages(s, d)).where("conversation_id < 'c5'")), m)[0].nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 )
 
 
@@ -143,14 +146,15 @@ table_query("win_pseudo_time", "select id, ((row_number() over (order by id) - 1
 
 # exports: provider documents made from the table, parsed back
 def _convs(s: SparkSession, d: str) -> DataFrame:
-    t = _table(s, d, "conversations").where("role <> 'system'")
+    t = _table(s, d, "conversations")
     m = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     rows = t.groupBy(F.concat(F.lit("c"), "conv_id").alias("id")).agg(m.alias("ms"))
     msg = lambda x: F.struct(x["role"].alias("role"), F.trim(x["text"]).alias("content"), F.lit(1.7e9).alias("created_at"), F.lit("m").alias("model"))
     return I._shape(rows, id=F.col("id"), title=F.concat(F.lit("Title "), "id"), messages=F.transform("ms", msg), created_at=F.lit(1.7e9), updated_at=F.lit(1.7e9), source_format=F.lit("table"))
 
 
-_BACK = "select 'c' || conv_id as id, count(*)::int as n, sha256(string_agg(role || ':' || trim(text), chr(10) order by turn)) as h from conversations where role <> 'system' group by 1"
+#: Parsers know the assistant; every other role is the user.
+_BACK = "select 'c' || conv_id as id, count(*)::int as n, sha256(string_agg(case when role = 'assistant' then role else 'user' end || ':' || trim(text), chr(10) order by turn)) as h from conversations group by 1"
 
 
 def _digest(convs: DataFrame) -> DataFrame:
@@ -171,32 +175,61 @@ table_query("src_message_array", _BACK)(lambda s, d: _digest(I.parse(_gemini_fil
 
 
 def _markdown(s: SparkSession, d: str) -> DataFrame:
-    body = F.array_join(F.transform("messages", lambda m: F.concat(F.when(m["role"] == "user", "#### You:\n").otherwise("#### ChatGPT:\n"), m["content"], F.lit("\n"))), "")
+    body = F.array_join(F.transform("messages", lambda m: F.concat(F.when(m["role"] == "assistant", "#### ChatGPT:\n").otherwise("#### You:\n"), m["content"], F.lit("\n"))), "")
     return _convs(s, d).select(F.concat("id", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "title", F.lit("\n"), body).alias("raw"))
 
 
 table_query("src_markdown", _BACK.replace("select 'c' || conv_id as id,", "select 'Title c' || conv_id as title,"))(lambda s, d: _digest(I.parse(_markdown(s, d)).withColumn("id", F.col("title"))).withColumnRenamed("id", "title"))
-table_query("src_parse_dispatch", "select 3::bigint * count(distinct conv_id) as n from conversations where role <> 'system'")(
+table_query("src_parse_dispatch", "select 3::bigint * count(distinct conv_id) as n from conversations")(
     lambda s, d: I.parse(
         K.to_openai(_convs(s, d)).unionByName(K.to_anthropic(_convs(s, d))).select(F.lit("x.json").alias("path"), F.col("doc").alias("raw")).unionByName(_markdown(s, d)).unionByName(s.createDataFrame([("y.json", "{broken")], "path string, raw string"))
     ).agg(F.count(F.lit(1)).alias("n"))
 )
-table_query("src_detect_format", "select f, n from (values ('openai_individual'), ('anthropic_individual'), ('gemini'), ('openai_md')) t(f), (select count(distinct conv_id) as n from conversations where role <> 'system')")(
+table_query("src_detect_format", "select f, n from (values ('openai_individual'), ('anthropic_individual'), ('gemini'), ('openai_md')) t(f), (select count(distinct conv_id) as n from conversations)")(
     lambda s, d: K.to_openai(_convs(s, d)).unionByName(K.to_anthropic(_convs(s, d))).select(F.lit("x.json").alias("path"), F.col("doc").alias("raw")).unionByName(_gemini_file(s, d)).unionByName(_markdown(s, d))
     .groupBy(I.detect_format(F.col("raw"), F.col("path")).alias("f")).agg(F.count(F.lit(1)).alias("n"))
 )
-table_query("src_json_array", "select 'c' || conv_id as conversation_id, count(*) as n, sum(length(trim(text)))::bigint as chars from conversations where role <> 'system' group by 1")(
+table_query("src_json_array", "select 'c' || conv_id as conversation_id, count(*) as n, sum(length(trim(text)))::bigint as chars from conversations group by 1")(
     lambda s, d: I.extract(K.to_openai(_convs(s, d)).select(F.lit("x.json").alias("path"), F.concat(F.lit("["), "doc", F.lit("]")).alias("raw"))).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 )
-table_query("snk_openai", "select count(distinct conv_id) as n from conversations where role <> 'system'")(lambda s, d: K.to_openai(_convs(s, d)).agg(F.count_distinct("id").alias("n")))
-table_query("snk_anthropic", "select count(distinct conv_id) as n from conversations where role <> 'system'")(lambda s, d: K.to_anthropic(_convs(s, d)).agg(F.count_distinct("id").alias("n")))
-table_query("snk_gemini", "select count(*) as n from conversations where role <> 'system'")(lambda s, d: K.to_gemini(_convs(s, d)).agg(F.count(F.lit(1)).alias("n")))
-table_query("win_prev_chain", "select 'c' || conv_id as id, count(*)::int + 1 as nodes from conversations where role <> 'system' group by 1")(lambda s, d: K.to_openai(_convs(s, d)).select("id", F.size(F.json_object_keys(F.get_json_object("doc", "$.mapping"))).alias("nodes")))
-graph_query("snk_gexf", "select (select count(*) from nodes) as nodes, (select count(*) from contains) + (select count(*) from replies) + (select count(*) from mentions) + 2 * (select count(*) from cooc) + (select count(*) from keywords) as edges")(lambda g: K.gexf(g).agg(F.count_if(F.col("part") == 3).alias("nodes"), F.count_if(F.col("part") == 5).alias("edges")))
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
+_AT = lambda *paths: [F.get_json_object("doc", p) for p in paths]
+table_query("snk_openai", f"select id, 'Title ' || id as title, {_UUID} as current_node, 1.7e9 as create_time, n from (select 'c' || conv_id as id, count(*)::int + 1 as n, md5('c' || conv_id || '_' || (count(*) - 1)) as h from conversations group by conv_id)")(
+    lambda s, d: K.to_openai(_convs(s, d)).select("id", *[c.alias(k) for c, k in zip(_AT("$.title", "$.current_node"), ("title", "current_node"))], F.get_json_object("doc", "$.create_time").cast("double").alias("create_time"), F.size(F.json_object_keys(F.get_json_object("doc", "$.mapping"))).alias("n"))
+)
+table_query(
+    "snk_anthropic",
+    f"select id, 'Title ' || id as name, case when role = 'user' then 'human' else role end as sender, {_UUID} as uuid, '2023-11-14T22:13:20.000000Z' as created_at, text from (select 'c' || conv_id as id, arg_min(role, turn) as role, md5('c' || conv_id || '_0') as h, trim(arg_min(text, turn)) as text from conversations group by conv_id)",
+)(
+    lambda s, d: K.to_anthropic(_convs(s, d)).select("id", *[c.alias(k) for c, k in zip(_AT("$.name", "$.chat_messages[0].sender", "$.chat_messages[0].uuid", "$.created_at", "$.chat_messages[0].content[0].text"), ("name", "sender", "uuid", "created_at", "text"))])
+)
+table_query(
+    "snk_gemini",
+    "select 'c' || conv_id as group_id, place::int as place, 'r_' || left(md5('c' || conv_id || '_' || place), 16) || '_' || r as id, '2023-11-14 22:13:20' as created_at, t as text from (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as place, case when role = 'assistant' then role else 'user' end as r, trim(text) as t from conversations)",
+)(lambda s, d: K.to_gemini(_convs(s, d)).select("place", *[c.alias(k) for c, k in zip(_AT("$.chatGroupId", "$.id", "$.created_at", "$.contents[0].content"), ("group_id", "id", "created_at", "text"))]))
+table_query("win_prev_chain", "select 'c' || conv_id as id, count(*)::int + 1 as nodes from conversations group by 1")(lambda s, d: K.to_openai(_convs(s, d)).select("id", F.size(F.json_object_keys(F.get_json_object("doc", "$.mapping"))).alias("nodes")))
+_LINKS = (("CONTAINS", "conv_id", "msg_id", "contains", "1"), ("REPLIES_TO", "parent_id", "child_id", "replies", "1"), ("MENTIONS", "msg_id", "entity_id", "mentions", "1"), ("CO_OCCURS_WITH", "entity_a", "entity_b", "cooc", "weight"), ("CO_OCCURS_WITH", "entity_b", "entity_a", "cooc", "weight"), ("HAS_KEYWORD", "msg_id", "keyword_id", "keywords", "weight"))
+
+
+@graph_query(
+    "snk_gexf",
+    "select label as kind, id as a, coalesce(nullif(name, ''), nullif(left(text, 80), ''), id) as b, null::double as w from nodes union all " + " union all ".join(f"select '{k}', {a}, {b}, {w}::double from {t}" for k, a, b, t, w in _LINKS),
+)
+def _gexf(g) -> DataFrame:
+    """Nodes and edges of the lines, read as XML."""
+    at = lambda p, k: F.xpath_string("line", F.lit(p)).alias(k)
+    lines = K.gexf(g)
+    nodes = lines.where("part = 3").select(at("node/attvalues/attvalue[@for='label']/@value", "kind"), at("node/@id", "a"), at("node/@label", "b"), F.lit(None).cast("double").alias("w"))
+    return nodes.unionByName(lines.where("part = 5").select(at("edge/@kind", "kind"), at("edge/@source", "a"), at("edge/@target", "b"), F.xpath_double("line", F.lit("edge/@weight")).alias("w")))
+
+
 graph_query("snk_graph_dict", "select id, label, nullif(name, '') as name from nodes")(lambda g: K.graph_dict(g).select("id", F.get_json_object("attrs", "$.label").alias("label"), F.get_json_object("attrs", "$.name").alias("name")))
-graph_query("snk_csv_timeline")(lambda g: T.timeline_wide(g))
 graph_query("snk_console", "select role, count(*) as n, repeat('#', round(count(*) * 40 / (select max(n) from (select count(*) as n from msgs group by role)))::int) as bar from msgs group by 1")(lambda g: K.bars(g.of("Message").groupBy("role").agg(F.count(F.lit(1)).alias("n")), "n"))
-graph_query("nlp_llm_context")(lambda g: R.llm_context(R.with_message(g, R.query_messages(g, "th on").select("msg_id", "score")), 5000))
+graph_query(
+    "nlp_llm_context",
+    f", hit as (select msg_id, round(sum(s), 4) as score from ({_HITS.format(_EDGE, _FLAT)}) where s > 0 group by 1 order by 2 desc, 1 limit 50), line as (select conv_id, msg_id, score, '[' || role || '] ' || left(text, 500) || chr(10) as line from hit join msgs on id = msg_id), "
+    "used as (select *, sum(length(line)) over (order by score desc, msg_id rows unbounded preceding) as used from line) select conv_id, string_agg(line, '' order by score desc, msg_id) as context from used where used <= 5000 group by 1",
+)(lambda g: R.llm_context(R.with_message(g, R.query_messages(g, "th on").select("msg_id", "score")), 5000))
 table_query("gr_ontology", "select edge, source, target from (values ('CONTAINS', 'Conversation', 'Message'), ('REPLIES_TO', 'Message', 'Message'), ('MENTIONS', 'Message', 'Entity'), ('CO_OCCURS_WITH', 'Entity', 'Entity'), ('HAS_KEYWORD', 'Message', 'Keyword'), ('HAS_TOPIC', 'Conversation', 'Entity'), ('SIMILAR_TO', 'Message', 'Message'), ('BRIDGES', 'Entity', 'Entity')) t(edge, source, target)")(
     lambda s, d: _ontology(s).select("edge", "source", "target")
 )

@@ -38,6 +38,12 @@ def chat_half(spark: SparkSession, sf_dir: str, odd: bool) -> Graph:
     return build(m.where(F.substring("conversation_id", 2, 20).cast("bigint") % 2 == int(odd)))
 
 
+def chat_part(spark: SparkSession, sf_dir: str, left_out: int) -> Graph:
+    """The graph of the conversations whose numbers leave another rest than ``left_out`` when divided by three."""
+    m = chat_messages(spark, sf_dir)
+    return build(m.where(F.substring("conversation_id", 2, 20).cast("bigint") % 3 != left_out))
+
+
 def basket(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers as conversations, orders as messages, parts as entities (typed by brand), part types as keywords."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -72,13 +78,13 @@ def _words(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-def chat_sql() -> str:
-    """The same graph for DuckDB: CTEs msgs, mfull, mentions, contains, replies, cooc, keywords, nodes."""
+def chat_sql(where: str = "true") -> str:
+    """The same graph for DuckDB, of the rows for which ``where`` holds: CTEs msgs, mfull, mentions, contains, replies, cooc, keywords, nodes."""
     from threadloom.operators.text import STOP_WORDS
 
     return rf"""
 with recursive msgs as (select 'm' || conv_id || '_' || turn as id, role, text, case when turn > 0 then 'm' || conv_id || '_' || ((turn - 1) // 2) end as parent,
-    ((conv_id * 8 + turn) * 86400)::double as create_time, 'c' || conv_id as conv_id, conv_id as cn from conversations),
+    ((conv_id * 8 + turn) * 86400)::double as create_time, 'c' || conv_id as conv_id, conv_id as cn from conversations where {where}),
 toks as (select id as msg_id, unnest(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+')) as w from msgs),
 caps as (select msg_id, w, case when length(w) <= 6 then 'ORG' when length(w) <= 9 then 'PERSON' else 'PLACE' end as typ from toks where regexp_matches(w, '^\p{{Lu}}\p{{Ll}}{{3,}}$')),
 mfull as (select msg_id, 'entity::' || typ || '::' || lower(w) as entity_id, min(w) as name, min(typ) as entity_type from caps group by 1, 2),

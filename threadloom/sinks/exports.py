@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import file_title, iso_micros, plain_time, seeded_uuid, xml_text
 from threadloom.graph import Graph
+from threadloom.sources.exports import CSV
 
 
 def _indexed(i: Column) -> Column:
@@ -150,9 +151,9 @@ def write_gexf(g: Graph, path: str) -> None:
 def write_bulk(g: Graph, path: str) -> None:
     """One CSV folder per node label and per relation, as graph databases load them."""
     for label in ("Conversation", "Message", "Entity", "Keyword"):
-        g.of(label).drop("label").write.mode("overwrite").option("header", True).csv(f"{path}/nodes/{label}")
+        g.of(label).drop("label").write.mode("overwrite").options(**CSV).csv(f"{path}/nodes/{label}")
     for t in ("contains", "replies", "mentions", "cooc", "keywords"):
-        getattr(g, t).write.mode("overwrite").option("header", True).csv(f"{path}/edges/{t}")
+        getattr(g, t).write.mode("overwrite").options(**CSV).csv(f"{path}/edges/{t}")
 
 
 def graph_dict(g: Graph) -> DataFrame:
@@ -163,9 +164,29 @@ def graph_dict(g: Graph) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, digits: int = 4) -> None:
-    """A report as CSV with a header; doubles with a fixed number of digits."""
-    shown = [F.format_number(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
-    df.select(*shown).write.mode("overwrite").option("header", True).csv(path)
+    """A report as CSV with a header; doubles with a fixed number of digits and no marks for thousands."""
+    def shown(c: str, kind: str) -> Column:
+        v = F.col(f"`{c}`")
+        return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v)).alias(c) if kind == "double" else v
+
+    df.select(*[shown(c, t) for c, t in df.dtypes]).write.mode("overwrite").options(**CSV).csv(path)
+
+
+def to_npz(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(path, content): blocks of ids and float vectors as compressed arrays, one per Arrow batch; vectors of one length."""
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import numpy as np
+
+        for f in frames:
+            if len(f):
+                held = io.BytesIO()
+                np.savez_compressed(held, ids=f["id"].to_numpy(dtype=str), vectors=np.stack(f["v"].to_numpy()).astype(np.float32))
+                yield pd.DataFrame({"path": [f"{f['id'].iloc[0]}.npz"], "content": [held.getvalue()]})
+
+    return df.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v")).mapInPandas(packed, "path string, content binary")
 
 
 def bars(df: DataFrame, value: str, width: int = 40) -> DataFrame:

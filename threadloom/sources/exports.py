@@ -29,13 +29,16 @@ _ARRAY = (
     "struct<id:string,chatGroupId:string,role:string,model:string,displayModel:string,created_at:string,"
     "contents:array<struct<type:string,content:string,attachment:struct<name:string>>>>"
 )
+#: How tables are written as CSV and read back: quotes are doubled, line breaks and outer blanks survive.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "multiLine": True}
 ROLES = {"you": "user", "human": "user", "user": "user", "chatgpt": "assistant", "assistant": "assistant"}
 
 
 def read_files(spark: SparkSession, paths: list[str] | str, recursive: bool = False, pattern: str = "*.json") -> DataFrame:
     """(path, raw): one row per file, read by Spark, so any store works."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    # ``text`` would set an option of that name back to its own default
+    files = spark.read.text(paths, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
 def collect_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -68,6 +71,35 @@ def read_zips(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return zip_members(spark.read.format("binaryFile").load(paths))
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV folder of the sinks with a declared schema; CSV cannot tell an empty string from null, so both come back as null."""
+    return spark.read.options(**CSV).schema(schema).csv(path)
+
+
+def npz_rows(archives: DataFrame) -> DataFrame:
+    """(id, vector): the rows of every compressed block of (path, content)."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import numpy as np
+
+        for f in frames:
+            for content in f["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    yield pd.DataFrame({"id": z["ids"].astype(str), "vector": list(z["vectors"])})
+
+    return archives.select("content").mapInPandas(rows, "id string, vector array<float>")
+
+
+def nodes_of_dicts(rows: DataFrame) -> DataFrame:
+    """Nodes from (id, attrs), attributes as JSON: what is missing becomes an empty string, or null for the time."""
+    kinds = "label string, role string, text string, name string, entity_type string, create_time double"
+    a = rows.select("id", F.from_json("attrs", kinds).alias("a"))
+    kept = lambda c: F.coalesce(F.col(f"a.{c}"), F.lit("")).alias(c)
+    return a.select("id", F.col("a.label").alias("label"), *[kept(c) for c in ("role", "text", "name", "entity_type")], F.col("a.create_time").alias("create_time"))
+
+
 def conversations(files: DataFrame, schema: str = EXPORT) -> DataFrame:
     """(path, pos, c): every conversation of every file, whether the file holds one or a list."""
     raw = F.ltrim("raw")
