@@ -1,4 +1,4 @@
-"""Betweenness, communities, bridges and random walks: numpy kernels over adjacency of a checked size."""
+"""Betweenness, communities, bridges and random walks: numpy kernels over adjacency of a checked size, joins beyond it."""
 
 from __future__ import annotations
 
@@ -10,18 +10,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.graph import Graph
+from threadloom.operators.large_graphs import betweenness_by_waves, coarsen, walks_by_steps
 from threadloom.operators.traversal import components
+from threadloom.session import durable
 
-#: Edges that a kernel may hold: some 160 MB of arrays, and about 2 GB while names are turned into numbers. A larger graph
-#: is refused with a hint rather than cut.
+#: Edges that a kernel may hold: some 160 MB of arrays, and about 2 GB while names are turned into numbers. Larger graphs
+#: go through the joins of ``large_graphs``.
 MOST_EDGES = 5_000_000
 
 
+def _fits(edges: DataFrame) -> bool:
+    """Whether a kernel may hold the edges."""
+    return edges.count() <= MOST_EDGES
+
+
 def _adjacency(edges: DataFrame, weights: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets, targets, weights) of undirected edges (a, b[, weight]); the size is checked before it is collected."""
-    n = edges.count()
-    if n > MOST_EDGES:
-        raise ValueError(f"{n} edges: raise the least weight, or work by component (limit {MOST_EDGES})")
+    """(ids, offsets, targets, weights) of undirected edges (a, b[, weight]), which must be known to fit."""
     pdf = edges.toPandas()
     ids = sorted(set(pdf["a"]) | set(pdf["b"]))
     at = {x: i for i, x in enumerate(ids)}
@@ -63,7 +67,11 @@ def brandes(offsets: np.ndarray, targets: np.ndarray, source: int) -> np.ndarray
 
 
 def betweenness(spark: SparkSession, edges: DataFrame, sources: int | None = None) -> DataFrame:
-    """(id, betweenness), un-normalised and undirected; sources are shared out over tasks. ``sources``: a sample of them, scaled."""
+    """(id, betweenness), un-normalised and undirected; sources are shared out over tasks, or taken in waves of joins if the
+    edges do not fit a task. ``sources``: a sample of them, scaled."""
+    edges = durable(edges)
+    if not _fits(edges):
+        return betweenness_by_waves(edges, sources)
     ids, offsets, targets, _ = _adjacency(edges)
     shared = spark.sparkContext.broadcast((offsets, targets))
     n = len(ids)
@@ -151,16 +159,16 @@ def modularity(offsets: np.ndarray, targets: np.ndarray, weights: np.ndarray, co
 def communities(g: Graph, least: int = 2, min_size: int = 3) -> DataFrame:
     """(id, component, community): Louvain inside every component of ``min_size`` vertices or more, one group per component.
 
-    A component's edges meet in one task, so their number is checked first: over ``MOST_EDGES`` it is refused.
+    A component's edges meet in one task, so their number is checked first: components of over ``MOST_EDGES`` are folded by
+    joins until they fit. One that can not be folded so far keeps the communities that the folding has found.
     """
     e = cooc_edges(g, least)
     comp = components(e.select("a", "b"))
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
     member = comp.join(size, "component").select(F.col("id").alias("a"), "component")
     keyed = e.join(member, "a").select("component", "a", "b", F.col("weight").cast("double").alias("weight"))
-    largest = keyed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > MOST_EDGES:
-        raise ValueError(f"a component of {largest} edges: raise the least weight (limit {MOST_EDGES})")
+    keyed = durable(keyed)
+    sizes = keyed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(pdf["a"]) | set(pdf["b"]))
@@ -172,7 +180,21 @@ def communities(g: Graph, least: int = 2, min_size: int = 3) -> DataFrame:
         first = {c: ids[int(np.argmax(comm == c))] for c in np.unique(comm)}
         return pd.DataFrame({"id": ids, "component": pdf["component"].iloc[0], "community": [first[c] for c in comm]})
 
-    return keyed.groupBy("component").applyInPandas(run, "id string, component string, community string")
+    def kernel(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("component").applyInPandas(run, "id string, component string, community string")
+
+    big = sizes.where(F.col("n") > MOST_EDGES).select("component")
+    if big.isEmpty():
+        return kernel(keyed)
+    folded, inside = coarsen(keyed.join(F.broadcast(big), "component"), MOST_EDGES)  # fewer rows than edges / MOST_EDGES
+    still = folded.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_EDGES).select("component")
+    nodes = folded.select(F.explode(F.array("a", "b")).alias("id"), "component").distinct()
+    whole = nodes.join(F.broadcast(still), "component", "left_semi").select("id", "component", F.col("id").alias("community"))
+    found = kernel(folded.join(F.broadcast(still), "component", "left_anti")).unionByName(whole)
+    named = inside.join(found.withColumnRenamed("id", "node"), "node").select("id", "component", "community")
+    least_id = named.groupBy("community").agg(F.min("id").alias("name"))
+    named = named.join(least_id, "community").select("id", "component", F.col("name").alias("community"))
+    return kernel(keyed.join(F.broadcast(big), "component", "left_anti")).unionByName(named)
 
 
 def inner_edges(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -265,8 +287,16 @@ def prune(edges: DataFrame, most: int = 100) -> DataFrame:
 
 
 def random_walks(g: Graph, length: int = 40, walks: int = 10, p: float = 1.0, q: float = 1.0, least: int = 2, seed: int = 42) -> DataFrame:
-    """(walk, place, id): biased walks over the pruned co-occurrence graph; each start's walks depend on the seed alone."""
-    ids, offsets, targets, weights = _adjacency(prune(cooc_edges(g, least)), weights=True)
+    """(walk, place, id): biased walks over the pruned co-occurrence graph; each start's walks depend on the seed alone.
+
+    A graph that does not fit a task is walked by joins, without bias alone: ``p`` and ``q`` other than 1 are refused there.
+    """
+    edges = durable(prune(cooc_edges(g, least)))
+    if not _fits(edges):
+        if p != 1 or q != 1:
+            raise ValueError(f"biased walks need at most {MOST_EDGES} edges")
+        return walks_by_steps(edges, length, walks, seed)
+    ids, offsets, targets, weights = _adjacency(edges, weights=True)
     shared = g.spark.sparkContext.broadcast((ids, offsets, targets, weights))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
