@@ -237,6 +237,33 @@ def test_longest_depth_is_whole_or_refused(spark):
 
     nodes = spark.createDataFrame([(str(i),) for i in range(5)], "id string")
     replies = spark.createDataFrame([(str(i), str(i + 1)) for i in range(4)], "parent_id string, child_id string")
-    assert {r.id: r.depth for r in longest_depth(nodes, replies, most=5).collect()} == {str(i): i + 1 for i in range(5)}
+    assert {r.id: r.depth for r in longest_depth(nodes, replies, most=1).collect()} == {str(i): i + 1 for i in range(5)}
+    short = replies.union(spark.createDataFrame([("0", "4")], replies.schema))  # two parents: steps, one per level
+    assert {r.id: r.depth for r in longest_depth(nodes, short, most=5).collect()} == {str(i): i + 1 for i in range(5)}
     with pytest.raises(RuntimeError):
-        longest_depth(nodes, replies, most=4)
+        longest_depth(nodes, short, most=4)
+
+
+def test_forests_are_climbed_by_doubling(spark):
+    """Depths and subtree sizes of random forests and a long chain against walking up by hand."""
+    import random
+
+    rnd = random.Random(11)
+    up = {f"n{i}": f"n{rnd.randrange(max(0, i - 4), i)}" for i in range(1, 120) if i % 37}
+    up |= {f"c{i}": f"c{i - 1}" for i in range(1, 90)}
+    ids = [f"n{i}" for i in range(120)] + [f"c{i}" for i in range(90)] + ["lone"]
+    chain = {x: [] for x in ids}
+    for x in ids:
+        y = x
+        while y in up:
+            y = up[y]
+            chain[x].append(y)
+    below = {x: sum(x in c for c in chain.values()) for x in ids}
+    g = graph(spark, [(x, "Message") for x in ids], replies=[(p, c) for c, p in up.items()])
+    nodes = g.of("Message").select("id")
+    assert {r.id: r.depth for r in V.longest_depth(nodes, g.replies, most=1).collect()} == {x: len(c) + 1 for x, c in chain.items()}
+    assert pairs(V.ancestor_counts(g), "id", "depth") == {x: len(c) for x, c in chain.items()}
+    assert pairs(V.message_centrality(g), "id", "betweenness") == {x: len(c) * below[x] for x, c in chain.items()}
+    loop = graph(spark, [(x, "Message") for x in "abc"], replies=[("a", "b"), ("b", "a"), ("b", "c")])
+    assert V.longest_depth(loop.of("Message").select("id"), loop.replies).count() == 0
+    assert pairs(V.ancestor_counts(loop), "id", "depth") == {"a": 2, "b": 2, "c": 2}

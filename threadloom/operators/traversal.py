@@ -25,18 +25,68 @@ def ancestors(replies: DataFrame, most: int = 64) -> DataFrame:
     return known
 
 
+def _tree(replies: DataFrame) -> DataFrame | None:
+    """Distinct (parent_id, child_id), written once, if no child has two parents."""
+    e = durable(replies.select("parent_id", "child_id").where("parent_id is not null and child_id is not null").distinct())
+    return e if e.groupBy("child_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() else None
+
+
+def _climb(e: DataFrame, sizes: bool = False) -> DataFrame | None:
+    """(id, up, down) of every child and parent in a forest: ancestors and, with ``sizes``, descendants.
+
+    Pointers to an ancestor double their reach each round, so a chain of d messages takes log2(d) rounds of one row a message,
+    not d rounds or d^2 pairs. None if a cycle keeps pointers from ever reaching a root.
+    """
+    ids = e.select(F.col("child_id").alias("id")).union(e.select("parent_id")).distinct()
+    start = ids.join(e.withColumnRenamed("child_id", "id"), "id", "left")
+    now = durable(start.select("id", F.col("parent_id").alias("to"), F.when(F.col("parent_id").isNotNull(), 1).otherwise(0).cast("bigint").alias("up"), F.lit(0).cast("bigint").alias("down")))
+    left = now.where("to is not null").count()
+    most = now.count()
+    reach = 1
+    while left:
+        if reach > most:  # a chain is shorter than the number of messages
+            return None
+        if sizes:
+            # ``down`` counts descendants less than ``reach`` away; those below a pointer's start add the next ones
+            gained = now.where("to is not null").groupBy(F.col("to").alias("id")).agg(F.sum(1 + F.col("down")).alias("more"))
+            now = now.join(gained, "id", "left").withColumn("down", F.col("down") + F.coalesce("more", F.lit(0))).drop("more")
+        over = now.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("up").alias("_up"))
+        # messages that have reached their root stay where they are, so no key gathers them
+        moved = now.where("to is not null").join(over, "to").select("id", F.col("_to").alias("to"), (F.col("up") + F.col("_up")).alias("up"), "down")
+        now = durable(now.where("to is null").select("id", "to", "up", "down").unionByName(moved))
+        left = now.where("to is not null").count()
+        reach *= 2
+    return now.select("id", "up", "down")
+
+
 def ancestor_counts(g: Graph) -> DataFrame:
-    """Distinct ancestors of every message; a root has 0."""
-    n = ancestors(g.replies).groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("depth"))
+    """Distinct ancestors of every message; a root has 0. Forests are climbed by doubling, other graphs take the closure."""
+    e = _tree(g.replies)
+    found = _climb(e) if e is not None else None
+    if found is not None:
+        n = found.select("id", F.col("up").alias("depth"))
+    else:
+        n = ancestors(g.replies).groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("depth"))
     return g.of("Message").select("id").join(n, "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"))
 
 
 def longest_depth(nodes: DataFrame, replies: DataFrame, most: int = 10_000) -> DataFrame:
-    """(id, depth): messages on the longest chain from a root, root = 1; one step per level.
+    """(id, depth): messages on the longest chain from a root, root = 1.
 
-    Members of a cycle that no root reaches never come up and are left out, as no order exists for them. Raises if a chain
-    goes on after ``most`` levels, as on a cycle that a root reaches.
+    Forests are climbed by doubling; where a message has two parents or stands on a cycle it takes one step per level.
+    Members of a cycle that no root reaches never come up and are left out, as no order exists for them. Raises if the steps
+    go on after ``most`` levels, as on a cycle that a root reaches.
     """
+    tree = _tree(replies)
+    climbed = _climb(tree) if tree is not None else None
+    if climbed is not None:
+        # the chain starts at a root that is one of ``nodes``, as in the steps below
+        up = nodes.select("id").distinct().join(climbed.select("id", "up"), "id", "left")
+        heads = up.where(F.coalesce("up", F.lit(0)) == 0)
+        missing = climbed.where("up = 0").join(heads.select("id"), "id", "left_anti")
+        if missing.isEmpty():
+            inner = climbed.where("up > 0").select("id", (F.col("up") + 1).cast("int").alias("depth"))
+            return durable(heads.select("id", F.lit(1).alias("depth")).unionByName(inner))
     waiting = durable(replies.select("parent_id", "child_id").distinct())
     heads = nodes.select("id").join(waiting.select(F.col("child_id").alias("id")).distinct(), "id", "left_anti")
     done = durable(heads.withColumn("depth", F.lit(1)))
@@ -95,9 +145,14 @@ def conversation_meta(g: Graph, names: int = 5) -> DataFrame:
 
 def message_centrality(g: Graph) -> DataFrame:
     """Betweenness of messages; replies form a forest, so it is ancestors times descendants, exactly."""
-    pairs = ancestors(g.replies)
-    up = pairs.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("up"))
-    down = pairs.groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("down"))
+    e = _tree(g.replies)
+    found = _climb(e, sizes=True) if e is not None else None
+    if found is not None:
+        up, down = found.select("id", "up"), found.select("id", "down")
+    else:
+        pairs = ancestors(g.replies)
+        up = pairs.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("up"))
+        down = pairs.groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("down"))
     return g.of("Message").select("id").join(up, "id", "left").join(down, "id", "left").select(
         "id", (F.coalesce("up", F.lit(0)) * F.coalesce("down", F.lit(0))).cast("double").alias("betweenness")
     )
