@@ -61,6 +61,26 @@ def test_language_of_whole_texts(spark):
     assert df.select(X.detect_language(F.col("t")), X.detect_language(F.col("t"), chars=None)).first()[:] == ("unknown", "en")
 
 
+@pytest.mark.parametrize(
+    ("text", "lang"),
+    [
+        ("Der Zug ist nicht pünktlich, und die Leute warten auf dem Bahnsteig.", "de"),
+        ("The train is late and people are waiting on the platform.", "en"),
+        ("El tren no llega y los viajeros esperan en el andén con una manta.", "es"),
+        ("Le train est en retard et les gens attendent sur le quai.", "fr"),
+        ("Il treno non arriva e gli amici che sono nel bar aspettano.", "it"),
+        ("Het is niet ver van het station, dat is een goede plek voor ons.", "nl"),
+        ("To jest dom, w którym nie ma nikogo, ale jak się nie mylę, za rok.", "pl"),
+        ("O comboio não chega e os amigos esperam em casa com uma manta para o frio.", "pt"),
+        ("Это не так, как он сказал, но и не по плану.", "ru"),
+        ("Det är inte för sent att åka med tåget till staden.", "sv"),
+        ("Zug Zug Zug", "unknown"), ("", "unknown"), (None, "unknown"),
+    ],
+)
+def test_languages(spark, text, lang):
+    assert spark.createDataFrame([(text,)], "t string").select(X.detect_language(F.coalesce("t", F.lit("")))).first()[0] == lang
+
+
 def test_ask(spark):
     """A model's answer per conversation; a call that fails leaves null and harms no other."""
     df = spark.createDataFrame([("a", "short"), ("b", "boom")], "conv_id string, context string")
