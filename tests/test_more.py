@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom import session
 from threadloom.functions import scalars as S
-from threadloom.graph import Graph, build
+from threadloom.graph import Graph, build, mentions_of, model_terms
 from threadloom.operators import algorithms as A
 from threadloom.operators import embedding as E
 from threadloom.operators import relational as R
@@ -140,3 +140,13 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_entities_of_a_model(spark):
+    def find(texts):
+        return [[(w, "PERSON") for w in t.split() if w == "ada"] + ([("2024", "DATE")] if "2024" in t else []) for t in texts]
+
+    m = messages(spark, [("m1", "ada met ada in 2024"), ("m2", "nobody"), ("m3", None)])
+    assert {tuple(r) for r in mentions_of(m, model_terms(find)).collect()} == {("m1", "entity::PERSON::ada", "ada", "PERSON")}
+    with pytest.raises(Exception, match="0 answers"):
+        mentions_of(m, model_terms(lambda texts: [])).collect()

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,19 @@ def known_terms(entries: dict[str, str]) -> Extractor:
     return extract
 
 
+def model_terms(find: Callable[[list[str]], list[list[tuple[str, str]]]]) -> Extractor:
+    """A model: ``find`` gets a batch of texts and gives the (text, type) pairs of each. It runs on the executors."""
+
+    @F.pandas_udf("array<struct<text:string,type:string>>")
+    def extract(texts: pd.Series) -> pd.Series:
+        found = find(texts.tolist())
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} answers to {len(texts)} texts")
+        return pd.Series([[{"text": t, "type": k} for t, k in pairs] for pairs in found])
+
+    return extract
+
+
 def mentions_of(messages: DataFrame, extract: Extractor = capitalised_terms) -> DataFrame:
     """msg_id, entity_id, name, entity_type: at most one row per message and entity."""
     found = messages.select(F.col("id").alias("msg_id"), F.explode(extract(F.coalesce("text", F.lit("")))).alias("e"))
