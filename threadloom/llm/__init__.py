@@ -10,6 +10,7 @@ from threadloom.llm import secret_scan as _secret_scan
 from threadloom.llm import simhash_dedup as _simhash_dedup
 from threadloom.llm import token_counts as _token_counts
 from threadloom.llm import topk_search as _topk_search
+from threadloom.llm import word_runs as _word_runs
 
 #: name -> (spark, sf_dir) -> DataFrame
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_best_fit_packing": _packing.op8_best_fit_packing,
     "op9_topk_search": _topk_search.op9_topk_search,
     "op10_mixing": _mixing.op10_mixing,
+    "op12_word_runs": _word_runs.op12_word_runs,
 }
 
 #: name -> DuckDB SQL with the same rows
