@@ -1,6 +1,7 @@
 """Operators for large training-data pipelines; nothing outside this folder imports them."""
 
 from threadloom.llm import chat_format as _chat_format
+from threadloom.llm import collocations as _collocations
 from threadloom.llm import license_scan as _license_scan
 from threadloom.llm import mixing as _mixing
 from threadloom.llm import packing as _packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_topk_search": _topk_search.op9_topk_search,
     "op10_mixing": _mixing.op10_mixing,
     "op12_word_runs": _word_runs.op12_word_runs,
+    "op13_collocations": _collocations.op13_collocations,
 }
 
 #: name -> DuckDB SQL with the same rows
@@ -34,4 +36,5 @@ ORACLES = {
     "op7_quality_rules": _quality_rules.ORACLE,
     "quality_ablations": _quality_rules.ABLATIONS,
     "op9_topk_search": _topk_search.ORACLE,
+    "op13_collocations": _collocations.ORACLE,
 }
