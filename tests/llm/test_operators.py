@@ -215,6 +215,34 @@ def test_stage_finds_similar_texts(spark):
     assert want <= kept and len(kept - want) <= 0.05 * (len(texts) - len(want))
 
 
+def test_stage_loses_no_link_of_a_family(spark):
+    """Families whose members are similar to some and just not to others: every pair of 0.8 counts, against all pairs."""
+    import random
+
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(3, 8)))
+    texts, family = [], []
+    for k in range(40):
+        w = [word() for _ in range(200)]
+        for _ in range(15):
+            v = list(w)
+            for at in rng.sample(range(200), rng.randint(2, 7)):
+                v[at] = word()
+            texts.append(" ".join(v))
+            family.append(k)
+    grams = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if family[i] == family[j] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    assert 100 < len(pairs) < 2000
+    root = sets(len(texts), pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r.doc_id: r.root for r in simhash_dedup.similar_groups(docs).select("least.doc_id", "root").collect()}
+    assert sum(group[i] == group[j] for i, j in pairs) >= 0.97 * len(pairs)
+    assert all(root[i] == root[j] for i in group for j in group if group[i] == group[j])  # no other documents are joined
+    kept = {r.doc_id for r in simhash_dedup.stage(spark, docs, "").collect()}
+    want = {i for i, r in enumerate(root) if i == r}
+    assert want <= kept and len(kept - want) <= 0.03 * (len(texts) - len(want))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (-5, -7), (3, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}

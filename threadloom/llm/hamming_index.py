@@ -9,6 +9,8 @@ comes out of such a descent, whatever the size of the bucket.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
 LEAF = 4
@@ -99,13 +101,12 @@ class Index:
             self.own.append(mine)
         self.visited = self.pruned = 0
 
-    def forest(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of links of at most ``limit`` differing bits that span the components inside every bucket.
+    def _near(self, limit: int, labels: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(positions, positions, differing bits) of pairs of at most ``limit`` differing bits, a block of queries at a time.
 
-        Nearer links go first inside a block of queries. At most members - 1 links of a bucket are returned.
+        A leaf whose members all carry the query's label is passed over, so pairs of one label may be left out.
         """
         n = len(self.lanes)
-        sets, left, right = _Sets(n), [], []
         sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, self.home[1:] != self.home[:-1]]), n])
         step = int(max(1, min(n, _ROOM // max(1, int(sizes.max(initial=1)) // LEAF))))
         for at in range(0, n, step):
@@ -120,9 +121,9 @@ class Index:
                 near &= later
                 who, node, acc = who[near], node[near], acc[near]
                 if k == 0:
-                    # a leaf whose members all carry the query's label holds nothing new
-                    low, high = np.minimum.reduceat(sets.label, self.starts[0]), np.maximum.reduceat(sets.label, self.starts[0])
-                    open_ = ~((low[node] == high[node]) & (low[node] == sets.label[who]))
+                    label = labels()
+                    low, high = np.minimum.reduceat(label, self.starts[0]), np.maximum.reduceat(label, self.starts[0])
+                    open_ = ~((low[node] == high[node]) & (low[node] == label[who]))
                     who, node, acc = who[open_], node[open_], acc[open_]
                 count = self.ends[k][node] - self.starts[k][node]
                 first = np.repeat(self.starts[k][node] - np.r_[0, np.cumsum(count)[:-1]], count) if len(count) else count
@@ -132,20 +133,48 @@ class Index:
             a, b = who[real], node[real]
             away = np.bitwise_count(self.lanes[a] ^ self.lanes[b]).sum(axis=1, dtype=np.int64)
             hit = np.flatnonzero(away <= limit)
-            hit = hit[np.argsort(away[hit], kind="stable")]
-            u, v = sets.union(a[hit], b[hit])
+            yield a[hit], b[hit], away[hit]
+
+    def forest(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of links of at most ``limit`` differing bits that span the components inside every bucket.
+
+        Nearer links go first inside a block of queries. At most members - 1 links of a bucket are returned.
+        """
+        sets, left, right = _Sets(len(self.lanes)), [], []
+        for a, b, away in self._near(limit, lambda: sets.label):
+            order = np.argsort(away, kind="stable")
+            u, v = sets.union(a[order], b[order])
             left += u
             right += v
         return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
+    def between(self, limit: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of every pair of at most ``limit`` differing bits whose labels differ, a block at a time."""
+        for a, b, _ in self._near(limit, lambda: label):
+            apart = label[a] != label[b]
+            yield a[apart], b[apart]
 
-def bucket_links(bucket: np.ndarray, lanes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Spanning links inside every bucket (positions), groups looked at and groups pruned; rows sorted as above."""
+
+def _crowded(bucket: np.ndarray) -> np.ndarray:
+    """Positions in buckets of two rows or more."""
     n = len(bucket)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.zeros(0, dtype=np.int64)
-    shared = np.flatnonzero(np.repeat(np.diff(np.r_[starts, n]) > 1, np.diff(np.r_[starts, n])))
+    return np.flatnonzero(np.repeat(np.diff(np.r_[starts, n]) > 1, np.diff(np.r_[starts, n])))
+
+
+def bucket_links(bucket: np.ndarray, lanes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Spanning links inside every bucket (positions), groups looked at and groups pruned; rows sorted as above."""
+    shared = _crowded(bucket)
     if not len(shared):
         return shared, shared, 0, 0
     index = Index(bucket[shared], lanes[shared])
     a, b = index.forest(limit)
     return shared[a], shared[b], index.visited, index.pruned
+
+
+def bucket_pairs(bucket: np.ndarray, lanes: np.ndarray, label: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair inside a bucket that is near and of different labels (positions), in blocks; rows sorted as above."""
+    shared = _crowded(bucket)
+    if len(shared):
+        for a, b in Index(bucket[shared], lanes[shared]).between(limit, np.unique(label[shared], return_inverse=True)[1]):
+            yield shared[a], shared[b]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import ascii_lower, join_spread, let, materialise, table, words_of
 from threadloom.llm.components import components
-from threadloom.llm.hamming_index import bucket_links
+from threadloom.llm.hamming_index import bucket_links, bucket_pairs
 
 LIMIT = 4
 WIDTH = 4
@@ -42,10 +42,13 @@ SEED = 42
 #: The stage: five-word shingles, two lanes, and an exact check of candidates.
 STAGE_WIDTH = 5
 STAGE_LANES = 2
-STAGE_LIMIT = 28
+STAGE_LIMIT = 32
 SIMILAR = 0.8
 #: Share of candidates of just that similarity that the sampled masks meet.
-MET = 0.99
+MET = 0.999
+#: Differing bits of 128, and number of masks, for the first round of the stage, which joins what is nearly equal.
+NEAR = 12
+NEAR_MASKS = 12
 #: An upper node over so many codes is split by finer masks, at most so many times.
 CROWD = 1024
 DEPTH = 2
@@ -163,42 +166,51 @@ def _gray_rank(code: str) -> Column:
     return r
 
 
-def _linker(limit: int, lanes: int, counts: bool):
+def _linker(limit: int, lanes: int, counts: bool = False, labelled: bool = False):
+    """Links of every upper node: a forest of them, or with ``labelled`` every pair of different labels."""
     names = [f"{end}{k or ''}" for end in "uv" for k in range(lanes)]
 
+    def found(bucket: np.ndarray, codes: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if labelled:
+            met = bucket_pairs(bucket, codes, label, limit)
+        else:
+            a, b, visited, pruned = bucket_links(bucket, codes, limit)
+            met = [(a, b)]
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (visited, pruned, len(a))], ["groups", "pruned", "links"])
+            return
+        pairs = codes.view(np.int64)
+        for a, b in met:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[x, k])) for x in (a, b) for k in range(lanes)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by upper node and Gray rank; a node may span batches."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def out(bucket: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-            a, b, visited, pruned = bucket_links(bucket, codes, limit)
-            if counts:
-                return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (visited, pruned, len(a))], ["groups", "pruned", "links"])
-            pairs = codes.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[x, k])) for x in (a, b) for k in range(lanes)], names)
+        def out(*more: np.ndarray) -> Iterator[pa.RecordBatch]:
+            return found(*[np.concatenate(x) for x in zip(*held, more)])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
             codes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _lanes(lanes)], axis=1).view(np.uint64)
+            rows = (bucket, codes, batch.column("label").to_numpy(zero_copy_only=False) if labelled else bucket)
             last = int(np.searchsorted(bucket, bucket[-1]))
-            if held and (last or held[-1][0][-1] != bucket[0]):
-                yield out(np.concatenate([x for x, _ in held] + [bucket[:last]]), np.concatenate([y for _, y in held] + [codes[:last]]))
+            if last or (held and held[-1][0][-1] != bucket[0]):
+                yield from out(*[x[:last] for x in rows])
                 held = []
-            elif last:
-                yield out(bucket[:last], codes[:last])
-            held.append((bucket[last:], codes[last:]))
+            held.append(tuple(x[last:] for x in rows))
         if held:
-            yield out(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            yield from out(*[x[:0] for x in held[0]])
 
     return run
 
 
 def _placed(codes: DataFrame, orders: list[tuple[int, ...]], finer, crowd: int) -> DataFrame:
-    """(bucket, codes): every code under its upper nodes; ``orders`` are masks, one word a lane; ``finer`` splits a mask."""
+    """(bucket, columns of ``codes``): every code under its upper nodes; ``orders`` are masks, one word a lane; ``finer`` splits a mask."""
     spark, lanes = codes.sparkSession, len(orders[0])
-    names, held = _lanes(lanes), [f"m{k}" for k in range(lanes)]
+    names, held = codes.columns, [f"m{k}" for k in range(lanes)]  # the lanes come first
 
     def under(rows: DataFrame) -> DataFrame:
         patterns = [F.col(c).bitwiseAND(F.col(f"mask.{m}")) for c, m in zip(names, held)]
@@ -238,12 +250,12 @@ def _exact(codes: DataFrame, limit: int, crowd: int) -> DataFrame:
 
 def links(codes: DataFrame, limit: int = LIMIT, crowd: int = CROWD) -> DataFrame:
     """(u, v): links of at most ``limit`` differing bits that span all components of distinct ``codes`` (code bigint)."""
-    return _exact(codes, limit, crowd).mapInArrow(_linker(limit, 1, False), "u bigint, v bigint").where("u <> v")
+    return _exact(codes, limit, crowd).mapInArrow(_linker(limit, 1), "u bigint, v bigint").where("u <> v")
 
 
 def index_counts(codes: DataFrame, limit: int = LIMIT, crowd: int = CROWD) -> DataFrame:
     """(groups, pruned, links): nodes that queries met, those left out by accumulated differences, links returned."""
-    met = _exact(codes, limit, crowd).mapInArrow(_linker(limit, 1, True), "groups bigint, pruned bigint, links bigint")
+    met = _exact(codes, limit, crowd).mapInArrow(_linker(limit, 1, counts=True), "groups bigint, pruned bigint, links bigint")
     return met.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("groups", "pruned", "links")])
 
 
@@ -299,26 +311,41 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width:
     return both.where(F.col("common") >= F.lit(least) * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
 
 
-def survivors(
+def similar_groups(
     docs: DataFrame, width: int = STAGE_WIDTH, lanes: int = STAGE_LANES, limit: int = STAGE_LIMIT, least: float = SIMILAR, crowd: int = CROWD
 ) -> DataFrame:
-    """(doc_id, key, n): the row that stays for each group of near duplicates, and how often ``docs`` repeats it.
+    """(root, least) per distinct fingerprint: its group of near duplicates, and the row that speaks for it (doc_id, key, n).
 
     Candidates come from the index over ``lanes`` x 64 bits (at most ``limit`` differing); a candidate is a link if the
-    exact similarity of its shingle sets is ``least`` or more. Equal fingerprints count as equal texts.
+    exact similarity of its shingle sets is ``least`` or more. First what is nearly equal is joined by links that pass the
+    test, so that large groups of copies are single sets; then every candidate between different sets is tested, as a
+    spanning forest of candidates would lose links. Equal fingerprints count as equal texts.
     """
     names = _lanes(lanes)
     rows = fingerprints(docs, width, lanes).groupBy(*names, "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "n")
     classes = materialise(rows.groupBy(*names).agg(F.min(row).alias("least")).withColumn("node", F.xxhash64(*names)))
-    placed = _placed(classes.select(*names), sampled_masks(classes.count(), lanes, least), lambda m: _drawn(16, 6, m), crowd)
     ends = [f"{end}{k or ''}" for end in "uv" for k in range(lanes)]
-    found = placed.mapInArrow(_linker(limit, lanes, False), ", ".join(f"{c} bigint" for c in ends))
-    nodes = found.select(F.xxhash64(*ends[:lanes]).alias("a"), F.xxhash64(*ends[lanes:]).alias("b"))
-    pairs = materialise(nodes.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    roots = components(similar_pairs(docs, classes, pairs, width, least))
-    grouped = classes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    return materialise(grouped.agg(F.min("least").alias("least")).select("least.doc_id", "least.key", "least.n"))
+    masks = sampled_masks(classes.count(), lanes, least)
+
+    def similar(codes: DataFrame, masks: list[tuple[int, ...]], linker) -> DataFrame:
+        placed = _placed(codes, masks, lambda m: _drawn(16, 6, m), crowd)
+        found = placed.mapInArrow(linker, ", ".join(f"{c} bigint" for c in ends))
+        nodes = found.select(F.xxhash64(*ends[:lanes]).alias("a"), F.xxhash64(*ends[lanes:]).alias("b"))
+        pairs = materialise(nodes.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        return similar_pairs(docs, classes, pairs, width, least)
+
+    near = materialise(similar(classes.select(*names), masks[:NEAR_MASKS], _linker(min(NEAR, limit), lanes)))
+    sets = classes.select("node", *names).join(components(near).hint("merge"), "node", "left")
+    labelled = materialise(sets.select(*names, F.coalesce("root", "node").alias("label")))
+    roots = components(near.unionByName(similar(labelled, masks, _linker(limit, lanes, labelled=True))))
+    return classes.select("node", "least").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
+
+
+def survivors(docs: DataFrame, **settings) -> DataFrame:
+    """(doc_id, key, n): the row that stays for each group of near duplicates, and how often ``docs`` repeats it."""
+    grouped = similar_groups(docs, **settings).groupBy("root").agg(F.min("least").alias("least"))
+    return materialise(grouped.select("least.doc_id", "least.key", "least.n"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
