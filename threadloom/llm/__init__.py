@@ -11,6 +11,7 @@ from threadloom.llm import secret_scan as _secret_scan
 from threadloom.llm import simhash_dedup as _simhash_dedup
 from threadloom.llm import token_counts as _token_counts
 from threadloom.llm import topk_search as _topk_search
+from threadloom.llm import warc as _warc
 from threadloom.llm import word_runs as _word_runs
 
 #: name -> (spark, sf_dir) -> DataFrame
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_best_fit_packing": _packing.op8_best_fit_packing,
     "op9_topk_search": _topk_search.op9_topk_search,
     "op10_mixing": _mixing.op10_mixing,
+    "op11_warc": _warc.op11_warc,
     "op12_word_runs": _word_runs.op12_word_runs,
     "op13_collocations": _collocations.op13_collocations,
 }
@@ -36,5 +38,6 @@ ORACLES = {
     "op7_quality_rules": _quality_rules.ORACLE,
     "quality_ablations": _quality_rules.ABLATIONS,
     "op9_topk_search": _topk_search.ORACLE,
+    "op11_warc": _warc.ORACLE,
     "op13_collocations": _collocations.ORACLE,
 }

@@ -37,23 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage, and a lost executor costs nothing that was written. All such tables of an application stand in
-    one folder, which goes when the driver ends.
-    """
-    spark = df.sparkSession
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate data in the shared folder; it goes when the driver ends."""
     own = f"{shared_dir(spark)}/threadloom-{spark.sparkContext.applicationId}"
-    path = f"{own}/{uuid.uuid4().hex}"
     if own not in _MADE:
         _MADE.add(own)
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
         store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         store.mkdirs(hadoop)
         store.deleteOnExit(hadoop)
+    return own
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    Cuts the lineage, and a lost executor costs nothing that was written. All such tables of an application stand in
+    one folder, which goes when the driver ends.
+    """
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Keys that ``join_spread`` may broadcast at most.
