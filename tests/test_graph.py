@@ -130,6 +130,24 @@ def test_components(spark):
     assert pairs(V.components(e, n), "id", "component") == {"lone": "lone", "z0": "z0"}
 
 
+@pytest.mark.parametrize("least", [0.0, 0.02, 0.2, 0.3, 0.6])
+def test_weighted_similarity(spark, least):
+    """Every pair of conversations with entities, those that share keywords alone too; one feature is held by all."""
+    import random
+
+    rng = random.Random(7)
+    ents = {f"c{i:02d}": {"all"} if i % 9 == 0 else {f"e{rng.randrange(12)}" for _ in range(rng.randint(0, 4))} for i in range(30)} | {"x": {"p"}, "y": {"q"}}
+    keys = {c: {f"k{rng.randrange(6)}" for _ in range(rng.randint(0, 3))} for c in ents} | {"x": {"same", "kw"}, "y": {"same", "kw"}}
+    g = graph(
+        spark, [], contains=[(c, f"m-{c}") for c in ents], mentions=[(f"m-{c}", e) for c, es in ents.items() for e in es], keywords=[(f"m-{c}", k, 1.0) for c, ks in keys.items() for k in ks],
+    )
+    part = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    want = {(a, b): round(0.7 * part(ents[a], ents[b]) + 0.3 * part(keys[a], keys[b]), 6) for a in ents for b in ents if a < b and ents[a] and ents[b]}
+    got = {(r.a, r.b): r.score for r in R.conversation_similarity(g, least, keywords=True).collect()}
+    assert got == {k: s for k, s in want.items() if s >= least}
+    assert least > 0.3 or got["x", "y"] == 0.3
+
+
 def test_similarity(spark):
     g = graph(spark, [], contains=[("a", "m1"), ("b", "m2"), ("c", "m3")], mentions=[("m1", "x"), ("m1", "y"), ("m2", "z"), ("m3", "x")], keywords=[("m1", "k", 1.0), ("m3", "k", 1.0)])
     assert [(r.a, r.b, r.score) for r in R.conversation_similarity(g).collect()] == [("a", "c", 0.5)]

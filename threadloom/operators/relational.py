@@ -203,21 +203,48 @@ def _similar_sets(sets: DataFrame, key: str, least: float) -> DataFrame:
     return inter.select("a", "b", "inter", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def _every_pair(ents: DataFrame) -> DataFrame:
+    """All pairs of conversations with entities: what a threshold of 0 asks for."""
+    convs = ents.select("conv_id").distinct()
+    return convs.select(F.col("conv_id").alias("a")).join(convs.select(F.col("conv_id").alias("b")), F.col("a") < F.col("b"))
+
+
+def _weighted_pairs(ents: DataFrame, keys: DataFrame, least: float) -> DataFrame:
+    """a, b, score: 0.7 of the entity sets' Jaccard and 0.3 of the keyword sets', of conversations that have entities.
+
+    A weighted mean of ``least`` has a part of at least ``least``, so each part finds its candidates under the same threshold,
+    and a pair that shares keywords alone is met as well. Both parts are then worked out from the sets themselves.
+    """
+    keys = keys.join(ents.select("conv_id").distinct(), "conv_id", "left_semi")
+    if least <= 0:
+        pairs = _every_pair(ents)
+    else:
+        found = [_similar_sets(x, "conv_id", least - 1e-6).select("a", "b") for x in (ents, keys)]
+        pairs = found[0].union(found[1]).distinct()
+    es = ents.groupBy("conv_id").agg(F.collect_set("f").alias("e"))
+    ks = keys.groupBy("conv_id").agg(F.collect_set("f").alias("k"))
+    sets = durable(es.join(ks, "conv_id", "left").withColumn("k", F.coalesce("k", F.array().cast("array<string>"))))
+    for end in "ab":
+        pairs = pairs.join(sets.select(F.col("conv_id").alias(end), F.col("e").alias(f"e{end}"), F.col("k").alias(f"k{end}")), end)
+
+    def jaccard(x: str) -> Column:
+        common = F.size(F.array_intersect(f"{x}a", f"{x}b"))
+        every = F.size(f"{x}a") + F.size(f"{x}b") - common
+        return F.when(every > 0, common / every).otherwise(0.0)
+
+    return pairs.select("a", "b", (0.7 * jaccard("e") + 0.3 * jaccard("k")).alias("score"))
+
+
 def conversation_similarity(g: Graph, least: float = 0.3, top: int | None = None, keywords: bool = False) -> DataFrame:
     """a, b, score: Jaccard of entity sets, or 0.7 of it and 0.3 of the keywords'. ``least`` <= 0 adds disjoint pairs with score 0."""
     ents, keys = _features(g)
-    # keywords give at most 0.3 of a score
-    pairs = _jaccard_pairs(ents, "conv_id", (least - 0.3) / 0.7 if keywords else least)
-    score = F.col("jaccard")
-    if least <= 0:
-        convs = ents.select("conv_id").distinct()
-        every = convs.select(F.col("conv_id").alias("a")).join(convs.select(F.col("conv_id").alias("b")), F.col("a") < F.col("b"))
-        pairs = every.join(pairs, ["a", "b"], "left").fillna(0.0, ["jaccard"])
     if keywords:
-        kw = _jaccard_pairs(keys, "conv_id").select("a", "b", F.col("jaccard").alias("kw"))
-        pairs = pairs.join(kw, ["a", "b"], "left")
-        score = 0.7 * F.col("jaccard") + 0.3 * F.coalesce("kw", F.lit(0.0))
-    out = pairs.select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "a", "b")
+        pairs = _weighted_pairs(ents, keys, least)
+    else:
+        pairs = _jaccard_pairs(ents, "conv_id", least).select("a", "b", F.col("jaccard").alias("score"))
+        if least <= 0:
+            pairs = _every_pair(ents).join(pairs, ["a", "b"], "left").fillna(0.0, ["score"])
+    out = pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= least).orderBy(F.desc("score"), "a", "b")
     return out.limit(top) if top else out
 
 

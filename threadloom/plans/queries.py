@@ -148,7 +148,13 @@ def jac(key: str, sets: str) -> str:
 
 _ES, _KS = "(select conv_id, entity_id as f from ce)", "(select distinct conv_id, keyword_id as f from keywords join contains using (msg_id))"
 graph_query("jn_allpairs", f"select a, b, round(j, 6) as score from ({jac('conv_id', _ES)}) where round(j, 6) >= 0.05")(lambda g: R.conversation_similarity(g, 0.05))
-graph_query("gr_conv_similarity", f"select a, b, round(0.7 * e.j + 0.3 * coalesce(k.j, 0), 6) as score from ({jac('conv_id', _ES)}) e left join ({jac('conv_id', _KS)}) k using (a, b) where round(0.7 * e.j + 0.3 * coalesce(k.j, 0), 6) >= 0.02 order by 3 desc, 1, 2 limit 20")(lambda g: R.conversation_similarity(g, 0.02, 20, True))
+_WEIGHTED = f"""
+select a, b, round(0.7 * coalesce(e.j, 0) + 0.3 * coalesce(k.j, 0), 6) as score
+from ({jac('conv_id', _ES)}) e full join ({jac('conv_id', _KS)}) k using (a, b)
+where a in (select conv_id from ce) and b in (select conv_id from ce)
+  and round(0.7 * coalesce(e.j, 0) + 0.3 * coalesce(k.j, 0), 6) >= 0.02
+order by 3 desc, 1, 2 limit 20"""
+graph_query("gr_conv_similarity", _WEIGHTED)(lambda g: R.conversation_similarity(g, 0.02, 20, True))
 graph_query("jn_one_vs_all", f"select case when a = 'c1' then b else a end as conv_id, round(j, 6) as score from ({jac('conv_id', _ES)}) where 'c1' in (a, b) order by 2 desc, 1 limit 10")(lambda g: R.similar_conversations(g, "c1"))
 _FS = "(select msg_id, entity_id as f from mentions union select msg_id, keyword_id from keywords)"
 graph_query("gr_cross_links", f"select a as msg_a, b as msg_b, round(j, 6) as similarity from ({jac('msg_id', _FS)}) where j >= 0.3")(R.cross_links)

@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import clean_parts, parse_time, seeded_uuid, sha256_hex
@@ -101,7 +101,12 @@ def nodes_of_dicts(rows: DataFrame) -> DataFrame:
 
 
 def conversations(files: DataFrame, schema: str = EXPORT) -> DataFrame:
-    """(path, pos, c): every conversation of every file, whether the file holds one or a list."""
+    """(path, pos, c): every conversation of every file, whether the file holds one or a list.
+
+    ``files`` may also hold the values of such lists one by one (path, pos, raw), as ``splits.read_elements`` gives them.
+    """
+    if "pos" in files.columns:
+        return files.select("path", "pos", F.from_json("raw", schema).alias("c")).where("c is not null")
     raw = F.ltrim("raw")
     many = F.from_json("raw", f"array<{schema}>")
     one = F.from_json("raw", schema)
@@ -128,25 +133,32 @@ def extract(files: DataFrame) -> DataFrame:
     )
 
 
+_KEYS = ("mapping", "conversation_id", "id", "uuid", "chat_messages", "exportDate", "conversations", "role", "contents", "model", "chatGroupId")
+
+
 def detect_format(raw: Column, path: Column) -> Column:
-    """Name of the export format by its keys; first match wins."""
-    has = lambda p: F.get_json_object(raw, p).isNotNull()
+    """Name of the export format by the keys of the document or of its first element, parsed once; first match wins."""
     is_list = F.ltrim(raw).startswith("[")
-    model = F.get_json_object(raw, "$[0].model")
-    array = is_list & has("$[0].role") & has("$[0].contents")
-    return (
-        F.when(path.endswith(".md"), "openai_md")
-        .when(~is_list & has("$.mapping") & (has("$.conversation_id") | has("$.id")), "openai_individual")
-        .when(~is_list & has("$.uuid") & has("$.chat_messages"), "anthropic_individual")
-        .when(~is_list & has("$.exportDate") & has("$.conversations"), "chatgpt_export_summary")
-        .when(is_list & has("$[0].conversation_id") & has("$[0].mapping"), "openai_master")
-        .when(is_list & has("$[0].uuid") & has("$[0].chat_messages"), "anthropic_master")
-        .when(array & (model == "deepseek"), "deepseek")
-        .when(array & (model == "gemini"), "gemini")
-        .when(array & F.get_json_object(raw, "$[0].id").startswith("claude_"), "singles_claude")
-        .when(array & has("$[0].chatGroupId"), "generic_message_array")
-        .otherwise("unknown")
-    )
+    one = "struct<" + ", ".join(f"{k}: string" for k in _KEYS) + ">"
+    keys = F.when(is_list, F.get(F.from_json(raw, f"array<{one}>"), F.lit(0))).otherwise(F.from_json(raw, one))
+
+    def named(k: Column) -> Column:
+        has = lambda *names: F.lit(True) if not names else k[names[0]].isNotNull() & has(*names[1:])
+        array = is_list & has("role", "contents")
+        return (
+            F.when(~is_list & has("mapping") & (has("conversation_id") | has("id")), "openai_individual")
+            .when(~is_list & has("uuid", "chat_messages"), "anthropic_individual")
+            .when(~is_list & has("exportDate", "conversations"), "chatgpt_export_summary")
+            .when(is_list & has("conversation_id", "mapping"), "openai_master")
+            .when(is_list & has("uuid", "chat_messages"), "anthropic_master")
+            .when(array & (k["model"] == "deepseek"), "deepseek")
+            .when(array & (k["model"] == "gemini"), "gemini")
+            .when(array & k["id"].startswith("claude_"), "singles_claude")
+            .when(array & has("chatGroupId"), "generic_message_array")
+            .otherwise("unknown")
+        )
+
+    return F.when(path.endswith(".md"), "openai_md").otherwise(F.get(F.transform(F.array(keys), named), F.lit(0)))
 
 
 def _message(role: Column, content: Column, at: Column, model: Column) -> Column:
@@ -180,7 +192,8 @@ def parse_anthropic(files: DataFrame) -> DataFrame:
 
 def parse_message_array(files: DataFrame) -> DataFrame:
     """One row per chat group; text, markdown and thinking blocks and names of attachments; blank messages go."""
-    rows = conversations(files.withColumn("path", F.to_json(F.struct("path", detect_format(F.col("raw"), F.col("path")).alias("f")))), _ARRAY)
+    kind = F.col("format") if "format" in files.columns else detect_format(F.col("raw"), F.col("path"))
+    rows = conversations(files.withColumn("path", F.to_json(F.struct("path", kind.alias("f")))), _ARRAY)
     shown = F.transform(
         F.coalesce("c.contents", F.array().cast("array<struct<type:string,content:string,attachment:struct<name:string>>>")),
         lambda x: F.when(x["type"].isin("text", "markdown", "thinking"), F.coalesce(x["content"], F.lit(""))).when(
@@ -212,26 +225,21 @@ def parse_markdown(files: DataFrame) -> DataFrame:
     lines = files.select("path", F.posexplode(F.split("raw", "\n", -1)).alias("at", "line"))
     head = F.lower(F.regexp_extract("line", r"(?i)^####\s+(You|ChatGPT|Human|Assistant|User):\s*$", 1))
     title = F.regexp_extract("line", r"^#\s+(.+)$", 1)
-    # islands: each line is an array element of its file, so a running count needs no global sort
-    per_file = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "line", head.alias("head"), title.alias("title")))).alias("ls"))
-    start = F.struct(F.array().cast("array<struct<role:string,text:array<string>>>").alias("out"), F.lit("").alias("title"))
     roles = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-
-    def step(s: Column, x: Column) -> Column:
-        out = s["out"]
-        last = F.try_element_at(out, F.lit(-1))
-        longer = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last["role"].alias("role"), F.concat(last["text"], F.array(x["line"])).alias("text"))))
-        opened = F.concat(out, F.array(F.struct(F.try_element_at(roles, x["head"]).alias("role"), F.array().cast("array<string>").alias("text"))))
-        body = F.when(x["title"] != "", out).when(x["head"] != "", opened).when(F.size(out) > 0, longer).otherwise(out)
-        return F.struct(body.alias("out"), F.when(x["title"] != "", F.trim(x["title"])).otherwise(s["title"]).alias("title"))
-
+    # a message is an island of lines: the number of headings up to a line tells which
+    so_far = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = lines.withColumn("head", head).withColumn("title", title).withColumn("part", F.sum((F.col("head") != "").cast("int")).over(so_far))
+    body = F.when((F.col("head") == "") & (F.col("title") == ""), F.struct("at", "line"))
     null = F.lit(None)
-    got = per_file.select("path", F.aggregate("ls", start, step).alias("g"))
-    ms = F.filter(
-        F.transform("g.out", lambda m: _message(m["role"], F.trim(F.array_join(m["text"], "\n"), F.lit(" \t\n\r")), null.cast("double"), null)),
-        lambda m: m["content"] != "",
+    parts = seen.groupBy("path", "part").agg(
+        F.max(F.try_element_at(roles, F.nullif("head", F.lit("")))).alias("role"), F.sort_array(F.collect_list(body)).alias("ls"),
+        F.max_by(F.trim("title"), F.when(F.col("title") != "", F.col("at"))).alias("title"), F.max(F.when(F.col("title") != "", F.col("at"))).alias("title_at"),
     )
-    named = got.select("path", F.col("g.title").alias("t"), ms.alias("ms"))
+    content = F.trim(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit(" \t\n\r"))
+    message = F.when((F.col("part") > 0) & (content != ""), F.struct("part", _message(F.col("role"), content, null.cast("double"), null).alias("m")))
+    got = parts.groupBy("path").agg(F.sort_array(F.collect_list(message)).alias("sorted"), F.coalesce(F.max_by("title", "title_at"), F.lit("")).alias("g_title"))
+    ms = F.transform("sorted", lambda x: x["m"])
+    named = got.select("path", F.col("g_title").alias("t"), ms.alias("ms"))
     first = F.coalesce(F.substring(F.get("ms", F.lit(0))["content"], 1, 80), F.lit(""))
     return _shape(
         named, id=seeded_uuid(F.col("path")), title=F.when(F.col("t") != "", F.col("t")).otherwise(first), messages=F.col("ms"),
@@ -240,10 +248,11 @@ def parse_markdown(files: DataFrame) -> DataFrame:
 
 
 def parse_openai(files: DataFrame) -> DataFrame:
-    """Breadth first from the first root, children by time; a kernel per conversation, as chains may be any length."""
+    """Breadth first from the first root, children by time; in a kernel, as chains may be any length."""
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            found = []
             for raw in f["raw"]:
                 try:
                     data = json.loads(raw)
@@ -252,7 +261,8 @@ def parse_openai(files: DataFrame) -> DataFrame:
                 for c in data if isinstance(data, list) else [data]:
                     nodes = c.get("mapping") if isinstance(c, dict) else None
                     if nodes:
-                        yield pd.DataFrame({"c": [json.dumps({k: c.get(k) for k in ("conversation_id", "id", "title", "create_time", "update_time")} | {"ms": _in_order(nodes)})]})
+                        found.append(json.dumps({k: c.get(k) for k in ("conversation_id", "id", "title", "create_time", "update_time")} | {"ms": _in_order(nodes)}))
+            yield pd.DataFrame({"c": found}, dtype=object)
 
     schema = (
         "struct<conversation_id:string,id:string,title:string,create_time:string,update_time:string,"
