@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import ascii_lower, join_spread, let, materialise, table, words_of
 from threadloom.llm.components import components
-from threadloom.llm.hamming_index import bucket_links, bucket_pairs
+from threadloom.llm.hamming_index import bucket_forests, bucket_links
 
 LIMIT = 4
 WIDTH = 4
@@ -46,9 +46,9 @@ STAGE_LIMIT = 32
 SIMILAR = 0.8
 #: Share of candidates of just that similarity that the sampled masks meet.
 MET = 0.999
-#: Differing bits of 128, and number of masks, for the first round of the stage, which joins what is nearly equal.
-NEAR = 12
-NEAR_MASKS = 12
+#: Spanning forests of candidates that an upper node hands to the exact test, in each of two rounds; the first round
+#: takes every other mask.
+FORESTS = 4
 #: An upper node over so many codes is split by finer masks, at most so many times.
 CROWD = 1024
 DEPTH = 2
@@ -166,13 +166,13 @@ def _gray_rank(code: str) -> Column:
     return r
 
 
-def _linker(limit: int, lanes: int, counts: bool = False, labelled: bool = False):
-    """Links of every upper node: a forest of them, or with ``labelled`` every pair of different labels."""
+def _linker(limit: int, lanes: int, counts: bool = False, forests: int = 0):
+    """Links of every upper node: a forest of them, or with ``forests`` so many that share no pair, between rows of different labels."""
     names = [f"{end}{k or ''}" for end in "uv" for k in range(lanes)]
 
     def found(bucket: np.ndarray, codes: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if labelled:
-            met = bucket_pairs(bucket, codes, label, limit)
+        if forests:
+            met = bucket_forests(bucket, codes, label, limit, forests)
         else:
             a, b, visited, pruned = bucket_links(bucket, codes, limit)
             met = [(a, b)]
@@ -195,7 +195,7 @@ def _linker(limit: int, lanes: int, counts: bool = False, labelled: bool = False
                 continue
             bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
             codes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _lanes(lanes)], axis=1).view(np.uint64)
-            rows = (bucket, codes, batch.column("label").to_numpy(zero_copy_only=False) if labelled else bucket)
+            rows = (bucket, codes, batch.column("label").to_numpy(zero_copy_only=False) if forests else bucket)
             last = int(np.searchsorted(bucket, bucket[-1]))
             if last or (held and held[-1][0][-1] != bucket[0]):
                 yield from out(*[x[:last] for x in rows])
@@ -317,9 +317,11 @@ def similar_groups(
     """(root, least) per distinct fingerprint: its group of near duplicates, and the row that speaks for it (doc_id, key, n).
 
     Candidates come from the index over ``lanes`` x 64 bits (at most ``limit`` differing); a candidate is a link if the
-    exact similarity of its shingle sets is ``least`` or more. First what is nearly equal is joined by links that pass the
-    test, so that large groups of copies are single sets; then every candidate between different sets is tested, as a
-    spanning forest of candidates would lose links. Equal fingerprints count as equal texts.
+    exact similarity of its shingle sets is ``least`` or more. One forest of candidates would lose links, as a candidate that
+    fails the test can stand for one that would pass, and all candidates of a large group are too many. So every node hands
+    on ``FORESTS`` forests without a common pair, nearest first; what passes joins sets, and a second round does the same
+    between the sets. The number of tests grows with the documents, not with the pairs of a group. Equal fingerprints
+    count as equal texts.
     """
     names = _lanes(lanes)
     rows = fingerprints(docs, width, lanes).groupBy(*names, "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -335,10 +337,11 @@ def similar_groups(
         pairs = materialise(nodes.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
         return similar_pairs(docs, classes, pairs, width, least)
 
-    near = materialise(similar(classes.select(*names), masks[:NEAR_MASKS], _linker(min(NEAR, limit), lanes)))
+    linker = _linker(limit, lanes, forests=FORESTS)
+    near = materialise(similar(classes.select(*names, F.col("node").alias("label")), masks[::2], linker))
     sets = classes.select("node", *names).join(components(near).hint("merge"), "node", "left")
     labelled = materialise(sets.select(*names, F.coalesce("root", "node").alias("label")))
-    roots = components(near.unionByName(similar(labelled, masks, _linker(limit, lanes, labelled=True))))
+    roots = components(near.unionByName(similar(labelled, masks, linker)))
     return classes.select("node", "least").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
 
 
