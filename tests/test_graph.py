@@ -206,16 +206,6 @@ def test_ontology(spark, served):
     assert ontology.violations(graph(spark, [("x", "Odd"), ("k", "Keyword", "user")]).nodes).count() == 2
 
 
-def test_louvain_two_cliques():
-    edges = [(i, j) for c in (0, 4) for i in range(c, c + 4) for j in range(i + 1, c + 4)] + [(3, 4)]
-    src, dst = np.r_[[a for a, _ in edges], [b for _, b in edges]], np.r_[[b for _, b in edges], [a for a, _ in edges]]
-    order = np.lexsort((dst, src))
-    off, w = np.searchsorted(src[order], np.arange(9)), np.ones(len(src))
-    comm = A.louvain(off, dst[order], w)
-    assert len(set(comm[:4])) == len(set(comm[4:])) == 1 and comm[0] != comm[4]
-    assert A.modularity(off, dst[order], w, comm) > A.modularity(off, dst[order], w, np.zeros(8, dtype=int))
-
-
 def test_svd(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(30, 12)) * np.array([9, 6, 4, 2.5, 1.5] + [0.3] * 7)

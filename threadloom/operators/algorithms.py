@@ -1,100 +1,21 @@
-"""Betweenness, communities, bridges and random walks: numpy kernels over adjacency of a checked size, joins beyond it."""
+"""Centrality, communities, bridges and random walks of the co-occurrence graph, by joins (``large_graphs``) at every size."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.graph import Graph
-from threadloom.operators.large_graphs import betweenness_by_waves, coarsen, walks_by_steps
+from threadloom.operators.large_graphs import betweenness, leiden, walks_by_steps
+from threadloom.operators.spread import spread_join
 from threadloom.operators.traversal import components
 from threadloom.session import durable
 
-#: Edges that a kernel may hold: some 160 MB of arrays, and about 2 GB while names are turned into numbers. Larger graphs
-#: go through the joins of ``large_graphs``.
-MOST_EDGES = 5_000_000
-
-
-def _fits(edges: DataFrame) -> bool:
-    """Whether a kernel may hold the edges."""
-    return edges.count() <= MOST_EDGES
-
-
-def _adjacency(edges: DataFrame, weights: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets, targets, weights) of undirected edges (a, b[, weight]), which must be known to fit."""
-    pdf = edges.toPandas()
-    ids = sorted(set(pdf["a"]) | set(pdf["b"]))
-    at = {x: i for i, x in enumerate(ids)}
-    a, b = pdf["a"].map(at).to_numpy(dtype=np.int64), pdf["b"].map(at).to_numpy(dtype=np.int64)
-    w = pdf["weight"].to_numpy(dtype=float) if weights else np.ones(len(pdf))
-    src, dst, ww = np.r_[a, b], np.r_[b, a], np.r_[w, w]
-    order = np.lexsort((dst, src))
-    return ids, np.searchsorted(src[order], np.arange(len(ids) + 1)), dst[order], ww[order]
-
 
 def cooc_edges(g: Graph, least: int = 1) -> DataFrame:
     return g.cooc.where(F.col("weight") >= least).select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"), "weight")
 
 
-def brandes(offsets: np.ndarray, targets: np.ndarray, source: int) -> np.ndarray:
-    """Dependencies of one source in an unweighted graph."""
-    n = len(offsets) - 1
-    dist, paths, order, preds = np.full(n, -1), np.zeros(n), [], [[] for _ in range(n)]
-    dist[source], paths[source] = 0, 1
-    front = [source]
-    while front:
-        order += front
-        nxt = []
-        for v in front:
-            for t in targets[offsets[v] : offsets[v + 1]]:
-                if dist[t] < 0:
-                    dist[t] = dist[v] + 1
-                    nxt.append(t)
-                if dist[t] == dist[v] + 1:
-                    paths[t] += paths[v]
-                    preds[t].append(v)
-        front = nxt
-    dep = np.zeros(n)
-    for w in reversed(order):
-        for v in preds[w]:
-            dep[v] += paths[v] / paths[w] * (1 + dep[w])
-    dep[source] = 0
-    return dep
-
-
-def betweenness(spark: SparkSession, edges: DataFrame, sources: int | None = None) -> DataFrame:
-    """(id, betweenness), un-normalised and undirected; sources are shared out over tasks, or taken in waves of joins if the
-    edges do not fit a task. ``sources``: a sample of them, scaled."""
-    edges = durable(edges)
-    if not _fits(edges):
-        return betweenness_by_waves(edges, sources)
-    ids, offsets, targets, _ = _adjacency(edges)
-    shared = spark.sparkContext.broadcast((offsets, targets))
-    n = len(ids)
-    step = max(1, n // sources) if sources else 1
-    chosen = list(range(0, n, step))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        o, t = shared.value
-        total = np.zeros(len(o) - 1)
-        for f in frames:
-            for s in f["id"]:
-                total += brandes(o, t, int(s))
-        hit = np.flatnonzero(total)
-        yield pd.DataFrame({"v": hit, "b": total[hit]})
-
-    parts = max(1, min(len(chosen), spark.sparkContext.defaultParallelism))
-    work = spark.range(0, len(chosen), 1, parts).select((F.col("id") * step).alias("id"))
-    scale = n / max(1, len(chosen)) / 2
-    summed = work.mapInPandas(run, "v long, b double").groupBy("v").agg(F.sum("b").alias("b"))
-    names = spark.createDataFrame(pd.DataFrame({"v": range(n), "id": ids}), "v long, id string") if n else spark.createDataFrame([], "v long, id string")
-    return names.join(summed, "v", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 6).alias("betweenness"))
-
-
 def entity_centrality(g: Graph, top: int = 20, least: int = 2, largest: bool = False) -> DataFrame:
     """id, betweenness, degree of the most central entities; ``largest``: in the largest component alone."""
     e = cooc_edges(g, least)
@@ -105,96 +26,17 @@ def entity_centrality(g: Graph, top: int = 20, least: int = 2, largest: bool = F
         e = e.join(keep, "a", "left_semi")
     ends = e.select(F.col("a").alias("id")).unionAll(e.select(F.col("b").alias("id")))
     deg = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    return betweenness(g.spark, e.select("a", "b")).join(deg, "id").orderBy(F.desc("betweenness"), F.desc("degree"), "id").limit(top)
-
-
-def louvain(offsets: np.ndarray, targets: np.ndarray, weights: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Community per vertex by modularity; vertices are visited in a fixed order, ties go to the smaller community."""
-    n = len(offsets) - 1
-    member = np.arange(n)
-    while True:
-        n = len(offsets) - 1
-        strength = np.array([weights[offsets[v] : offsets[v + 1]].sum() for v in range(n)])
-        total = strength.sum()
-        comm, mass, moved_any = np.arange(n), strength.copy(), False
-        for _ in range(rounds):
-            moved = False
-            for v in range(n):
-                links: dict[int, float] = {}
-                for t, w in zip(targets[offsets[v] : offsets[v + 1]], weights[offsets[v] : offsets[v + 1]]):
-                    if t != v:
-                        links[comm[t]] = links.get(comm[t], 0.0) + w
-                here = comm[v]
-                mass[here] -= strength[v]
-                best, gain = here, links.get(here, 0.0) - strength[v] * mass[here] / total
-                for c in sorted(links):
-                    g = links[c] - strength[v] * mass[c] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                mass[best] += strength[v]
-                if best != here:
-                    comm[v], moved, moved_any = best, True, True
-            if not moved:
-                break
-        names, comm = np.unique(comm, return_inverse=True)
-        member = comm[member]
-        if not moved_any or len(names) == n:
-            return member
-        src = np.repeat(np.arange(n), np.diff(offsets))
-        key = comm[src] * len(names) + comm[targets]
-        pair, inv = np.unique(key, return_inverse=True)
-        w = np.bincount(inv, weights=weights)
-        src, targets, weights = pair // len(names), pair % len(names), w
-        offsets = np.searchsorted(src, np.arange(len(names) + 1))
-
-
-def modularity(offsets: np.ndarray, targets: np.ndarray, weights: np.ndarray, comm: np.ndarray) -> float:
-    src = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    total = weights.sum()
-    inside = weights[comm[src] == comm[targets]].sum() / total
-    strength = np.bincount(comm[src], weights=weights) / total
-    return float(inside - (strength**2).sum())
+    return betweenness(e.select("a", "b")).join(deg, "id").orderBy(F.desc("betweenness"), F.desc("degree"), "id").limit(top)
 
 
 def communities(g: Graph, least: int = 2, min_size: int = 3) -> DataFrame:
-    """(id, component, community): Louvain inside every component of ``min_size`` vertices or more, one group per component.
-
-    A component's edges meet in one task, so their number is checked first: components of over ``MOST_EDGES`` are folded by
-    joins until they fit. One that can not be folded so far keeps the communities that the folding has found.
-    """
-    e = cooc_edges(g, least)
-    comp = components(e.select("a", "b"))
-    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
-    member = comp.join(size, "component").select(F.col("id").alias("a"), "component")
-    keyed = e.join(member, "a").select("component", "a", "b", F.col("weight").cast("double").alias("weight"))
-    keyed = durable(keyed)
-    sizes = keyed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(pdf["a"]) | set(pdf["b"]))
-        at = {x: i for i, x in enumerate(ids)}
-        a, b = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
-        src, dst, w = np.r_[a, b], np.r_[b, a], np.r_[pdf["weight"], pdf["weight"]]
-        order = np.lexsort((dst, src))
-        comm = louvain(np.searchsorted(src[order], np.arange(len(ids) + 1)), dst[order], w[order])
-        first = {c: ids[int(np.argmax(comm == c))] for c in np.unique(comm)}
-        return pd.DataFrame({"id": ids, "component": pdf["component"].iloc[0], "community": [first[c] for c in comm]})
-
-    def kernel(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("component").applyInPandas(run, "id string, component string, community string")
-
-    big = sizes.where(F.col("n") > MOST_EDGES).select("component")
-    if big.isEmpty():
-        return kernel(keyed)
-    folded, inside = coarsen(keyed.join(F.broadcast(big), "component"), MOST_EDGES)  # fewer rows than edges / MOST_EDGES
-    still = folded.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_EDGES).select("component")
-    nodes = folded.select(F.explode(F.array("a", "b")).alias("id"), "component").distinct()
-    whole = nodes.join(F.broadcast(still), "component", "left_semi").select("id", "component", F.col("id").alias("community"))
-    found = kernel(folded.join(F.broadcast(still), "component", "left_anti")).unionByName(whole)
-    named = inside.join(found.withColumnRenamed("id", "node"), "node").select("id", "component", "community")
-    least_id = named.groupBy("community").agg(F.min("id").alias("name"))
-    named = named.join(least_id, "community").select("id", "component", F.col("name").alias("community"))
-    return kernel(keyed.join(F.broadcast(big), "component", "left_anti")).unionByName(named)
+    """(id, component, community): communities inside every component of ``min_size`` vertices or more, each connected and
+    named by its smallest id; the largest components are spread over all tasks."""
+    e = durable(cooc_edges(g, least))
+    comp = durable(components(e.select("a", "b")))
+    size = durable(comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size))
+    member = spread_join(comp, size, "component", comp.count()).select(F.col("id").alias("a"), "component")
+    return leiden(e.join(member, "a").select("component", "a", "b", "weight"))
 
 
 def inner_edges(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -267,7 +109,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame
 def entity_bridges(g: Graph, least: int = 2, max_path: int = 4, min_betweenness: float = 0.01) -> DataFrame:
     """entity_a, entity_b, path_length, betweenness: from every bridge to targets 2..max_path hops away; mean of both ends."""
     e = cooc_edges(g, least)
-    b = betweenness(g.spark, e.select("a", "b"))
+    b = betweenness(e.select("a", "b"))
     far = shortest_paths(e, b.where(F.col("betweenness") >= min_betweenness), max_path).where("distance >= 2")
     x, y = b.select(F.col("id").alias("source"), F.col("betweenness").alias("bs")), b.select(F.col("id").alias("target"), F.col("betweenness").alias("bt"))
     return far.join(x, "source").join(y, "target").select(
@@ -287,33 +129,5 @@ def prune(edges: DataFrame, most: int = 100) -> DataFrame:
 
 
 def random_walks(g: Graph, length: int = 40, walks: int = 10, p: float = 1.0, q: float = 1.0, least: int = 2, seed: int = 42) -> DataFrame:
-    """(walk, place, id): biased walks over the pruned co-occurrence graph; each start's walks depend on the seed alone.
-
-    A graph that does not fit a task is walked by joins, without bias alone: ``p`` and ``q`` other than 1 are refused there.
-    """
-    edges = durable(prune(cooc_edges(g, least)))
-    if not _fits(edges):
-        if p != 1 or q != 1:
-            raise ValueError(f"biased walks need at most {MOST_EDGES} edges")
-        return walks_by_steps(edges, length, walks, seed)
-    ids, offsets, targets, weights = _adjacency(edges, weights=True)
-    shared = g.spark.sparkContext.broadcast((ids, offsets, targets, weights))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, o, t, w = shared.value
-        for f in frames:
-            for s in f["id"]:
-                v0, k = int(s) // walks, int(s) % walks
-                rng, path = np.random.default_rng([seed, v0, k]), [v0]
-                while len(path) < length:
-                    v = path[-1]
-                    near, wt = t[o[v] : o[v + 1]], w[o[v] : o[v + 1]].copy()
-                    if not len(near):
-                        break
-                    if len(path) > 1 and (p != 1 or q != 1):
-                        u = path[-2]
-                        wt = np.where(near == u, wt / p, np.where(np.isin(near, t[o[u] : o[u + 1]]), wt, wt / q))
-                    path.append(int(rng.choice(near, p=wt / wt.sum())))
-                yield pd.DataFrame({"walk": [int(s)] * len(path), "place": range(len(path)), "id": [names[v] for v in path]})
-
-    return g.spark.range(len(ids) * walks).mapInPandas(run, "walk long, place int, id string")
+    """(walk, place, id): biased walks over the pruned co-occurrence graph; each start's walks depend on the seed alone."""
+    return walks_by_steps(durable(prune(cooc_edges(g, least))), length, walks, seed, p, q)

@@ -1,4 +1,4 @@
-"""Betweenness, communities and walks as joins, for graphs beyond what one task may hold.
+"""Betweenness, communities and walks as joins, for graphs of any size.
 
 Edges are undirected (a, b[, weight]). Every step is a keyed join or a grouped sum; rounds are written to the checkpoint
 folder. Nothing but counts and sums comes to the driver.
@@ -6,9 +6,13 @@ folder. Nothing but counts and sums comes to the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.spread import spread_join
+from threadloom.operators.traversal import components
 from threadloom.session import durable
 
 #: Rows (source, vertex) that one wave of sources may hold; more sources than fit take more waves.
@@ -21,34 +25,69 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", *rest).unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *rest))
 
 
-def betweenness_by_waves(edges: DataFrame, sources: int | None = None, wave_rows: int = WAVE_ROWS) -> DataFrame:
-    """(id, betweenness), un-normalised, exact: counts of shortest paths spread level by level from a wave of sources at a
-    time, dependencies flow back the same way. ``sources``: only that many (smallest hashes of ids), scaled.
+def sources_for(vertices: int, error: float, failure: float = 0.05) -> int:
+    """Sources that sampled betweenness takes so that, with probability 1 - ``failure``, every vertex of a graph of so many
+    vertices is off by at most ``error`` * vertices * (vertices - 2) / 2: Hoeffding's bound on dependencies, for all vertices at once."""
+    return min(vertices, math.ceil(math.log(2 * max(1, vertices) / failure) / (2 * error * error)))
+
 
-    A wave takes two joins per level and ``wave_rows`` rows of state at most, so all sources together take
-    vertices^2 / wave_rows waves: exact at any size, but as costly as the measure is.
+def betweenness(edges: DataFrame, sources: int | None = None, wave_rows: int = WAVE_ROWS, peels: int = 16) -> DataFrame:
+    """(id, betweenness), un-normalised, by joins at every size.
+
+    Leaves are cut off round by round (``peels`` at most) and their shares written down in closed form, as the only way from
+    a leaf is its neighbour; a vertex then stands for what hung on it. In what is left, counts of shortest paths spread
+    level by level from a wave of sources at a time, and dependencies flow back. Exact; a wave holds ``wave_rows`` rows of
+    state at most, so all sources take vertices^2 / wave_rows waves of what the leaves leave over. ``sources``: only that
+    many (smallest hashes), scaled; ``sources_for`` gives their number for an error.
     """
-    links = durable(both_ways(edges.select("a", "b")))
-    nodes = durable(links.select(F.col("a").alias("id")).distinct())
+    links = durable(both_ways(edges.select("a", "b").where("a <> b")).distinct())
+    comp = components(links)
+    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.col("n"))
+    comp = durable(comp)
+    nodes = durable(spread_join(comp, durable(size), "component", comp.count()).select("id", "size", F.lit(1).cast("bigint").alias("reach"), F.lit(0.0).alias("b")))
     n = nodes.count()
-    chosen = nodes if not sources else nodes.orderBy(F.xxhash64("id"), "id").limit(sources)
-    asked = min(n, sources or n)
-    waves = max(1, -(-asked * n // wave_rows))
-    total = None
-    for k in range(waves):
-        start = chosen.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == k)
-        part = durable(_dependencies(links, start))
-        total = part if total is None else durable(total.unionByName(part).groupBy("id").agg(F.sum("b").alias("b")))
-    scale = n / max(1, asked) / 2
-    return nodes.join(total, "id", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 6).alias("betweenness"))
+    for _ in range(peels):
+        ends = links.groupBy("a").agg(F.count(F.lit(1)).alias("d"), F.min("b").alias("parent")).where("d = 1").select("a", "parent")
+        mutual = ends.select(F.col("a").alias("parent"), F.col("parent").alias("a")).withColumn("twin", F.lit(True))
+        # of two leaves that have but each other the smaller one stays
+        leaves = durable(ends.join(mutual, ["a", "parent"], "left").where(F.col("twin").isNull() | (F.col("a") > F.col("parent"))).select(F.col("a").alias("id"), "parent"))
+        if leaves.isEmpty():
+            break
+        gone = durable(leaves.join(nodes, "id"))
+        given = gone.groupBy(F.col("parent").alias("id")).agg(F.sum("reach").alias("more"), F.sum(F.col("reach") * (F.col("size") - F.col("reach") - 1)).cast("double").alias("via"))
+        own = gone.select("id", ((F.col("reach") - 1) * (F.col("size") - F.col("reach"))).cast("double").alias("below"))
+        nodes = durable(nodes.join(given, "id", "left").join(own, "id", "left").select(
+            "id", "size", (F.col("reach") + F.coalesce("more", F.lit(0))).alias("reach"),
+            (F.col("b") + F.coalesce("via", F.lit(0.0)) + F.coalesce("below", F.lit(0.0))).alias("b"),
+        ))
+        cut = leaves.select("id")
+        links = durable(links.join(cut.withColumnRenamed("id", "a"), "a", "left_anti").join(cut.withColumnRenamed("id", "b"), "b", "left_anti"))
+    reach = nodes.select(F.col("id").alias("b"), F.col("reach").alias("rb"))
+    links = durable(links.join(reach, "b").select("a", "b", "rb"))
+    core = durable(links.select(F.col("b").alias("id"), "rb").distinct())
+    m = core.count()
+    chosen = core if not sources else core.orderBy(F.xxhash64("id"), "id").limit(sources)
+    asked = min(m, sources or m)
+    waves, total = max(1, -(-asked * m // wave_rows)), None
+    for k in range(waves if m else 0):
+        part = durable(_dependencies(links, chosen.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == k)))
+        total = part if total is None else durable(total.unionByName(part).groupBy("id").agg(F.sum("x").alias("x")))
+    if total is None:
+        total = nodes.select("id", F.lit(0.0).alias("x")).limit(0)
+    whole = F.col("b") + F.coalesce("x", F.lit(0.0)) * (m / max(1, asked))
+    return nodes.join(total, "id", "left").select("id", F.round(whole / 2, 6).alias("betweenness"))
 
 
 def _dependencies(links: DataFrame, start: DataFrame) -> DataFrame:
-    """(id, b): summed dependencies of the vertices on all sources of ``start``."""
-    front = durable(start.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
+    """(id, x): summed dependencies on the sources ``start`` (id, rb), each as often as the vertices it stands for.
+
+    What flows back through a vertex is its own ``rb`` and what its successors pass on; without itself, that is the number of
+    (shares of) shortest paths that go on from it.
+    """
+    front = durable(start.select(F.col("id").alias("s"), F.col("rb").alias("rs"), F.col("id").alias("v"), F.lit(1.0).alias("paths"), F.col("rb").alias("rv")))
     levels = [front]
     while True:
-        step = front.join(links, front["v"] == links["a"]).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
+        step = front.join(links, front["v"] == links["a"]).groupBy("s", "rs", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"), F.max("rb").alias("rv"))
         # over undirected edges a neighbour of a level lies in it, in the one before, or has not been met
         for seen in levels[-2:]:
             step = step.join(seen.select("s", "v"), ["s", "v"], "left_anti")
@@ -56,83 +95,90 @@ def _dependencies(links: DataFrame, start: DataFrame) -> DataFrame:
         if front.isEmpty():
             break
         levels.append(front)
-    below, parts = levels[-1].withColumn("dep", F.lit(0.0)), []
+    below, out = levels[-1].withColumn("mass", F.col("rv").cast("double")), None
     for level in reversed(levels[:-1]):
-        parts.append(below.select(F.col("v").alias("id"), F.col("dep").alias("b")))
-        share = below.join(links, below["v"] == links["a"]).groupBy("s", F.col("b").alias("v")).agg(F.sum((1 + F.col("dep")) / F.col("paths")).alias("x"))
-        below = durable(level.join(share, ["s", "v"], "left").select("s", "v", "paths", (F.coalesce("x", F.lit(0.0)) * F.col("paths")).alias("dep")))
+        part = below.select(F.col("v").alias("id"), (F.col("rs") * (F.col("mass") - 1)).alias("x"))
+        out = part if out is None else out.unionByName(part)
+        share = below.join(links, below["v"] == links["a"]).groupBy("s", F.col("b").alias("v")).agg(F.sum(F.col("mass") / F.col("paths")).alias("x"))
+        below = durable(level.join(share, ["s", "v"], "left").withColumn("mass", F.col("rv") + F.coalesce("x", F.lit(0.0)) * F.col("paths")).drop("x"))
     # what is left in ``below`` are the sources themselves, which do not count
-    out = links.select(F.col("a").alias("id"), F.lit(0.0).alias("b")).limit(0)
-    for p in parts:
-        out = out.unionByName(p)
-    return out.groupBy("id").agg(F.sum("b").alias("b"))
+    if out is None:
+        out = links.select(F.col("a").alias("id"), F.lit(0.0).alias("x")).limit(0)
+    return out.groupBy("id").agg(F.sum("x").alias("x"))
 
 
-def coarsen(edges: DataFrame, most: int, rounds: int = 8, levels: int = 12) -> tuple[DataFrame, DataFrame]:
-    """Folds (component, a, b, weight) until no component has more than ``most`` edges: ((component, a, b, weight), (id, node)).
+def leiden(edges: DataFrame, rounds: int = 12, levels: int = 12) -> DataFrame:
+    """(id, component, community): communities of (component, a, b, weight) by modularity, every one of them connected.
 
-    A level moves vertices to the neighbouring community of the largest gain in modularity, a random half of them a round
-    (all at once would swap places for ever), as long as modularity grows; communities then become vertices, inner
-    weight a loop. A level that folds nothing ends it, so the edges may stay above ``most``.
+    A level moves vertices to the neighbouring community of the largest gain, a random half of them a round (all at once
+    would swap places for ever), as long as modularity grows. The communities are then refined: each falls into its
+    connected pieces, and the pieces become the vertices of the next level, their inner weight a loop. A level that folds
+    nothing ends it. Pieces of pieces are connected, so the last vertices are the communities; each bears the smallest id.
     """
     now = durable(edges.select("component", "a", "b", F.col("weight").cast("double").alias("weight")))
-    member = durable(both_ways(now).select(F.col("a").alias("id"), F.col("a").alias("node")).distinct())
-    size = now.count()
+    member = durable(both_ways(now.select("component", "a", "b")).select("component", F.col("a").alias("id"), F.col("a").alias("node")).distinct())
+    nodes = member.count()
     for level in range(levels):
-        largest = now.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        if largest <= most:
-            break
         comm = _moved(now, rounds, level)
         ca, cb = comm.select(F.col("v").alias("a"), F.col("c").alias("ca")), comm.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-        folded = now.join(ca, "a").join(cb, "b").groupBy("component", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+        inner = now.join(ca, "a").join(cb, "b").where("ca = cb and a <> b").select("a", "b")
+        if inner.isEmpty():
+            break
+        pieces = components(inner, comm.select(F.col("v").alias("id"))).withColumnRenamed("component", "piece")
+        pieces = durable(pieces)
+        left = pieces.select("piece").distinct().count()
+        pa, pb = pieces.select(F.col("id").alias("a"), F.col("piece").alias("pa")), pieces.select(F.col("id").alias("b"), F.col("piece").alias("pb"))
+        folded = now.join(pa, "a").join(pb, "b").groupBy("component", F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         now = durable(folded.agg(F.sum("weight").alias("weight")))
-        member = durable(member.join(comm, member["node"] == comm["v"]).select("id", F.col("c").alias("node")))
-        left = now.count()
-        if left == size:
+        member = durable(member.join(pieces.withColumnRenamed("id", "node"), "node").select("component", "id", F.col("piece").alias("node")))
+        if left == nodes:
             break
-        size = left
-    return now, member
+        nodes = left
+    return member.select("id", "component", F.col("node").alias("community"))
 
 
 def _moved(edges: DataFrame, rounds: int, level: int) -> DataFrame:
     """(v, c): the community of each vertex after moves that raise modularity."""
     links = durable(both_ways(edges))
-    total = links.groupBy("component").agg(F.sum("weight").alias("total"))  # one row per component that is too large for a task
-    strength = durable(links.groupBy("component", F.col("a").alias("v")).agg(F.sum("weight").alias("k")).join(F.broadcast(total), "component"))
-    others = links.where("a <> b").select(F.col("a").alias("v"), F.col("b"), "weight")
+    total = links.groupBy("component").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
+    strength = links.groupBy("component", F.col("a").alias("v")).agg(F.sum("weight").alias("k"))
+    strength = durable(spread_join(strength, durable(total), "component", links.count()).select("v", "k", "total"))
+    others = durable(links.where("a <> b").groupBy(F.col("a").alias("v"), "b").agg(F.sum("weight").alias("weight")))
     comm = strength.select("v", F.col("v").alias("c"), "k", "total")
-    best, kept = None, comm.select("v", "c")
+    best, kept, still = _quality(edges, comm), comm.select("v", "c"), 0
     for r in range(rounds):
         mass = comm.groupBy("c").agg(F.sum("k").alias("mass"))
         near = others.join(comm.select(F.col("v").alias("b"), "c"), "b").groupBy("v", "c").agg(F.sum("weight").alias("w"))
         offered = near.unionByName(comm.select("v", "c", F.lit(0.0).alias("w"))).groupBy("v", "c").agg(F.sum("w").alias("w")).join(mass, "c")
         own = comm.select("v", F.col("c").alias("here"), "k", "total")
         stays = F.col("c") == F.col("here")
-        gain = F.col("w") - F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("total")
-        # the smaller name of equal gains; a vertex stays if nothing is better than that
-        score = F.struct(F.round(gain, 9).alias("gain"), stays.alias("stays"))
-        rated = offered.join(own, "v").select("v", "here", "k", "total", "c", score.alias("s"))
-        top = rated.groupBy("v").agg(F.max("s").alias("top"))
-        picked = rated.join(top, "v").where("s = top").groupBy("v").agg(
-            F.min("c").alias("to"), F.first("here").alias("here"), F.first("k").alias("k"), F.first("total").alias("total")
-        )
+        gain = F.round(F.col("w") - F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("total"), 9)
+        # of equal gains the vertex's own community, then the smaller name
+        score = F.struct((-gain).alias("loss"), (~stays).alias("moves"), "c")
+        picked = offered.join(own, "v").groupBy("v", "here", "k", "total").agg(F.min(score).alias("s"))
         turn = F.pmod(F.xxhash64("v", F.lit(level), F.lit(r)), F.lit(2)) == 0
-        comm = durable(picked.select("v", F.when(turn, F.col("to")).otherwise(F.col("here")).alias("c"), "k", "total"))
+        moves = F.col("s.moves") & turn
+        comm = durable(picked.select("v", F.when(moves, F.col("s.c")).otherwise(F.col("here")).alias("c"), "k", "total", F.col("s.moves").alias("would")))
+        if not comm.where("would").limit(1).count():
+            found = _quality(edges, comm)
+            return comm.select("v", "c") if found > best else kept
+        comm = comm.drop("would")
         found = _quality(edges, comm)
-        if best is not None and found <= best + 1e-9:
-            if r % 2:  # both halves have had their turn
+        if found > best + 1e-9:
+            best, kept, still = found, comm.select("v", "c"), 0
+        else:
+            still += 1
+            if still == 2:  # both halves have had their turn
                 break
-            continue
-        best, kept = found, comm.select("v", "c")
     return kept
 
 
 def _quality(edges: DataFrame, comm: DataFrame) -> float:
     """Modularity summed over components."""
     ca, cb = comm.select(F.col("v").alias("a"), F.col("c").alias("ca"), "total"), comm.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-    inside = edges.join(ca, "a").join(cb, "b").where("ca = cb").agg(F.sum(2 * F.col("weight") / F.col("total"))).first()[0] or 0.0
-    spread = comm.groupBy("c").agg((F.sum("k") / F.first("total")).alias("x")).agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
-    return inside - spread
+    inside = edges.join(ca, "a").join(cb, "b").where("ca = cb").select((2 * F.col("weight") / F.col("total")).alias("x"))
+    spread = comm.groupBy("c").agg((F.sum("k") / F.first("total")).alias("x")).select((-F.col("x") * F.col("x")).alias("x"))
+    return inside.unionByName(spread).agg(F.sum("x")).first()[0] or 0.0
 
 
 def _uniform(seed: int, salt: str, step: int) -> Column:
@@ -152,11 +198,14 @@ def _pick(items: Column, point: Column) -> Column:
     return F.aggregate(items, first, step, lambda acc: acc["key"])
 
 
-def walks_by_steps(edges: DataFrame, length: int = 40, walks: int = 10, seed: int = 42) -> DataFrame:
-    """(walk, place, id): weighted first-order walks from every vertex, two keyed joins a step.
+def walks_by_steps(edges: DataFrame, length: int = 40, walks: int = 10, seed: int = 42, p: float = 1.0, q: float = 1.0) -> DataFrame:
+    """(walk, place, id): weighted walks from every vertex, two keyed joins a step.
 
     A vertex's d neighbours lie in about sqrt(d) rows of about sqrt(d) each, by hash: a step draws the row by its summed
-    weight, then the neighbour inside it, so no row grows with a hub's degree.
+    weight, then the neighbour inside it, so no row grows with a hub's degree. With ``p`` and ``q`` a step depends on the
+    vertex before: a drawn neighbour is kept with a probability in proportion to 1/p (the way back), 1 (a neighbour of the
+    vertex before, which a keyed join with the edges tells) or 1/q, and else drawn again, so its share is exact. Draws
+    depend on start, walk, step, try and seed alone, so walks do not change with the partitions.
     """
     links = both_ways(edges.select("a", "b", F.col("weight").cast("double").alias("w")))
     degree = links.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
@@ -164,17 +213,32 @@ def walks_by_steps(edges: DataFrame, length: int = 40, walks: int = 10, seed: in
     item = lambda key: F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), "w")))
     lists = durable(links.join(degree, "a").groupBy("a", block.alias("block")).agg(item("b").alias("items"), F.sum("w").alias("w")))
     nodes = durable(lists.groupBy("a").agg(item("block").alias("blocks"), F.sum("w").alias("whole")))
-    numbered = nodes.select(F.col("a").alias("start"), F.monotonically_increasing_id().alias("v"))
-    at = durable(numbered.select("start", "v", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("k")).select(
-        (F.col("v") * walks + F.col("k")).alias("walk"), "start", "k", F.col("start").alias("id")
+    at = durable(nodes.select(F.col("a").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("k")).select(
+        "start", "k", F.col("start").alias("id"), F.lit(None).cast("string").alias("last")
     ))
-    out = at.select("walk", F.lit(0).alias("place"), "id")
-    for step in range(1, length):
-        row = at.join(nodes, at["id"] == nodes["a"]).select(
-            "walk", "start", "k", "a", _pick(F.col("blocks"), _uniform(seed, "row", step) * F.col("whole")).alias("block")
+    biased = p != 1 or q != 1
+    pairs = durable(links.select(F.col("a").alias("last"), F.col("b").alias("next")).distinct().withColumn("near", F.lit(True))) if biased else None
+    walk = F.concat_ws("#", "start", "k").alias("walk")
+    out = at.select(walk, F.lit(0).alias("place"), "id")
+
+    def drawn(rows: DataFrame, step: int, turn: int) -> DataFrame:
+        row = rows.join(nodes, rows["id"] == nodes["a"]).select(
+            "start", "k", "id", "last", "a", _pick(F.col("blocks"), _uniform(seed, f"row{turn}", step) * F.col("whole")).alias("block")
         )
-        at = durable(row.join(lists, ["a", "block"]).select(
-            "walk", "start", "k", _pick(F.col("items"), _uniform(seed, "item", step) * F.col("w")).alias("id")
-        ))
-        out = out.unionByName(at.select("walk", F.lit(step).alias("place"), "id"))
+        return row.join(lists, ["a", "block"]).select("start", "k", "id", "last", _pick(F.col("items"), _uniform(seed, f"item{turn}", step) * F.col("w")).alias("next"))
+
+    for step in range(1, length):
+        if not biased or step == 1:
+            done = drawn(at, step, 0)
+        else:
+            done, todo, turn = None, at, 0
+            while done is None or not todo.isEmpty():
+                share = F.when(F.col("next") == F.col("last"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
+                keeps = _uniform(seed, f"keep{turn}", step) * max(1 / p, 1.0, 1 / q) < share
+                tried = durable(drawn(todo, step, turn).join(pairs, ["last", "next"], "left").withColumn("keeps", keeps))
+                kept = tried.where("keeps").select("start", "k", "id", "last", "next")
+                done = kept if done is None else done.unionByName(kept)
+                todo, turn = tried.where("not keeps").select("start", "k", "id", "last"), turn + 1
+        at = durable(done.select("start", "k", F.col("next").alias("id"), F.col("id").alias("last")))
+        out = out.unionByName(at.select(walk, F.lit(step).alias("place"), "id"))
     return out

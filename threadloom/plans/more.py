@@ -13,8 +13,10 @@ from threadloom.operators import text as X
 from threadloom.operators import traversal as V
 from threadloom.plans import views
 from threadloom.plans.queries import _EDGE, _FLAT, _HITS, graph_query, table_query
+from threadloom.session import scratch
 from threadloom.sinks import exports as K
 from threadloom.sources import exports as I
+from threadloom.sources import splits
 from threadloom.streaming import incremental as N
 
 
@@ -162,8 +164,23 @@ def _digest(convs: DataFrame) -> DataFrame:
     return convs.select("id", F.size("messages").alias("n"), S.sha256_hex(said).alias("h"))
 
 
-table_query("src_openai", _BACK)(lambda s, d: _digest(I.parse(K.to_openai(_convs(s, d)).select(F.lit("x.json").alias("path"), F.col("doc").alias("raw")))))
-table_query("src_anthropic", _BACK)(lambda s, d: _digest(I.parse(K.to_anthropic(_convs(s, d)).select(F.lit("x.json").alias("path"), F.col("doc").alias("raw")))))
+#: Bytes of a range where the tables' exports are read back, so that their lists are cut into many.
+CUT = 1 << 15
+
+
+def _lists(s: SparkSession, docs: DataFrame) -> str:
+    path = scratch(s)
+    K.write_lists(docs, path)
+    return path
+
+
+def _parsed(s: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents written as lists, one a file, and read back by byte ranges."""
+    return splits.parse_exports(s, _lists(s, docs), pattern="part-*", size=CUT)
+
+
+table_query("src_openai", _BACK)(lambda s, d: _digest(_parsed(s, K.to_openai(_convs(s, d)).select("doc"))))
+table_query("src_anthropic", _BACK)(lambda s, d: _digest(_parsed(s, K.to_anthropic(_convs(s, d)).select("doc"))))
 
 
 def _gemini_file(s: SparkSession, d: str) -> DataFrame:
@@ -171,7 +188,9 @@ def _gemini_file(s: SparkSession, d: str) -> DataFrame:
     return docs.select(F.lit("x.json").alias("path"), F.concat(F.lit("["), F.array_join(F.transform("ds", lambda x: x["doc"]), ","), F.lit("]")).alias("raw"))
 
 
-table_query("src_message_array", _BACK)(lambda s, d: _digest(I.parse(_gemini_file(s, d))))
+table_query("src_message_array", _BACK)(
+    lambda s, d: _digest(_parsed(s, K.to_gemini(_convs(s, d)).repartition("id").sortWithinPartitions("id", "place").select("doc")))
+)
 
 
 def _markdown(s: SparkSession, d: str) -> DataFrame:
@@ -190,7 +209,8 @@ table_query("src_detect_format", "select f, n from (values ('openai_individual')
     .groupBy(I.detect_format(F.col("raw"), F.col("path")).alias("f")).agg(F.count(F.lit(1)).alias("n"))
 )
 table_query("src_json_array", "select 'c' || conv_id as conversation_id, count(*) as n, sum(length(trim(text)))::bigint as chars from conversations group by 1")(
-    lambda s, d: I.extract(K.to_openai(_convs(s, d)).select(F.lit("x.json").alias("path"), F.concat(F.lit("["), "doc", F.lit("]")).alias("raw"))).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    lambda s, d: I.extract(splits.read_elements(s, _lists(s, K.to_openai(_convs(s, d)).select("doc")), pattern="part-*", size=CUT))
+    .groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 )
 _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
 _AT = lambda *paths: [F.get_json_object("doc", p) for p in paths]

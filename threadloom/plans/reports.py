@@ -13,7 +13,7 @@ from threadloom.operators.traversal import components
 from threadloom.plans import views
 from threadloom.plans.more import _DM, _VEC, _halves, _table
 from threadloom.plans.queries import _E2, _EDGE, _ES, _FLAT, _HITS, _MET, _PATHS, _TERMS, _UP, graph_query, jac, table_query
-from threadloom.plans.stores import scratch
+from threadloom.session import durable, scratch
 from threadloom.sinks import exports as K
 from threadloom.sources import exports as I
 
@@ -71,16 +71,20 @@ graph_query("snk_csv_topics")(lambda g: written(P.topics(g)))
 @graph_query(
     "gr_louvain_quality",
     _E2 + ", reach as (select a as x, a as y from both_ union select reach.x, both_.b from reach join both_ on both_.a = reach.y), comp as (select x as id, min(y) as c from reach group by 1) "
-    "select (select count(*) from comp where c in (select c from comp group by 1 having count(*) >= 3))::bigint as vertices, true as whole, true as no_worse",
+    "select (select count(*) from comp where c in (select c from comp group by 1 having count(*) >= 3))::bigint as vertices, true as whole, true as connected, true as no_worse",
 )
 def _louvain_quality(g) -> DataFrame:
-    """Vertices given a community, whether each community lies in one component, and whether it beats the components' modularity."""
-    comm = A.communities(g)
-    edges = A.cooc_edges(g, 2).join(comm.select(F.col("id").alias("a")), "a", "left_semi")
+    """Vertices given a community; whether each community lies in one component, is connected by its own edges and bears its
+    smallest id; and whether modularity is above that of the components and of single vertices."""
+    comm = durable(A.communities(g))
+    edges = durable(A.cooc_edges(g, 2).join(comm.select(F.col("id").alias("a")), "a", "left_semi"))
     torn = comm.groupBy("community").agg(F.count_distinct("component").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("n"))
+    pieces = components(A.inner_edges(edges, comm).select("a", "b"), comm.select("id"))
+    apart = pieces.withColumnRenamed("component", "piece").join(comm, "id").where("piece <> community").agg(F.count(F.lit(1)).alias("apart"))
     plain = A.partition_modularity(edges, components(edges.select("a", "b")).withColumnRenamed("component", "community")).select(F.col("modularity").alias("m0"))
-    rows = A.partition_modularity(edges, comm).crossJoin(torn).crossJoin(plain)  # one row each
-    return rows.select("vertices", (F.col("n") == 1).alias("whole"), (F.col("modularity") >= F.col("m0")).alias("no_worse"))
+    alone = A.partition_modularity(edges, comm.select("id", F.col("id").alias("community"))).select(F.col("modularity").alias("m1"))
+    rows = A.partition_modularity(edges, comm).crossJoin(torn).crossJoin(apart).crossJoin(plain).crossJoin(alone)  # one row each
+    return rows.select("vertices", (F.col("n") == 1).alias("whole"), (F.col("apart") == 0).alias("connected"), (F.col("modularity") >= F.greatest("m0", "m1")).alias("no_worse"))
 
 
 # scalar families

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +13,12 @@ from threadloom.operators import relational as R
 from threadloom.operators import text as X
 from threadloom.operators import traversal as V
 from threadloom.plans import views
-from threadloom.plans.more import _convs, _halves, _table
+from threadloom.plans.more import CUT, _convs, _halves, _table
 from threadloom.plans.queries import _FS, _PATHS, graph_query, jac, table_query
-from threadloom.session import shared_folder
+from threadloom.session import scratch
 from threadloom.sinks import exports as K
 from threadloom.sources import exports as I
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the session's shared one."""
-    return f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}"
+from threadloom.sources import splits
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -138,24 +132,19 @@ graph_query("jn_kuzu_match", "select msg_id, entity_id from mentions join (selec
 def _files(s: SparkSession, d: str) -> str:
     """Text files of one document a line, in a folder and in one below it."""
     path = scratch(s)
-    docs = K.to_openai(_convs(s, d)).select(F.col("doc").alias("value"))
-    docs.write.text(path)
-    docs.write.text(f"{path}/deeper")
+    docs = K.to_openai(_convs(s, d)).select("doc")
+    K.write_lists(docs, path)
+    K.write_lists(docs, f"{path}/deeper")
     return path
 
 
 def _read_back(s: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
-    files = I.read_files(s, paths, recursive, "*.txt").select("path", F.explode(F.split(F.rtrim("raw"), "\n")).alias("raw")).where("raw <> ''")
-    return I.extract(files).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _by_name(s: SparkSession, d: str) -> DataFrame:
-    """The files of the upper folder, each by its own path."""
-    return _read_back(s, [r["path"] for r in I.read_files(s, _files(s, d), False, "*.txt").select("path").collect()])
+    found = splits.read_elements(s, paths, recursive, "part-*", size=CUT)
+    return I.extract(found).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _PER = "select 'c' || conv_id as conversation_id, count(*) as n from conversations group by 1"
-table_query("src_json_file", _PER)(_by_name)
+table_query("src_json_file", _PER)(lambda s, d: _read_back(s, f"{_files(s, d)}/part-*"))
 table_query("src_json_dir", _PER)(lambda s, d: _read_back(s, _files(s, d)))
 table_query("src_recursive_walk", _PER.replace("count(*)", "2 * count(*)"))(lambda s, d: _read_back(s, _files(s, d), True))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +16,7 @@ def session(name: str = "threadloom", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.appName(name)
     for k, v in base.items():
@@ -22,14 +24,36 @@ def session(name: str = "threadloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Folders of this process that go when the driver ends.
+_MADE: set[str] = set()
+
+
+def _goes_at_exit(spark: SparkSession, folder: str) -> None:
+    if folder not in _MADE:
+        _MADE.add(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+
+
 def durable(df, spark: SparkSession | None = None):
-    """Reliable checkpoint in the session's shared folder; cuts lineage between iterations."""
+    """Reliable checkpoint in the session's shared folder; cuts lineage between iterations. The application's part of the
+    folder goes when the driver ends, and what is no longer referenced goes before, as ``session`` sets Spark's cleaner."""
     spark = spark or df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    _goes_at_exit(spark, spark.sparkContext.getCheckpointDir())  # Spark gives every application a folder of its own in it
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the session's shared one; it goes when the driver ends."""
+    own = f"{shared_folder(spark)}/stores-{spark.sparkContext.applicationId}"
+    _goes_at_exit(spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. Unset, a local session gets a temporary folder; a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)

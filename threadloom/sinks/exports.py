@@ -193,3 +193,17 @@ def bars(df: DataFrame, value: str, width: int = 40) -> DataFrame:
     """Adds a bar of ``#`` in proportion to the largest value."""
     most = df.agg(F.max(value).alias("_m"))
     return df.join(F.broadcast(most)).withColumn("bar", F.repeat(F.lit("#"), F.round(F.col(value) / F.col("_m") * width).cast("int"))).drop("_m")
+
+
+def write_lists(docs: DataFrame, path: str) -> None:
+    """The JSON texts of the first column as lists, one file a task, in the order of the rows."""
+
+    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_ = "["
+        for f in frames:
+            marks = [open_, *[","] * (len(f) - 1)] if len(f) else []
+            yield pd.DataFrame({"value": [m + x for m, x in zip(marks, f.iloc[:, 0])]}, dtype=object)
+            open_ = "," if marks else open_
+        yield pd.DataFrame({"value": ["[]" if open_ == "[" else "]"]})
+
+    docs.select(docs.columns[0]).mapInPandas(lines, "value string").write.text(path)
