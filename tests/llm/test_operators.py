@@ -770,7 +770,17 @@ def plain_classifier(rows, said):
         k = q.STRENGTH[1] if len(n) < 2 or not between else min(q.STRENGTH[1], max(q.STRENGTH[0], noise / between - 1))
         return good, n, k
 
-    (hg, hn, hk), (pg, pn, pk) = sites(host), sites(path)
+    (hg, hn, hk), (pg, pn, _) = sites(host), sites(path)
+    # paths spread around their own host: sums over hosts, each with its own rate and its paths less one degree of freedom
+    spread = noise = free = each = 0.0
+    for h in hn:
+        own, m = {s for s, g in zip(path, host) if g == h}, hg[h] / hn[h]
+        spread += sum(pn[s] * (pg[s] / pn[s] - m) ** 2 for s in own)
+        noise += m * (1 - m) * (len(own) - 1)
+        free += hn[h] - sum(pn[s] ** 2 for s in own) / hn[h]
+        each += hn[h] * m * (1 - m) / len(p)
+    between = max(0.0, (spread - noise) / free) if free else 0.0
+    pk = min(q.STRENGTH[1], max(q.STRENGTH[0], each / between - 1)) if between else q.STRENGTH[1]
     out = []
     for r, o, v, h, s in zip(rows, odds, p, host, path):
         hp = (hk * mean + hg[h] - v) / (hk + hn[h] - 1)
@@ -803,6 +813,16 @@ def test_classifier_against_plain_version(spark, hot, monkeypatch):
     assert mine == sorted(key((r[0], *v)) for r, v in zip(rows, plain_classifier(rows, said)))
 
 
+def test_paths_shrink_to_their_host(spark):
+    """Hosts that differ and paths that are like their host: the spread between hosts says nothing about paths."""
+    rows = [(f"h{h}/{p}", 50.0 * (0.9 if h % 2 else 0.1), 50.0, 200.0 * (0.9 if h % 2 else 0.1), 200.0) for h in range(20) for p in range(4)]
+    alike = spark.createDataFrame(rows, "path string, path_good double, path_n double, host_good double, host_n double")
+    assert quality_classifier._strength_within(alike) == quality_classifier.STRENGTH[1]
+    torn = alike.withColumn("path_good", F.when(F.col("path").endswith("/0") | F.col("path").endswith("/1"), F.col("path_n") * 0.95).otherwise(F.col("path_n") * 0.05)).withColumn("host_good", F.col("host_n") * 0.5)
+    assert quality_classifier._strength_within(torn) == quality_classifier.STRENGTH[0]  # the rates differ more than the least strength says
+    assert quality_classifier._strength_within(alike.limit(0)) == quality_classifier.STRENGTH[1]
+
+
 def test_fit_is_the_optimum():
     rng = np.random.default_rng(13)
     x, y = rng.normal(size=(300, 9)), (rng.random(300) < 0.4).astype(float)

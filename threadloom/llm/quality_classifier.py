@@ -112,6 +112,21 @@ def _strength(sites: DataFrame, mean: float) -> float:
     return float(min(STRENGTH[1], max(STRENGTH[0], noise / between - 1 if between > 0 else STRENGTH[1])))
 
 
+def _strength_within(sites: DataFrame) -> float:
+    """Prior strength of paths from their spread around the rate of their own host, beyond what sampling explains.
+
+    A path is part of its host's rate, so it is off by the share 1 - path_n / host_n of what it would be off otherwise.
+    """
+    rate = F.col("host_good") / F.col("host_n")
+    free = 1 - F.col("path_n") / F.col("host_n")
+    r = sites.agg(
+        F.sum(F.col("path_n") * F.pow(F.col("path_good") / F.col("path_n") - rate, 2)).alias("spread"), F.sum(rate * (1 - rate) * free).alias("noise"),
+        F.sum(F.col("path_n") * free).alias("free"), (F.sum(F.col("path_n") * rate * (1 - rate)) / F.sum("path_n")).alias("each"),
+    ).first()
+    between = max(0.0, (r["spread"] - r["noise"]) / r["free"]) if r["free"] else 0.0
+    return float(min(STRENGTH[1], max(STRENGTH[0], r["each"] / between - 1 if between > 0 else STRENGTH[1])))
+
+
 def _cut_off(ids: DataFrame, sample: int) -> float:
     """The share of the hash range below which at most ``sample`` of the distinct ``ids`` lie.
 
@@ -166,10 +181,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     hosts = materialise(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("paths")))
     whole = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.sum("paths").alias("paths")).first()
     mean = float(np.clip(whole["good"] / whole["n"], 0.01, 0.99)) if whole["n"] else rate
-    k_host, k_path = _strength(hosts, mean), _strength(paths, mean)
+    k_host = _strength(hosts, mean)
     above = hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_n"), F.col("paths").alias("n"))
     sites = join_spread(paths.select("path", "host", F.col("good").alias("path_good"), F.col("n").alias("path_n")), above, "host", int(whole["paths"] or 0))
     sites = materialise(sites.drop("host").withColumn("n", F.col("path_n")))
+    k_path = _strength_within(sites)
     joined = join_spread(scored, sites, "path", int(whole["n"] or 0))
     host_post = (F.lit(k_host * mean) + F.col("host_good") - F.col("p")) / (F.lit(k_host) + F.col("host_n") - 1)
     path_post = (F.lit(k_path) * F.col("host_posterior") + F.col("path_good") - F.col("p")) / (F.lit(k_path) + F.col("path_n") - 1)
