@@ -34,10 +34,10 @@ table_query("win_dedup_first", "select min(doc_id) as doc_id, source from docume
 _PROF = " union all ".join(f"select '{k}' as lang, unnest([{', '.join(repr(w) for w in v)}]) as w" for k, v in X.PROFILES.items())
 table_query(
     "nlp_lang_detect",
-    rf"with p as ({_PROF}), t as (select doc_id, unnest(regexp_split_to_array(lower(left(text, 5000)), '[^\p{{L}}]+')) as w from documents), "
+    rf"with p as ({_PROF}), t as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}]+')) as w from documents), "
     "c as (select doc_id, p.lang, count(*) as n from t join p using (w) group by 1, 2), b as (select doc_id, lang, n, row_number() over (partition by doc_id order by n desc, lang desc) as k from c) "
     "select d.doc_id, case when b.n >= 2 then b.lang else 'unknown' end as found from documents d left join b on b.doc_id = d.doc_id and k = 1",
-)(lambda s, d: _docs(s, d).select("doc_id", X.detect_language(F.coalesce("text", F.lit(""))).alias("found")))
+)(lambda s, d: _docs(s, d).select("doc_id", X.detect_language(F.coalesce("text", F.lit("")), chars=None).alias("found")))
 table_query("flt_lang", "select doc_id from documents where lang in ('en', 'es')")(lambda s, d: _docs(s, d).where(F.col("lang").isin("en", "es")).select("doc_id"))
 table_query(
     "flt_noise",
