@@ -39,10 +39,12 @@ from threadloom.llm.hamming_index import bucket_forests, bucket_links
 LIMIT = 4
 WIDTH = 4
 SEED = 42
-#: The stage: five-word shingles, two lanes, and an exact check of candidates.
+#: The stage: five-word shingles, four lanes, and an exact check of candidates. Two texts that are just similar differ
+#: in 38.8 of the 256 bits on average, with a deviation of 5.7, so 999 of 1000 such pairs stay within the limit. Of wider
+#: fingerprints fewer pairs below that similarity do: half as many of 256 bits as of 128 in a large group of near copies.
 STAGE_WIDTH = 5
-STAGE_LANES = 2
-STAGE_LIMIT = 32
+STAGE_LANES = 4
+STAGE_LIMIT = 57
 SIMILAR = 0.8
 #: Share of candidates of just that similarity that the sampled masks meet.
 MET = 0.999
@@ -56,6 +58,8 @@ _CROWDS = 1 << 14
 _SAMPLE = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PIECE = 1 << 16
+#: So many bits add up without leaving a byte.
+_BYTE = 255
 _ALL = (1 << 64) - 1
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -87,7 +91,9 @@ def fingerprint(text: str | None, width: int = WIDTH, lanes: int = 1) -> np.ndar
         k = min(width, len(part)) - 1
         h = np.array([xxh64_intdigest(line[s : e - 1], SEED) for s, e in zip(starts, ends[k:])], dtype=np.uint64)
         every = h[:, None] if lanes == 1 else np.stack([_mixed(h, lane) for lane in range(lanes)], axis=1)
-        ones += np.unpackbits(np.ascontiguousarray(every).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(np.ascontiguousarray(every).view(np.uint8), axis=1, bitorder="little")
+        for part_at in range(0, len(bits), _BYTE):
+            ones += np.add.reduce(bits[part_at : part_at + _BYTE], axis=0, dtype=np.uint8)
     bits = (2 * ones > n).astype(np.uint8)
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
@@ -340,8 +346,9 @@ def similar_groups(
     linker = _linker(limit, lanes, forests=FORESTS)
     near = materialise(similar(classes.select(*names, F.col("node").alias("label")), masks[::2], linker))
     sets = classes.select("node", *names).join(components(near).hint("merge"), "node", "left")
-    labelled = materialise(sets.select(*names, F.coalesce("root", "node").alias("label")))
-    roots = components(near.unionByName(similar(labelled, masks, linker)))
+    labelled = materialise(sets.select("node", *names, F.coalesce("root", "node").alias("label")))
+    stars = labelled.where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v"))  # the first round's links, spanned
+    roots = components(stars.unionByName(similar(labelled.drop("node"), masks, linker)))
     return classes.select("node", "least").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
 
 
