@@ -77,3 +77,32 @@ def test_replies_go_on_after_a_restart(spark, tmp_path):
         spark.createDataFrame(rows, "id string, parent string").coalesce(1).write.mode("append").parquet(where[0])
         made = collect_edges(where[0], spark.read.parquet(where[0]), where[1], where[2], spread=2)
     assert sorted(map(tuple, made.collect())) == [("a", "b"), ("b", "c")]
+
+
+def test_a_child_is_forgotten_after_its_time():
+    """The state step alone, with a state of its own."""
+    import pandas as pd
+
+    from threadloom.streaming.replies import _step
+
+    class State:
+        exists, hasTimedOut, get, after = False, False, None, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def setTimeoutDuration(self, ms):
+            self.after = ms
+
+    def fed(state, *children):
+        return [tuple(r) for out in _step(50)(("p", 0), iter([pd.DataFrame({"child": list(children)}, dtype="object")]), state) for r in out.itertuples(index=False)]
+
+    state = State()
+    assert fed(state, "c", "c") == [] and state.get == (False, ["c"]) and state.after == 50
+    state.hasTimedOut = True
+    assert fed(state) == [] and not state.exists
+    state.hasTimedOut = False
+    assert fed(state, None) == [] and fed(state, "late") == [("p", "late")]

@@ -56,10 +56,14 @@ def reply_edges(messages: DataFrame, wait_ms: int | None = None, spread: int = S
     return rows.groupBy("key", "slot").applyInPandasWithState(_step(wait_ms), EDGES, "known boolean, waiting array<string>", "append", timeout)
 
 
-def collect_edges(folder: str, source: DataFrame, target: str, checkpoint: str, files: int = 1, **settings) -> DataFrame:
-    """Streams the Parquet files below ``folder`` (of ``source``'s columns), ``files`` a batch, into edges at ``target``."""
+def collect_edges(folder: str, source: DataFrame, target: str, checkpoint: str, files: int = 1, spread: int = SPREAD) -> DataFrame:
+    """Streams the Parquet files below ``folder`` (of ``source``'s columns), ``files`` a batch, into edges at ``target``.
+
+    It ends with the last file, so nothing waits for a limited time here: with processing-time timeouts Spark plans batches
+    without end. Use ``reply_edges`` with ``wait_ms`` in a query that goes on running.
+    """
     spark = source.sparkSession
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(folder)
-    sink = reply_edges(stream, **settings).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+    sink = reply_edges(stream, spread=spread).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
     sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(EDGES).parquet(target)
