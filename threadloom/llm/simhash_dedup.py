@@ -48,9 +48,9 @@ STAGE_LIMIT = 57
 SIMILAR = 0.8
 #: Share of candidates of just that similarity that the sampled masks meet.
 MET = 0.999
-#: Spanning forests of candidates that an upper node hands to the exact test, in each of two rounds; the first round
-#: takes every other mask.
-FORESTS = 4
+#: Spanning forests of candidates that an upper node hands to the exact test in each of two rounds. The first round, over
+#: every other mask, joins what its nearest candidates join; the second offers what is left apart several ways to each other.
+FORESTS = (1, 4)
 #: An upper node over so many codes is split by finer masks, at most so many times.
 CROWD = 1024
 DEPTH = 2
@@ -324,10 +324,10 @@ def similar_groups(
 
     Candidates come from the index over ``lanes`` x 64 bits (at most ``limit`` differing); a candidate is a link if the
     exact similarity of its shingle sets is ``least`` or more. One forest of candidates would lose links, as a candidate that
-    fails the test can stand for one that would pass, and all candidates of a large group are too many. So every node hands
-    on ``FORESTS`` forests without a common pair, nearest first; what passes joins sets, and a second round does the same
-    between the sets. The number of tests grows with the documents, not with the pairs of a group. Equal fingerprints
-    count as equal texts.
+    fails the test can stand for one that would pass, and all candidates of a large group are too many. So a first round's
+    forest joins sets, and in a second one every node hands on several forests between the sets, without a common pair and
+    nearest first (``FORESTS``). The number of tests grows with the documents, not with the pairs of a group. Equal
+    fingerprints count as equal texts.
     """
     names = _lanes(lanes)
     rows = fingerprints(docs, width, lanes).groupBy(*names, "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -336,19 +336,18 @@ def similar_groups(
     ends = [f"{end}{k or ''}" for end in "uv" for k in range(lanes)]
     masks = sampled_masks(classes.count(), lanes, least)
 
-    def similar(codes: DataFrame, masks: list[tuple[int, ...]], linker) -> DataFrame:
+    def similar(codes: DataFrame, masks: list[tuple[int, ...]], forests: int) -> DataFrame:
         placed = _placed(codes, masks, lambda m: _drawn(16, 6, m), crowd)
-        found = placed.mapInArrow(linker, ", ".join(f"{c} bigint" for c in ends))
+        found = placed.mapInArrow(_linker(limit, lanes, forests=forests), ", ".join(f"{c} bigint" for c in ends))
         nodes = found.select(F.xxhash64(*ends[:lanes]).alias("a"), F.xxhash64(*ends[lanes:]).alias("b"))
         pairs = materialise(nodes.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
         return similar_pairs(docs, classes, pairs, width, least)
 
-    linker = _linker(limit, lanes, forests=FORESTS)
-    near = materialise(similar(classes.select(*names, F.col("node").alias("label")), masks[::2], linker))
+    near = materialise(similar(classes.select(*names, F.col("node").alias("label")), masks[::2], FORESTS[0]))
     sets = classes.select("node", *names).join(components(near).hint("merge"), "node", "left")
     labelled = materialise(sets.select("node", *names, F.coalesce("root", "node").alias("label")))
     stars = labelled.where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v"))  # the first round's links, spanned
-    roots = components(stars.unionByName(similar(labelled.drop("node"), masks, linker)))
+    roots = components(stars.unionByName(similar(labelled.drop("node"), masks, FORESTS[1])))
     return classes.select("node", "least").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
 
 
