@@ -243,6 +243,41 @@ def test_stage_loses_no_link_of_a_family(spark):
     assert want <= kept and len(kept - want) <= 0.03 * (len(texts) - len(want))
 
 
+@pytest.mark.parametrize("limit", [simhash_dedup.STAGE_LIMIT, -1])
+def test_stage_finds_every_link(spark, limit):
+    """Groups are those of all links, also of sets that no fingerprint brings together (-1: of none at all), against all pairs."""
+    import random
+
+    rng = random.Random(37)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(3, 8)))
+    texts = []
+    for _ in range(12):
+        w = [word() for _ in range(rng.choice([8, 40, 150, 200]))]
+        for _ in range(25):
+            v = list(w)
+            for at in rng.sample(range(len(v)), rng.randint(0, min(7, len(v)))):
+                v[at] = word()
+            texts.append(" ".join(v[rng.randint(0, 3) :]))
+    # sets that are similar under far fingerprints, as a repeated line outweighs all else; and different ones under equal fingerprints
+    for _ in range(5):
+        base = " ".join(word() for _ in range(150))
+        texts += [base + " " + f"{word()} {word()} {word()} " * 400 for _ in range(4)]
+        line = f"{word()} " * 2000
+        texts += [line + " ".join(word() for _ in range(20)) for _ in range(4)]
+    texts += ["", None, " ", "one two", "ONE two", "one three"]
+
+    def shingles(t):
+        w = lower(t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    grams = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])]
+    root = sets(len(texts), pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_dedup.survivors(docs, limit=limit).collect()}
+    assert kept == {i for i, r in enumerate(root) if i == r}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (-5, -7), (3, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}

@@ -148,32 +148,6 @@ class Index:
             right += v
         return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
-    def forests(self, limit: int, label: np.ndarray, times: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions of pairs of at most ``limit`` differing bits that span the components inside every bucket ``times`` times.
-
-        Rows of one label are one set from the start. No two forests share a pair, so a set is offered its ``times`` nearest
-        ways to the others at least; a bucket returns at most ``times`` pairs a member.
-        """
-        held = np.unique(self.home * (int(label.max(initial=0)) + 1) + label, return_index=True, return_inverse=True)
-        sets = []
-        for _ in range(times):
-            sets.append(_Sets(len(self.lanes)))
-            sets[-1].label = held[1][held[2]]
-        own = sets[0].label.copy()
-        for a, b, away in self._near(limit, lambda: own):
-            apart = own[a] != own[b]
-            a, b, away = a[apart], b[apart], away[apart]
-            order = np.argsort(away, kind="stable")
-            a, b = a[order], b[order]
-            for forest in sets:
-                u, v = forest.union(a, b)
-                if not u:
-                    break
-                u, v = np.array(u), np.array(v)
-                yield u, v
-                left = ~np.isin(a * len(self.lanes) + b, u * len(self.lanes) + v)
-                a, b = a[left], b[left]
-
 
 def _crowded(bucket: np.ndarray) -> np.ndarray:
     """Positions in buckets of two rows or more."""
@@ -190,11 +164,3 @@ def bucket_links(bucket: np.ndarray, lanes: np.ndarray, limit: int) -> tuple[np.
     index = Index(bucket[shared], lanes[shared])
     a, b = index.forest(limit)
     return shared[a], shared[b], index.visited, index.pruned
-
-
-def bucket_forests(bucket: np.ndarray, lanes: np.ndarray, label: np.ndarray, limit: int, times: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs that span the near rows of every bucket ``times`` times (positions), in blocks; rows sorted as above."""
-    shared = _crowded(bucket)
-    if len(shared):
-        for a, b in Index(bucket[shared], lanes[shared]).forests(limit, np.unique(label[shared], return_inverse=True)[1], times):
-            yield shared[a], shared[b]

@@ -7,7 +7,8 @@
    mask, whose pattern is the upper node of the index: codes with the same masked bits stand under the same node.
    ``exact_masks``: two codes of at most ``limit`` differing bits agree on at least two of ``limit + 2`` segments, so one
    mask per pair of segments finds every link; more codes take more and narrower segments. ``sampled_masks``: bits drawn at
-   random from all lanes, for links of more differing bits than pigeonholes reach.
+   random from all lanes, for links of more differing bits than pigeonholes reach. The stage joins most sets by them; an
+   exact join over shingles finds the other links (``meeting_pairs``).
 4. Codes are dealt out by upper node and sorted by Gray rank; each task descends its nodes and prunes whole groups by
    accumulated differences (``hamming_index``). A node returns at most (members - 1) links, which span its components.
 5. An upper node of very many codes is split by finer masks, which multiply its rows by a constant, whatever its size.
@@ -34,23 +35,23 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import ascii_lower, join_spread, let, materialise, table, words_of
 from threadloom.llm.components import components
-from threadloom.llm.hamming_index import bucket_forests, bucket_links
+from threadloom.llm.hamming_index import bucket_links
 
 LIMIT = 4
 WIDTH = 4
 SEED = 42
-#: The stage: five-word shingles, four lanes, and an exact check of candidates. Two texts that are just similar differ
-#: in 38.8 of the 256 bits on average, with a deviation of 5.7, so 999 of 1000 such pairs stay within the limit. Of wider
-#: fingerprints fewer pairs below that similarity do: half as many of 256 bits as of 128 in a large group of near copies.
+#: The stage: five-word shingles and four lanes. Two texts that are just similar differ in 38.8 of the 256 bits on average,
+#: with a deviation of 5.7, so 999 of 1000 such pairs stay within the limit. What the index misses, the exact join finds.
 STAGE_WIDTH = 5
 STAGE_LANES = 4
 STAGE_LIMIT = 57
 SIMILAR = 0.8
-#: Share of candidates of just that similarity that the sampled masks meet.
+#: Share of candidates of just that similarity that the sampled masks meet; the stage takes every other mask.
 MET = 0.999
-#: Spanning forests of candidates that an upper node hands to the exact test in each of two rounds. The first round, over
-#: every other mask, joins what its nearest candidates join; the second offers what is left apart several ways to each other.
-FORESTS = (1, 4)
+#: Bounds are widened by so much, so that rounding drops no pair.
+_SLACK = 1e-6
+#: One more shared shingle is asked of a set's first ones for each so many that it holds.
+_LEAD = 10
 #: An upper node over so many codes is split by finer masks, at most so many times.
 CROWD = 1024
 DEPTH = 2
@@ -102,8 +103,9 @@ def _fingerprints(width: int, lanes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes = np.array([fingerprint(t.as_py(), width, lanes) for t in b.column("text")], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
-            cols = [b.column("doc_id"), b.column("key"), *[pa.array(np.ascontiguousarray(codes[:, k])) for k in range(lanes)]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", *_lanes(lanes)])
+            kept = [c for c in b.schema.names if c != "text"]
+            cols = [*map(b.column, kept), *[pa.array(np.ascontiguousarray(codes[:, k])) for k in range(lanes)]]
+            yield pa.RecordBatch.from_arrays(cols, [*kept, *_lanes(lanes)])
 
     return run
 
@@ -112,11 +114,11 @@ def _lanes(lanes: int) -> list[str]:
     return ["code", *[f"code{k}" for k in range(1, lanes)]]
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH, lanes: int = 1) -> DataFrame:
-    """(doc_id, key, code, ...) per row; key is a hash of the text as it is, each code a lane as a signed 64-bit number."""
-    keyed = docs.select("doc_id", "text", F.xxhash64(docs["text"]).alias("key"))
-    made = ", ".join(f"{c} bigint" for c in _lanes(lanes))
-    return keyed.mapInArrow(_fingerprints(width, lanes), f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint, {made}")
+def fingerprints(docs: DataFrame, width: int = WIDTH, lanes: int = 1, more: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, key, ``more``, code, ...) per row; key is a hash of the text as it is, each code a lane as a signed 64-bit number."""
+    keyed = docs.select("doc_id", "text", F.xxhash64(docs["text"]).alias("key"), *more)
+    made = ", ".join([f"{c} {kind}" for c, kind in keyed.dtypes if c != "text"] + [f"{c} bigint" for c in _lanes(lanes)])
+    return keyed.mapInArrow(_fingerprints(width, lanes), made)
 
 
 def _signed(x: int) -> int:
@@ -172,22 +174,15 @@ def _gray_rank(code: str) -> Column:
     return r
 
 
-def _linker(limit: int, lanes: int, counts: bool = False, forests: int = 0):
-    """Links of every upper node: a forest of them, or with ``forests`` so many that share no pair, between rows of different labels."""
-    names = [f"{end}{k or ''}" for end in "uv" for k in range(lanes)]
+def _linker(limit: int, lanes: int, name: str = "code", counts: bool = False):
+    """A forest of links of every upper node, each end by its column ``name``."""
 
-    def found(bucket: np.ndarray, codes: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if forests:
-            met = bucket_forests(bucket, codes, label, limit, forests)
-        else:
-            a, b, visited, pruned = bucket_links(bucket, codes, limit)
-            met = [(a, b)]
+    def found(bucket: np.ndarray, codes: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b, visited, pruned = bucket_links(bucket, codes, limit)
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (visited, pruned, len(a))], ["groups", "pruned", "links"])
-            return
-        pairs = codes.view(np.int64)
-        for a, b in met:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[x, k])) for x in (a, b) for k in range(lanes)], names)
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by upper node and Gray rank; a node may span batches."""
@@ -201,7 +196,7 @@ def _linker(limit: int, lanes: int, counts: bool = False, forests: int = 0):
                 continue
             bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
             codes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _lanes(lanes)], axis=1).view(np.uint64)
-            rows = (bucket, codes, batch.column("label").to_numpy(zero_copy_only=False) if forests else bucket)
+            rows = (bucket, codes, batch.column(name).to_numpy(zero_copy_only=False))
             last = int(np.searchsorted(bucket, bucket[-1]))
             if last or (held and held[-1][0][-1] != bucket[0]):
                 yield from out(*[x[:last] for x in rows])
@@ -301,53 +296,114 @@ def grams(text: Column, width: int) -> Column:
     return let(words_of(ascii_lower(text)), of)
 
 
+def _need(n: Column, least: float) -> Column:
+    """What a set of ``n`` shingles shares at least with any that is similar to it."""
+    return F.ceil(F.lit(least) * n - F.lit(_SLACK))
+
+
+def _lead(n: Column) -> Column:
+    return F.lit(1) + F.floor(n / F.lit(_LEAD))
+
+
+def _described(text: Column, width: int, least: float) -> Column:
+    """A text's set of shingles: its hash (node), its size (n) and, in one order for all sets, its first shingles (p).
+
+    Of the shingles of two similar sets that both hold, the first stand among the first n - need(n) + 1 of either.
+    """
+
+    def of(g: Column) -> Column:
+        n = F.size(g)
+        first = F.slice(g, F.lit(1), (n - _need(n, least) + _lead(n)).cast("int"))
+        return F.struct(F.xxhash64(g).alias("node"), n.alias("n"), first.alias("p"))
+
+    return let(F.sort_array(grams(text, width)), of)
+
+
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, g): the shingles of the representatives of ``nodes``; ``classes`` holds node and the representative's doc_id and key."""
+    asked = classes.join(nodes.hint("merge"), "node").select("node", F.col("least.doc_id").alias("id"), F.col("least.key").alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.xxhash64("text"))
+    texts = docs.select("doc_id", "text").join(asked.hint("merge"), same).select("node", grams(F.col("text"), width).alias("g"))
+    return texts.groupBy("node").agg(F.first("g").alias("g"))  # repeated rows have the same set
+
+
 def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
     """The ``pairs`` (u, v: nodes) whose representatives' shingle sets have a Jaccard similarity of ``least`` or more.
 
-    ``classes`` holds node and the representative's doc_id and key; only texts of linked nodes are cut into shingles.
+    Only texts of linked nodes are cut into shingles.
     """
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    asked = classes.join(ends, "node").select("node", F.col("least.doc_id").alias("id"), F.col("least.key").alias("hash"))
-    plain = docs.select("doc_id", "text")
-    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.xxhash64("text"))
-    texts = plain.join(asked.hint("merge"), same).select("node", grams(F.col("text"), width).alias("g"))
-    sets = materialise(texts.groupBy("node").agg(F.first("g").alias("g")))  # repeated rows have the same set
+    sets = materialise(_sets(docs, classes, ends, width))
     left, right = sets.select(F.col("node").alias("u"), F.col("g").alias("a")), sets.select(F.col("node").alias("v"), F.col("g").alias("b"))
     both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").withColumn("common", F.size(F.array_intersect("a", "b")))
     return both.where(F.col("common") >= F.lit(least) * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
 
 
+def _apart(posts: DataFrame) -> DataFrame:
+    """``posts`` (node, label, n, x) of the shingles x that nodes of several labels hold, with f, the number of their nodes."""
+    held = posts.groupBy("x").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("f"))
+    return posts.join(held.where("low <> high").select("x", "f").hint("merge"), "x")
+
+
+def meeting_pairs(docs: DataFrame, classes: DataFrame, firsts: DataFrame, width: int, least: float) -> DataFrame:
+    """(u, v): pairs of nodes of different labels; no pair of a similarity of ``least`` or more is missing.
+
+    ``firsts`` holds node, label, n and p (``_described``). Three bounds leave few pairs, all without loss:
+
+    1. Similar sets of n and m shingles share need(n) of them, so a share of those in p, which are known before the rest.
+    2. A set of which fewer than need(n) shingles are held under other labels has no link that is not known.
+    3. With a set's shingles from rare to frequent, the first one that two similar sets share stands so early in both
+       that what follows suffices.
+    """
+    n = F.col("n")
+    led = _apart(firsts.select("node", "label", "n", F.explode("p").alias("x"))).groupBy("node", "label").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    alive = materialise(led.where(F.col("m") >= _lead(_need(n, least))).select("node", "label"))
+    whole = materialise(_sets(docs, classes, alive.select("node"), width).join(alive.hint("merge"), "node"))
+    posts = whole.select("node", "label", F.size("g").alias("n"), F.explode("g").alias("x"))
+    rare = _apart(posts).groupBy("node", "label").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "x"))).alias("o"))
+    early = rare.withColumn("spare", F.size("o") - _need(n, least)).where("spare >= 0")
+    at = F.posexplode(F.slice("o", F.lit(1), (F.col("spare") + 1).cast("int"))).alias("i", "e")
+    ranked = materialise(early.select("node", "label", "n", (n - F.size("o")).alias("before"), at).select("node", "label", "n", (n - F.col("before") - F.col("i")).alias("rest"), "e.x"))
+    # a shingle's holders of its commonest label do not meet each other
+    each = ranked.groupBy("x", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("x").agg(F.max(F.struct("k", "label")).alias("top"))
+    placed = ranked.join(each.select("x", F.col("top.label").alias("top")).hint("merge"), "x")
+    a, b = placed.where("label <> top").alias("a"), placed.alias("b")
+    enough = F.least("a.rest", "b.rest") >= F.lit(least / (1 + least)) * (F.col("a.n") + F.col("b.n")) - F.lit(_SLACK)
+    once = (F.col("b.label") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))
+    met = a.join(b.hint("merge"), (F.col("a.x") == F.col("b.x")) & (F.col("a.label") != F.col("b.label")) & once & enough)
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
 def similar_groups(
     docs: DataFrame, width: int = STAGE_WIDTH, lanes: int = STAGE_LANES, limit: int = STAGE_LIMIT, least: float = SIMILAR, crowd: int = CROWD
 ) -> DataFrame:
-    """(root, least) per distinct fingerprint: its group of near duplicates, and the row that speaks for it (doc_id, key, n).
-
-    Candidates come from the index over ``lanes`` x 64 bits (at most ``limit`` differing); a candidate is a link if the
-    exact similarity of its shingle sets is ``least`` or more. One forest of candidates would lose links, as a candidate that
-    fails the test can stand for one that would pass, and all candidates of a large group are too many. So a first round's
-    forest joins sets, and in a second one every node hands on several forests between the sets, without a common pair and
-    nearest first (``FORESTS``). The number of tests grows with the documents, not with the pairs of a group. Equal
-    fingerprints count as equal texts.
+    """(root, least) per distinct set of shingles: its group of near duplicates, and the row that speaks for it (doc_id, key, n).
+
+    Sets are linked if their similarity is ``least`` or more; a group is all that chains of links reach. The index over
+    ``lanes`` x 64 bits hands on a forest of candidates (at most ``limit`` differing), and those that pass the exact test
+    join most sets. It may miss links, so an exact join follows over what it left apart (``meeting_pairs``): every link
+    between two of its sets is found there, and pairs within one of them need no test. So groups are those of all links,
+    whatever the index met. Only texts of equal sets count as equal, not those of equal fingerprints.
     """
     names = _lanes(lanes)
-    rows = fingerprints(docs, width, lanes).groupBy(*names, "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    described = _described(docs["text"], width, least).alias("set")
+    made = materialise(fingerprints(docs, width, lanes, (described,)).select("doc_id", "key", *names, "set.*"))
+    rows = made.groupBy("node", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in names])
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "n")
-    classes = materialise(rows.groupBy(*names).agg(F.min(row).alias("least")).withColumn("node", F.xxhash64(*names)))
-    ends = [f"{end}{k or ''}" for end in "uv" for k in range(lanes)]
-    masks = sampled_masks(classes.count(), lanes, least)
-
-    def similar(codes: DataFrame, masks: list[tuple[int, ...]], forests: int) -> DataFrame:
-        placed = _placed(codes, masks, lambda m: _drawn(16, 6, m), crowd)
-        found = placed.mapInArrow(_linker(limit, lanes, forests=forests), ", ".join(f"{c} bigint" for c in ends))
-        nodes = found.select(F.xxhash64(*ends[:lanes]).alias("a"), F.xxhash64(*ends[lanes:]).alias("b"))
-        pairs = materialise(nodes.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-        return similar_pairs(docs, classes, pairs, width, least)
-
-    near = materialise(similar(classes.select(*names, F.col("node").alias("label")), masks[::2], FORESTS[0]))
-    sets = classes.select("node", *names).join(components(near).hint("merge"), "node", "left")
-    labelled = materialise(sets.select("node", *names, F.coalesce("root", "node").alias("label")))
-    stars = labelled.where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v"))  # the first round's links, spanned
-    roots = components(stars.unionByName(similar(labelled.drop("node"), masks, FORESTS[1])))
+    classes = materialise(rows.groupBy("node").agg(F.min(row).alias("least"), *[F.first(c).alias(c) for c in names]))
+    codes = materialise(classes.groupBy(*names).agg(F.min("node").alias("node")))
+    placed = _placed(codes, sampled_masks(classes.count(), lanes, least)[::2], lambda m: _drawn(16, 6, m), crowd)
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        return materialise(similar_pairs(docs, classes, materialise(pairs), width, least))
+
+    found = placed.mapInArrow(_linker(limit, lanes, "node"), "u bigint, v bigint")
+    near = tested(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    roots = components(near)
+    labelled = materialise(classes.select("node").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("label")))
+    firsts = made.groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p")).join(labelled.hint("merge"), "node")
+    stars = labelled.where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v"))  # links of the index, spanned
+    roots = components(stars.unionByName(tested(meeting_pairs(docs, classes, firsts, width, least))))
     return classes.select("node", "least").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
 
 
@@ -360,8 +416,8 @@ def survivors(docs: DataFrame, **settings) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id (of repeated rows, one).
 
-    Near duplicates are texts whose sets of five-word shingles have a similarity of 0.8 or more, found from SimHash
-    candidates (``survivors``), and chains of such texts. Rows are told apart by doc_id and text: an id is null only where
+    Near duplicates are texts whose sets of five-word shingles have a similarity of 0.8 or more, and chains of such texts;
+    none is missed (``similar_groups``). Rows are told apart by doc_id and text: an id is null only where
     a group has no other, and neither null nor repeated ids mix up groups. Of one id's texts in a group, the one with the
     smallest hash stays. Null texts are empty, and of all texts without words one stays; an empty table gives an empty
     one; all columns come through, whatever their names.
