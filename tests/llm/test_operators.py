@@ -278,6 +278,58 @@ def test_stage_finds_every_link(spark, limit):
     assert kept == {i for i, r in enumerate(root) if i == r}
 
 
+def test_stage_disk(spark, tmp_path):
+    """What the stage holds on disk at once stays under four times its input, and little of it outlives the stage."""
+    import os
+    import random
+    import threading
+
+    from threadloom.llm.common import own_folder
+
+    rng = random.Random(41)
+    word = ["".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(word) for _ in range(600)) for _ in range(2000)]
+    texts += [t + " more" for t in texts[:400]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    size = sum(p.stat().st_size for p in (tmp_path / "docs").glob("*.parquet"))
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    places = [*local, own_folder(spark).removeprefix("file:")]
+
+    def files():
+        out = {}
+        for place in places:
+            for at, _, names in os.walk(place):
+                for name in names:
+                    try:
+                        out[f"{at}/{name}"] = os.path.getsize(f"{at}/{name}")
+                    except FileNotFoundError:
+                        pass
+        return out
+
+    there, most, over = set(files()), [], threading.Event()
+    new = lambda: sum(n for name, n in files().items() if name not in there)
+
+    def watch():
+        while not over.wait(0.05):
+            most.append(new())
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        kept = simhash_dedup.survivors(docs)
+    finally:
+        over.set()
+        watcher.join()
+    assert {r.doc_id for r in kept.collect()} == set(range(2000))
+    for _ in range(100):  # shuffle files go in the background
+        if new() < 0.5 * size:
+            break
+        over.clear()
+        over.wait(0.1)
+    assert max(most) < 4 * size and new() < 0.5 * size, (max(most) / size, new() / size)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (-5, -7), (3, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}

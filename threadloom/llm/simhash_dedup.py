@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ascii_lower, join_spread, let, materialise, table, words_of
+from threadloom.llm.common import ascii_lower, join_spread, let, materialise, release, table, tidy, words_of
 from threadloom.llm.components import components
 from threadloom.llm.hamming_index import bucket_links
 
@@ -52,6 +52,8 @@ MET = 0.999
 _SLACK = 1e-6
 #: One more shared shingle is asked of a set's first ones for each so many that it holds.
 _LEAD = 10
+#: Bits of a first shingle. A chance meeting keeps a set in the running and loses none; 40 leave one in 500 shingles at 30 GB.
+_FIRST_BITS = 40
 #: An upper node over so many codes is split by finer masks, at most so many times.
 CROWD = 1024
 DEPTH = 2
@@ -306,7 +308,7 @@ def _lead(n: Column) -> Column:
 
 
 def _described(text: Column, width: int, least: float) -> Column:
-    """A text's set of shingles: its hash (node), its size (n) and, in one order for all sets, its first shingles (p).
+    """A text's set of shingles: its hash (node), its size (n) and, in one order for all sets, its first shingles, shortened (p).
 
     Of the shingles of two similar sets that both hold, the first stand among the first n - need(n) + 1 of either.
     """
@@ -314,7 +316,8 @@ def _described(text: Column, width: int, least: float) -> Column:
     def of(g: Column) -> Column:
         n = F.size(g)
         first = F.slice(g, F.lit(1), (n - _need(n, least) + _lead(n)).cast("int"))
-        return F.struct(F.xxhash64(g).alias("node"), n.alias("n"), first.alias("p"))
+        short = F.transform(first, lambda x: F.shiftrightunsigned(x, 64 - _FIRST_BITS))
+        return F.struct(F.xxhash64(g).alias("node"), n.alias("n"), short.alias("p"))
 
     return let(F.sort_array(grams(text, width)), of)
 
@@ -336,7 +339,9 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width:
     sets = materialise(_sets(docs, classes, ends, width))
     left, right = sets.select(F.col("node").alias("u"), F.col("g").alias("a")), sets.select(F.col("node").alias("v"), F.col("g").alias("b"))
     both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").withColumn("common", F.size(F.array_intersect("a", "b")))
-    return both.where(F.col("common") >= F.lit(least) * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
+    out = materialise(both.where(F.col("common") >= F.lit(least) * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v"))
+    release(sets)
+    return out
 
 
 def _apart(posts: DataFrame) -> DataFrame:
@@ -345,10 +350,10 @@ def _apart(posts: DataFrame) -> DataFrame:
     return posts.join(held.where("low <> high").select("x", "f").hint("merge"), "x")
 
 
-def meeting_pairs(docs: DataFrame, classes: DataFrame, firsts: DataFrame, width: int, least: float) -> DataFrame:
+def meeting_pairs(docs: DataFrame, classes: DataFrame, firsts: DataFrame, labelled: DataFrame, width: int, least: float) -> DataFrame:
     """(u, v): pairs of nodes of different labels; no pair of a similarity of ``least`` or more is missing.
 
-    ``firsts`` holds node, label, n and p (``_described``). Three bounds leave few pairs, all without loss:
+    ``firsts`` holds node, n and p (``_described``), ``labelled`` node and label. Three bounds leave few pairs, all without loss:
 
     1. Similar sets of n and m shingles share need(n) of them, so a share of those in p, which are known before the rest.
     2. A set of which fewer than need(n) shingles are held under other labels has no link that is not known.
@@ -356,14 +361,20 @@ def meeting_pairs(docs: DataFrame, classes: DataFrame, firsts: DataFrame, width:
        that what follows suffices.
     """
     n = F.col("n")
-    led = _apart(firsts.select("node", "label", "n", F.explode("p").alias("x"))).groupBy("node", "label").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m"))
-    alive = materialise(led.where(F.col("m") >= _lead(_need(n, least))).select("node", "label"))
+    # most shingles are held once, so they go before labels are looked at
+    seen = firsts.select("node", F.explode("p").alias("x"))
+    twice = seen.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("x")
+    shared = materialise(seen.join(twice.hint("merge"), "x"))
+    led = _apart(shared.join(labelled.hint("merge"), "node")).groupBy("node", "label").agg(F.count(F.lit(1)).alias("m"))
+    alive = materialise(led.join(firsts.select("node", "n").hint("merge"), "node").where(F.col("m") >= _lead(_need(n, least))).select("node", "label"))
+    release(shared)
     whole = materialise(_sets(docs, classes, alive.select("node"), width).join(alive.hint("merge"), "node"))
     posts = whole.select("node", "label", F.size("g").alias("n"), F.explode("g").alias("x"))
     rare = _apart(posts).groupBy("node", "label").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "x"))).alias("o"))
     early = rare.withColumn("spare", F.size("o") - _need(n, least)).where("spare >= 0")
     at = F.posexplode(F.slice("o", F.lit(1), (F.col("spare") + 1).cast("int"))).alias("i", "e")
     ranked = materialise(early.select("node", "label", "n", (n - F.size("o")).alias("before"), at).select("node", "label", "n", (n - F.col("before") - F.col("i")).alias("rest"), "e.x"))
+    release(whole)
     # a shingle's holders of its commonest label do not meet each other
     each = ranked.groupBy("x", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("x").agg(F.max(F.struct("k", "label")).alias("top"))
     placed = ranked.join(each.select("x", F.col("top.label").alias("top")).hint("merge"), "x")
@@ -371,7 +382,9 @@ def meeting_pairs(docs: DataFrame, classes: DataFrame, firsts: DataFrame, width:
     enough = F.least("a.rest", "b.rest") >= F.lit(least / (1 + least)) * (F.col("a.n") + F.col("b.n")) - F.lit(_SLACK)
     once = (F.col("b.label") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))
     met = a.join(b.hint("merge"), (F.col("a.x") == F.col("b.x")) & (F.col("a.label") != F.col("b.label")) & once & enough)
-    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    out = materialise(met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct())
+    release(ranked)
+    return out
 
 
 def similar_groups(
@@ -391,26 +404,28 @@ def similar_groups(
     rows = made.groupBy("node", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in names])
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "n")
     classes = materialise(rows.groupBy("node").agg(F.min(row).alias("least"), *[F.first(c).alias(c) for c in names]))
+    firsts = materialise(made.groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p")))
+    release(made)
     codes = materialise(classes.groupBy(*names).agg(F.min("node").alias("node")))
     placed = _placed(codes, sampled_masks(classes.count(), lanes, least)[::2], lambda m: _drawn(16, 6, m), crowd)
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        return materialise(similar_pairs(docs, classes, materialise(pairs), width, least))
-
     found = placed.mapInArrow(_linker(limit, lanes, "node"), "u bigint, v bigint")
-    near = tested(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    candidates = materialise(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    near = similar_pairs(docs, classes, candidates, width, least)
     roots = components(near)
     labelled = materialise(classes.select("node").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("label")))
-    firsts = made.groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p")).join(labelled.hint("merge"), "node")
     stars = labelled.where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v"))  # links of the index, spanned
-    roots = components(stars.unionByName(tested(meeting_pairs(docs, classes, firsts, width, least))))
+    apart = similar_pairs(docs, classes, meeting_pairs(docs, classes, firsts, labelled, width, least), width, least)
+    release(firsts)
+    roots = components(stars.unionByName(apart))
     return classes.select("node", "least").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
 
 
 def survivors(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, key, n): the row that stays for each group of near duplicates, and how often ``docs`` repeats it."""
-    grouped = similar_groups(docs, **settings).groupBy("root").agg(F.min("least").alias("least"))
-    return materialise(grouped.select("least.doc_id", "least.key", "least.n"))
+    with tidy(docs.sparkSession):
+        grouped = similar_groups(docs, **settings).groupBy("root").agg(F.min("least").alias("least"))
+        return materialise(grouped.select("least.doc_id", "least.key", "least.n"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
