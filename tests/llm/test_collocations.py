@@ -2,7 +2,10 @@
 
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +78,46 @@ def test_long_text_is_read_in_slices(spark, monkeypatch):
     assert sorted(map(tuple, out)) == plain([r[1:] for r in rows])
 
 
+def test_many_languages_in_small_parts(spark):
+    """All languages together fill the blocks, and the pointers of a prefix leave in several batches."""
+    rows = [(i, r[1], f"l{i % 30}") for i, r in enumerate(texts(7, 300))]
+    out = collocations.collocations(spark.createDataFrame(rows, SCHEMA).repartition(2), least=3, block=40, part=7, chunk=20)
+    want = plain([r[1:] for r in rows], least=3)
+    assert sorted(map(tuple, out.collect())) == want and len({r[0] for r in want}) > 20
+
+
+TASK = """
+import random
+import pyarrow as pa
+from threadloom.llm import collocations as c
+
+class Known:
+    value = {}
+
+def held(what):
+    return int(next(x for x in open("/proc/self/status") if x.startswith(what)).split()[1]) / 1024
+
+def batches(n):
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(50_000)]
+    for _ in range(n):
+        text = " ".join(words[min(int(rng.paretovariate(0.6)), 49_999)] for _ in range(100_000))
+        yield pa.record_batch([["en"], [text]], ["lang", "text"])
+
+small, before, most = list(batches(1)), held("VmRSS:"), 0
+for f in (c._count(c.LONGEST, c.HOT, c.SLACK, c.BLOCK), c._project(c.LONGEST, c.BLOCK, Known)):
+    for out in f(batches(25)):
+        most = max(most, out.nbytes)
+print(held("VmHWM:") - before, most / 1e6)
+"""
+
+
+def test_memory_of_a_task():
+    """Two and a half million words of one language: memory is that of a block, and no batch is large."""
+    mb, most = map(float, subprocess.run([sys.executable, "-c", TASK], capture_output=True, text=True, check=True, cwd=Path(collocations.__file__).parents[2]).stdout.split())
+    assert mb < 200 and most < 8, (mb, most)
+
+
 def test_large_numbers_are_exact(spark):
     """Scores are divided as whole numbers beyond 64 bits."""
     big = 2**62

@@ -42,11 +42,14 @@ HOT = 1 << 17
 GROUP = 1 << 16
 #: Blocks report phrases of more than so many occurrences.
 SLACK = 8
-#: Words that a block of texts holds, and bytes of a text that are cut at a time.
-BLOCK = 1 << 21
-SLICE = 1 << 22
+#: Words and end marks of one language in a block, blocks' worth of words that wait in all, and bytes of a text that are cut at a time.
+BLOCK = 1 << 19
+HELD = 4
+SLICE = 1 << 18
+#: Windows of a block whose pointers are written at a time.
+PART = 1 << 16
 #: Pointers that a task grows at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _END = b"\xff"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 255 if 10 <= c <= 13 or c in b".,;:!?" else c for c in range(256))
@@ -61,44 +64,53 @@ def slices(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[bytes]]]:
-    """(language, words with end marks) of some ``size`` words in all at a time."""
-    held, n = defaultdict(list), 0
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, bytes]]:
+    """(language, words with end marks, joined by blanks): some ``size`` words of a language, or its share when all have ``HELD`` times as many."""
+    held, n, total = defaultdict(list), defaultdict(int), 0
     for b in batches:
         texts = b.column("text").cast(pa.binary())
         for k, lang in enumerate(b.column("lang").to_pylist()):
             for words in slices(texts[k].as_py() or b""):
-                held[lang].extend(words)
-                n += len(words)
-                if n >= size:
-                    yield from held.items()
-                    held, n = defaultdict(list), 0
-    yield from held.items()
+                held[lang].append(b" ".join(words))
+                n[lang] += len(words)
+                total += len(words)
+                full = lang if n[lang] >= size else max(n, key=n.get) if total >= HELD * size else None
+                if full is not None:
+                    total -= n.pop(full)
+                    yield full, b" ".join(held.pop(full))
+    for lang in list(held):
+        yield lang, b" ".join(held.pop(lang))
 
 
 class Block:
     """Words of one language in one block, as numbers, with the words that follow each in its piece (-1: none)."""
 
-    def __init__(self, words: list[bytes], longest: int) -> None:
-        coded = pa.array(words, pa.binary()).dictionary_encode()
+    def __init__(self, words: bytes, longest: int) -> None:
+        coded = pc.split_pattern(pa.array([words], pa.binary()), " ").values.dictionary_encode()
         self.words = coded.dictionary
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         mark = pc.index(self.words, pa.scalar(_END, pa.binary())).as_py()
-        codes = np.append(codes, np.full(longest, mark))
-        starts = np.flatnonzero(codes != mark)
-        self.n = len(starts)
+        codes = np.append(coded.indices.to_numpy(zero_copy_only=False), np.full(longest, mark, np.int32))
+        starts = codes[:-longest] != mark
+        self.n = int(np.count_nonzero(starts))
         over = np.zeros(self.n, bool)
         self.next = []
         for k in range(longest):
-            c = codes[starts + k]
+            c = codes[k : k + len(starts)][starts]
             over |= c == mark
             self.next.append(np.where(over, -1, c))
 
-    def ranks(self, length: int) -> np.ndarray:
-        """Numbers of the phrases of ``length`` words that start at each word, in the order of their codes; short ones stand before."""
-        out = self.next[0]
+    def keys(self, length: int) -> np.ndarray:
+        """A number for the phrase of ``length`` words that starts at each word, in the order of their codes; short ones stand before."""
+        base = len(self.words) + 1
+        out, most = self.next[0] + np.int64(1), base
         for c in self.next[1:length]:
-            out = np.unique(out * (len(self.words) + 1) + c + 1, return_inverse=True)[1]
+            if most * base >= 1 << 63:
+                out = np.unique(out, return_inverse=True)[1]
+                most = self.n
+            out *= base
+            out += c
+            out += 1
+            most *= base
         return out
 
     def phrases(self, rows: np.ndarray, first: np.ndarray | int, end: np.ndarray | int) -> pa.Array:
@@ -133,7 +145,7 @@ def _count(longest: int, hot: int, slack: int, size: int):
             held = np.flatnonzero(n)
             yield rows(lang, b.words.take(pa.array(held)), 1, n[held])
             least, live = max(slack, b.n / hot), np.arange(b.n)
-            rank, counts = b.next[0], n
+            rank, counts = b.next[0].astype(np.int64), n
             for k in range(2, longest):  # a frequent phrase starts with a frequent one
                 live = live[(counts[rank[live]] > least) & (b.next[k - 1][live] >= 0)]
                 key, part, number = np.unique(rank[live] * len(b.words) + b.next[k - 1][live], return_inverse=True, return_counts=True)
@@ -161,8 +173,30 @@ def _hot_flags(b: Block, windows: np.ndarray, hot: list[pa.Array]) -> np.ndarray
     return depth
 
 
-def _project(longest: int, size: int, hot):
-    """Pointers of each block by prefix: the words that follow, one line each, and how often."""
+def _project(longest: int, size: int, hot, part: int = PART):
+    """Pointers of each block by prefix: the words that follow, one line each, and how often; ``part`` windows in a batch."""
+
+    def pointers(lang: str, b: Block, windows: np.ndarray, n: np.ndarray, known: list[pa.Array]) -> pa.RecordBatch:
+        depth = _hot_flags(b, windows, known)
+        held = sum((c[windows] >= 0).astype(np.int64) for c in b.next)
+        ended = held < depth  # the piece ends within a hot prefix
+        depth = np.minimum(depth, held)
+        new = np.zeros(len(windows), bool)
+        new[0] = True
+        new[1:] = depth[1:] != depth[:-1]
+        for k in range(longest):
+            c = np.where(k < depth, b.next[k][windows], -2)
+            new[1:] |= c[1:] != c[:-1]
+        heads = np.flatnonzero(new)
+        bounds = pa.array(np.append(heads, len(windows)).astype(np.int32))
+        lines = pc.binary_join(pa.ListArray.from_arrays(bounds, b.phrases(windows, depth, longest)), pa.scalar(b"\n", pa.binary()))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([lang] * len(heads), pa.string()), b.phrases(windows[heads], 0, depth[heads]).view(pa.string()), pa.array(ended[heads]),
+                lines.view(pa.string()), pa.ListArray.from_arrays(bounds, pa.array(n.astype(np.int64))),
+            ],
+            ["lang", "prefix", "ended", "lines", "n"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value
@@ -170,27 +204,9 @@ def _project(longest: int, size: int, hot):
             b = Block(words, longest)
             if not b.n:
                 continue
-            _, windows, n = np.unique(b.ranks(longest), return_index=True, return_counts=True)
-            depth = _hot_flags(b, windows, known.get(lang, []))
-            held = sum((c[windows] >= 0).astype(np.int64) for c in b.next)
-            ended = held < depth  # the piece ends within a hot prefix
-            depth = np.minimum(depth, held)
-            new = np.zeros(len(windows), bool)
-            new[0] = True
-            new[1:] = depth[1:] != depth[:-1]
-            for k in range(longest):
-                c = np.where(k < depth, b.next[k][windows], -2)
-                new[1:] |= c[1:] != c[:-1]
-            heads = np.flatnonzero(new)
-            bounds = pa.array(np.append(heads, len(windows)).astype(np.int32))
-            lines = pc.binary_join(pa.ListArray.from_arrays(bounds, b.phrases(windows, depth, longest)), pa.scalar(b"\n", pa.binary()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(heads), pa.string()), b.phrases(windows[heads], 0, depth[heads]).view(pa.string()), pa.array(ended[heads]),
-                    lines.view(pa.string()), pa.ListArray.from_arrays(bounds, pa.array(n.astype(np.int64))),
-                ],
-                ["lang", "prefix", "ended", "lines", "n"],
-            )
+            _, windows, n = np.unique(b.keys(longest), return_index=True, return_counts=True)
+            for at in range(0, len(windows), part):
+                yield pointers(lang, b, windows[at : at + part], n[at : at + part], known.get(lang, []))
 
     return run
 
@@ -309,7 +325,7 @@ def _key(lang: Column | str, phrase: Column | str) -> Column:
     return F.concat_ws("\n", phrase, lang)
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, hot: int = HOT, group: int = GROUP, slack: int = SLACK, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, hot: int = HOT, group: int = GROUP, slack: int = SLACK, block: int = BLOCK, part: int = PART, chunk: int = CHUNK) -> DataFrame:
     """(lang, phrase, k, n): phrases of up to ``longest`` words with ``least`` occurrences or more; k = 0: all words of a language."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
@@ -321,7 +337,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     for r in first.where(F.col("k").between(1, longest - 1) & (F.col("n") > max(group, words // hot))).collect():  # fewer than ``hot`` of each length
         found[r.lang][r.k - 1].append(r.phrase.encode())
     known = spark.sparkContext.broadcast({lang: [pa.array(x, pa.binary()) for x in sets] for lang, sets in found.items()})
-    rows = texts.mapInArrow(_project(longest, block, known), "lang string, prefix string, ended boolean, lines string, n array<bigint>")
+    rows = texts.mapInArrow(_project(longest, block, known, part), "lang string, prefix string, ended boolean, lines string, n array<bigint>")
     rows = rows.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
     longer = rows.mapInArrow(_grown(least, longest, chunk), schema).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return materialise(first.where("k < 2").unionByName(longer))
