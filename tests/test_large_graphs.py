@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.plain_graphs import brandes, louvain, modularity, neighbours
 from tests.test_graph import graph, pairs
@@ -91,6 +92,18 @@ def test_communities_by_joins(spark, rows):
     assert got.communities == len(set(part.values())) and abs(got.modularity - modularity(rows, part)) < 1e-6
 
 
+def test_rounds_do_not_blow_up_the_guessed_size(spark):
+    """Spark guesses a join's size as a product; carried over rounds its digits double each time, and planning never ends."""
+    from threadloom.session import durable, release
+
+    now = spark.createDataFrame([(f"v{i}", f"v{i % 3}") for i in range(9)], "v string, c string")
+    for _ in range(6):
+        old, now = now, durable(now.join(now.select(F.col("v").alias("w"), "c"), "c").groupBy("v").agg(F.min("c").alias("c")))
+    assert now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 30
+    release(old)
+    assert {r.v: r.c for r in now.collect()} == {f"v{i}": f"v{i % 3}" for i in range(9)}
+
+
 def test_pieces_of_a_component_stay_apart(spark):
     """Two cliques without an edge between them are two components, whatever the size limit of components."""
     rows = [(f"{c}{i}", f"{c}{j}", 2) for c in "ab" for i in range(4) for j in range(i + 1, 4)] + [("z0", "z1", 2)]

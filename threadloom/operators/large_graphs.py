@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.spread import spread_join
 from threadloom.operators.traversal import components
-from threadloom.session import durable
+from threadloom.session import durable, release
 
 #: Rows (source, vertex) that one wave of sources may hold; more sources than fit take more waves.
 WAVE_ROWS = 2_000_000_000
@@ -110,8 +110,8 @@ def _dependencies(links: DataFrame, start: DataFrame) -> DataFrame:
 def leiden(edges: DataFrame, rounds: int = 12, levels: int = 12) -> DataFrame:
     """(id, component, community): communities of (component, a, b, weight) by modularity, every one of them connected.
 
-    A level moves vertices to the neighbouring community of the largest gain, a random half of them a round (all at once
-    would swap places for ever), as long as modularity grows. The communities are then refined: each falls into its
+    A level moves vertices to the neighbouring community of the largest gain, in a round only from a community to one of a
+    smaller hash (all at once would swap places for ever), as long as modularity grows. The communities are then refined: each falls into its
     connected pieces, and the pieces become the vertices of the next level, their inner weight a loop. A level that folds
     nothing ends it. Pieces of pieces are connected, so the last vertices are the communities; each bears the smallest id.
     """
@@ -138,47 +138,53 @@ def leiden(edges: DataFrame, rounds: int = 12, levels: int = 12) -> DataFrame:
 
 
 def _moved(edges: DataFrame, rounds: int, level: int) -> DataFrame:
-    """(v, c): the community of each vertex after moves that raise modularity."""
+    """(v, c): the community of each vertex after moves that raise modularity.
+
+    What a round offers each vertex also tells the modularity of the communities it starts from, so a round is one table and
+    one sum over it.
+    """
     links = durable(both_ways(edges))
     total = links.groupBy("component").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
-    strength = links.groupBy("component", F.col("a").alias("v")).agg(F.sum("weight").alias("k"))
-    strength = durable(spread_join(strength, durable(total), "component", links.count()).select("v", "k", "total"))
-    others = durable(links.where("a <> b").groupBy(F.col("a").alias("v"), "b").agg(F.sum("weight").alias("weight")))
+    strength = links.groupBy("component", F.col("a").alias("v")).agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("loop"))
+    strength = durable(spread_join(strength, durable(total), "component", links.count()).select("v", "k", "total", "loop"))
+    own = strength.withColumnRenamed("v", "a").drop("loop")
+    others = durable(links.where("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight")).join(own, "a").withColumnRenamed("a", "v"))
+    loops = strength.agg(F.sum(F.col("loop") / F.col("total"))).first()[0] or 0.0
     comm = strength.select("v", F.col("v").alias("c"), "k", "total")
-    best, kept, still = _quality(edges, comm), comm.select("v", "c"), 0
-    for r in range(rounds):
-        mass = comm.groupBy("c").agg(F.sum("k").alias("mass"))
-        near = others.join(comm.select(F.col("v").alias("b"), "c"), "b").groupBy("v", "c").agg(F.sum("weight").alias("w"))
-        offered = near.unionByName(comm.select("v", "c", F.lit(0.0).alias("w"))).groupBy("v", "c").agg(F.sum("w").alias("w")).join(mass, "c")
-        own = comm.select("v", F.col("c").alias("here"), "k", "total")
-        stays = F.col("c") == F.col("here")
-        gain = F.round(F.col("w") - F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("total"), 9)
-        # of equal gains the vertex's own community, then the smaller name
-        score = F.struct((-gain).alias("loss"), (~stays).alias("moves"), "c")
-        picked = offered.join(own, "v").groupBy("v", "here", "k", "total").agg(F.min(score).alias("s"))
-        turn = F.pmod(F.xxhash64("v", F.lit(level), F.lit(r)), F.lit(2)) == 0
-        moves = F.col("s.moves") & turn
-        comm = durable(picked.select("v", F.when(moves, F.col("s.c")).otherwise(F.col("here")).alias("c"), "k", "total", F.col("s.moves").alias("would")))
-        if not comm.where("would").limit(1).count():
-            found = _quality(edges, comm)
-            return comm.select("v", "c") if found > best else kept
-        comm = comm.drop("would")
-        found = _quality(edges, comm)
-        if found > best + 1e-9:
-            best, kept, still = found, comm.select("v", "c"), 0
+    best, kept, still, before, under = None, comm, 0, None, None
+    for r in range(rounds + 1):
+        offer = durable(_offers(others, comm))
+        # a vertex's links into its own community, and its share of that community's mass
+        shares = F.sum(F.col("inner") / F.col("total") - F.col("k") * F.col("mass") / (F.col("total") * F.col("total")))
+        found, would = offer.agg(shares, F.count_if("s.moves")).first()
+        found = (found or 0.0) + loops
+        if best is None or found > best + 1e-9:
+            dead, best, kept, still, under = under, found, comm, 0, before
         else:
-            still += 1
-            if still == 2:  # both halves have had their turn
-                break
-    return kept
-
-
-def _quality(edges: DataFrame, comm: DataFrame) -> float:
-    """Modularity summed over components."""
-    ca, cb = comm.select(F.col("v").alias("a"), F.col("c").alias("ca"), "total"), comm.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-    inside = edges.join(ca, "a").join(cb, "b").where("ca = cb").select((2 * F.col("weight") / F.col("total")).alias("x"))
-    spread = comm.groupBy("c").agg((F.sum("k") / F.first("total")).alias("x")).select((-F.col("x") * F.col("x")).alias("x"))
-    return inside.unionByName(spread).agg(F.sum("x")).first()[0] or 0.0
+            dead, still = (before if before is not under else None), still + 1
+        if dead is not None:
+            release(dead)
+        if still == 2 or not would or r == rounds:  # both directions have had their turn
+            break
+        draw = lambda c: F.xxhash64(c, F.lit(level), F.lit(r))
+        turn = draw("s.c") < draw("here")  # no two communities swap vertices
+        comm = offer.select("v", F.when(F.col("s.moves") & turn, F.col("s.c")).otherwise(F.col("here")).alias("c"), "k", "total")
+        before = offer
+    return kept.select("v", "c")
+
+
+def _offers(others: DataFrame, comm: DataFrame) -> DataFrame:
+    """(v, k, total, here, inner, mass, s) of links (v, b, weight, k, total) and communities (v, c, k, total): ``s`` is the best
+    community for ``v`` and whether that is a move."""
+    mass = comm.groupBy("c").agg(F.sum("k").alias("mass"))
+    near = others.join(comm.select(F.col("v").alias("b"), "c"), "b").select("v", "c", "weight", "k", "total", F.lit(False).alias("stays"))
+    here = comm.select("v", "c", F.lit(0.0).alias("weight"), "k", "total", F.lit(True).alias("stays"))
+    each = near.unionByName(here).groupBy("v", "c").agg(F.sum("weight").alias("w"), F.first("k").alias("k"), F.first("total").alias("total"), F.max("stays").alias("stays")).join(mass, "c")
+    gain = F.round(F.col("w") - F.col("k") * (F.col("mass") - F.when(F.col("stays"), F.col("k")).otherwise(0.0)) / F.col("total"), 9)
+    # of equal gains the vertex's own community, then the smaller name
+    score = F.struct((-gain).alias("loss"), (~F.col("stays")).alias("moves"), "c")
+    its = lambda x: F.max(F.when(F.col("stays"), F.col(x)))
+    return each.groupBy("v").agg(F.first("k").alias("k"), F.first("total").alias("total"), its("c").alias("here"), its("w").alias("inner"), its("mass").alias("mass"), F.min(score).alias("s"))
 
 
 def _uniform(seed: int, salt: str, step: int) -> Column:

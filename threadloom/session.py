@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "threadloom", **conf: str) -> SparkSession:
@@ -37,14 +40,46 @@ def _goes_at_exit(spark: SparkSession, folder: str) -> None:
         store.deleteOnExit(path)
 
 
-def durable(df, spark: SparkSession | None = None):
-    """Reliable checkpoint in the session's shared folder; cuts lineage between iterations. The application's part of the
-    folder goes when the driver ends, and what is no longer referenced goes before, as ``session`` sets Spark's cleaner."""
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends; no query may run twice by the same plan there."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+#: Where each durable table stands.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def durable(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """``df`` written as Parquet to the session's shared folder and read back; cuts lineage between iterations.
+
+    A checkpoint would keep the size that Spark guesses for ``df``, a product over all joins: its digits double with every
+    round of a loop, until planning takes longer than running. A file has its own size. The folder goes when the driver ends,
+    or before by ``release``.
+    """
     spark = spark or df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    _goes_at_exit(spark, spark.sparkContext.getCheckpointDir())  # Spark gives every application a folder of its own in it
-    return df.checkpoint(eager=True)
+    path = scratch(spark)
+    with tidy(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes what ``durable`` wrote for ``tables``; nothing may read them later, nor what was derived from them lazily."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_PLACES.pop(df))
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def scratch(spark: SparkSession) -> str:
