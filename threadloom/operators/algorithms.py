@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.graph import Graph
-from threadloom.operators.large_graphs import betweenness, leiden, walks_by_steps
+from threadloom.operators import source_blocks
+from threadloom.operators.large_graphs import betweenness, both_ways, leiden, numbered, numbered_links, walks_by_steps
 from threadloom.operators.spread import spread_join
 from threadloom.operators.traversal import components
 from threadloom.session import durable
@@ -97,26 +100,91 @@ def entity_domains(g: Graph, least: int = 2) -> DataFrame:
 def shortest_paths(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     """(source, target, distance) up to ``hops`` over undirected (a, b); one join per hop, visited pairs are not extended."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    seen = sources.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0).alias("distance"))
+    seen = durable(sources.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0).alias("distance")))
     front = seen
     for k in range(1, hops + 1):
         step = front.join(both, front["target"] == both["a"]).select("source", F.col("b").alias("target")).distinct()
-        front = step.join(seen, ["source", "target"], "left_anti").select("source", "target", F.lit(k).alias("distance"))
+        front = durable(step.join(seen, ["source", "target"], "left_anti").select("source", "target", F.lit(k).alias("distance")))
         seen = seen.unionByName(front)
     return seen
 
 
-def entity_bridges(g: Graph, least: int = 2, max_path: int = 4, min_betweenness: float = 0.01) -> DataFrame:
-    """entity_a, entity_b, path_length, betweenness: from every bridge to targets 2..max_path hops away; mean of both ends."""
-    e = cooc_edges(g, least)
-    b = betweenness(e.select("a", "b"))
-    far = shortest_paths(e, b.where(F.col("betweenness") >= min_betweenness), max_path).where("distance >= 2")
+def _scored(g: Graph, least: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) and (id, betweenness)."""
+    e = durable(cooc_edges(g, least).select("a", "b"))
+    return e, durable(betweenness(e))
+
+
+def _held(e: DataFrame, b: DataFrame, starts: DataFrame, held: int):
+    """Links, weights, starts and sizes for ``source_blocks``, and the numbered ids; None if the graph is too large for a task."""
+    links = durable(both_ways(e.where("a <> b")).distinct())
+    ends, vertices = links.count(), b.count()
+    if not ends or ends > held or vertices > source_blocks.HELD_VERTICES:
+        return None
+    ids = numbered(b.join(links.select(F.col("a").alias("id")), "id", "left_semi"))
+    own = ids.join(starts.select("id"), "id", "left_semi").select("v")
+    return (numbered_links(links, ids), ids.select("v", F.lit(1).alias("w")), own, (ends, vertices, vertices)), ids
+
+
+def _bridges(b: DataFrame, far: DataFrame) -> DataFrame:
     x, y = b.select(F.col("id").alias("source"), F.col("betweenness").alias("bs")), b.select(F.col("id").alias("target"), F.col("betweenness").alias("bt"))
     return far.join(x, "source").join(y, "target").select(
         F.col("source").alias("entity_a"), F.col("target").alias("entity_b"), F.col("distance").alias("path_length"), F.round((F.col("bs") + F.col("bt")) / 2, 6).alias("betweenness")
     )
 
 
+def entity_bridges(g: Graph, least: int = 2, max_path: int = 4, min_betweenness: float = 0.01, held: int = source_blocks.HELD_ENDS) -> DataFrame:
+    """entity_a, entity_b, path_length, betweenness: from every bridge to targets 2..max_path hops away; mean of both ends.
+
+    The rows are nearly all pairs of a graph of short ways. Where a task may hold the edges, each row is made once and stored
+    nowhere on its way.
+    """
+    e, b = _scored(g, least)
+    starts = b.where(F.col("betweenness") >= min_betweenness)
+    known = _held(e, b, starts, held)
+    if known is None:
+        return _bridges(b, shortest_paths(e, starts, max_path).where("distance >= 2"))
+    graph, ids = known
+    # names of at most HELD_VERTICES
+    x, y = F.broadcast(ids.select(F.col("v").alias("s"), F.col("id").alias("entity_a"), F.col("betweenness").alias("bs"))), F.broadcast(ids.select("v", F.col("id").alias("entity_b"), F.col("betweenness").alias("bt")))
+    far = source_blocks.distances(*graph, max_path, 2)
+    return far.join(x, "s").join(y, "v").select("entity_a", "entity_b", F.col("distance").alias("path_length"), F.round((F.col("bs") + F.col("bt")) / 2, 6).alias("betweenness"))
+
+
+def count_bridges(g: Graph, least: int = 2, max_path: int = 4, min_betweenness: float = 0.01, held: int = source_blocks.HELD_ENDS) -> DataFrame:
+    """(n): how many rows ``entity_bridges`` has, without making them."""
+    e, b = _scored(g, least)
+    starts = b.where(F.col("betweenness") >= min_betweenness)
+    known = _held(e, b, starts, held)
+    if known is None:
+        return shortest_paths(e, starts, max_path).where("distance >= 2").agg(F.count(F.lit(1)).alias("n"))
+    return source_blocks.counts(*known[0], max_path, 2).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+
+
+def bridges_by_source(g: Graph, least: int = 2, max_path: int = 4, min_betweenness: float = 0.01) -> Callable[[DataFrame], DataFrame]:
+    """The rows of ``entity_bridges`` for given ids (id) alone: betweenness is worked out once, ways on each call."""
+    e, b = _scored(g, least)
+
+    def of(ids: DataFrame) -> DataFrame:
+        starts = b.where(F.col("betweenness") >= min_betweenness).join(ids.select("id"), "id", "left_semi")
+        return _bridges(b, shortest_paths(e, starts, max_path).where("distance >= 2"))
+
+    return of
+
+
+def first_bridges(g: Graph, least: int = 2, max_path: int = 4, min_betweenness: float = 0.01, batch: int = 16) -> DataFrame:
+    """The rows of ``entity_bridges`` for the smallest entity_a that has any; candidates are looked at in their order, a growing batch at a time."""
+    e, b = _scored(g, least)
+    left = b.where(F.col("betweenness") >= min_betweenness).select("id")
+    while True:
+        now = durable(left.orderBy("id").limit(batch))
+        found = durable(_bridges(b, shortest_paths(e, now, max_path).where("distance >= 2")))
+        last, first = now.agg(F.max("id")).first()[0], found.agg(F.min("entity_a")).first()[0]
+        if first is not None or last is None:
+            return found.where(F.col("entity_a") == first)
+        left, batch = left.where(F.col("id") > last), batch * 4
+
+
 def bridges_of(bridges: DataFrame, entity_id: str, top: int = 20) -> DataFrame:
     return bridges.where(F.col("entity_a") == entity_id).orderBy(F.desc("betweenness"), "entity_b").limit(top)
 

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators import source_blocks
 from threadloom.operators.spread import spread_join
 from threadloom.operators.traversal import components
 from threadloom.session import durable, release
@@ -31,13 +32,27 @@ def sources_for(vertices: int, error: float, failure: float = 0.05) -> int:
     return min(vertices, math.ceil(math.log(2 * max(1, vertices) / failure) / (2 * error * error)))
 
 
-def betweenness(edges: DataFrame, sources: int | None = None, wave_rows: int = WAVE_ROWS, peels: int = 16) -> DataFrame:
-    """(id, betweenness), un-normalised, by joins at every size.
+def numbered(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with a number ``v`` from 0, in the order of their ids."""
+    from threadloom.plans.ranking import global_rank
+
+    return durable(global_rank(nodes, ["id"]).withColumn("v", F.col("rank") - 1).drop("rank"))
+
+
+def numbered_links(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """links (a, b) by the numbers of ``ids`` (id, v)."""
+    va, vb = ids.select(F.col("id").alias("a"), F.col("v").alias("va")), ids.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+    return durable(links.select("a", "b").join(va, "a").join(vb, "b").select(F.col("va").alias("a"), F.col("vb").alias("b")))
+
+
+def betweenness(edges: DataFrame, sources: int | None = None, wave_rows: int = WAVE_ROWS, peels: int = 16, held: int = source_blocks.HELD_ENDS) -> DataFrame:
+    """(id, betweenness), un-normalised, exact at every size.
 
     Leaves are cut off round by round (``peels`` at most) and their shares written down in closed form, as the only way from
     a leaf is its neighbour; a vertex then stands for what hung on it. In what is left, counts of shortest paths spread
-    level by level from a wave of sources at a time, and dependencies flow back. Exact; a wave holds ``wave_rows`` rows of
-    state at most, so all sources take vertices^2 / wave_rows waves of what the leaves leave over. ``sources``: only that
+    level by level from every source, and dependencies flow back: where a task may hold the edges (``held`` ends at most)
+    blocks of sources are dealt over the tasks (``source_blocks``), so no state of (source, vertex) is ever stored; beyond,
+    by joins from a wave of sources at a time, which holds ``wave_rows`` rows of state at most. ``sources``: only that
     many (smallest hashes), scaled; ``sources_for`` gives their number for an error.
     """
     links = durable(both_ways(edges.select("a", "b").where("a <> b")).distinct())
@@ -68,7 +83,15 @@ def betweenness(edges: DataFrame, sources: int | None = None, wave_rows: int = W
     m = core.count()
     chosen = core if not sources else core.orderBy(F.xxhash64("id"), "id").limit(sources)
     asked = min(m, sources or m)
-    waves, total = max(1, -(-asked * m // wave_rows)), None
+    ends = links.count()
+    if m and ends <= held and m <= source_blocks.HELD_VERTICES:
+        ids = numbered(core)
+        start = ids if not sources else ids.orderBy(F.xxhash64("id"), "id").limit(sources)
+        flow = source_blocks.dependencies(numbered_links(links, ids), ids.select("v", F.col("rb").alias("w")), start.select("v"), (ends, m, asked))
+        total = durable(flow.join(ids, "v").select("id", "x"))
+        waves = 0
+    else:
+        waves, total = max(1, -(-asked * m // wave_rows)), None
     for k in range(waves if m else 0):
         part = durable(_dependencies(links, chosen.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == k)))
         total = part if total is None else durable(total.unionByName(part).groupBy("id").agg(F.sum("x").alias("x")))

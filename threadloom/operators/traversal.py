@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,22 +193,24 @@ def conversation_order(g: Graph, conv_id: str) -> DataFrame:
     return placed.withColumn("place", F.row_number().over(Window.orderBy("level", "msg_id")))  # one conversation
 
 
-def traverse(similar: DataFrame, bridges: DataFrame, start: str, hops: int = 2, top: int = 5) -> DataFrame:
+def traverse(similar: DataFrame, bridges: DataFrame | Callable[[DataFrame], DataFrame], start: str, hops: int = 2, top: int = 5) -> DataFrame:
     """(entity_id, hop, via): breadth first over the best ``top`` similar nodes and bridges of each entity.
 
-    similar: (source, target, score); bridges: (entity_a, entity_b, betweenness).
+    similar: (source, target, score); bridges: (entity_a, entity_b, betweenness), or a function that gives those rows for
+    ids (id), so that only the bridges of entities on the way are worked out.
     """
+    of = bridges if callable(bridges) else lambda ids: bridges.join(ids.withColumnRenamed("id", "entity_a"), "entity_a", "left_semi")
     best = lambda df, key, score: df.withColumn(
         "_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), "target"))
     ).where(F.col("_k") <= top).drop("_k")
-    s = best(similar, "source", "score").select("source", "target", F.lit("similar").alias("via"))
-    b = best(bridges.select(F.col("entity_a").alias("source"), F.col("entity_b").alias("target"), "betweenness"), "source", "betweenness")
-    edges = s.unionByName(b.select("source", "target", F.lit("bridge").alias("via")))
-    edges = durable(edges.groupBy("source", "target").agg(F.min("via").alias("via")))
-    seen = edges.sparkSession.createDataFrame([(start, 0, "start")], "entity_id string, hop int, via string")
+    seen = durable(similar.sparkSession.createDataFrame([(start, 0, "start")], "entity_id string, hop int, via string"))
     front = seen
     for k in range(1, hops + 1):
-        nxt = edges.join(front.select(F.col("entity_id").alias("source")), "source").groupBy(F.col("target").alias("entity_id")).agg(F.min("via").alias("via"))
+        ids = front.select(F.col("entity_id").alias("id"))
+        s = best(similar.join(ids.withColumnRenamed("id", "source"), "source", "left_semi"), "source", "score").select("source", "target", F.lit("similar").alias("via"))
+        b = best(of(ids).select(F.col("entity_a").alias("source"), F.col("entity_b").alias("target"), "betweenness"), "source", "betweenness")
+        edges = s.unionByName(b.select("source", "target", F.lit("bridge").alias("via")))
+        nxt = edges.groupBy(F.col("target").alias("entity_id")).agg(F.min("via").alias("via"))
         front = durable(nxt.join(seen, "entity_id", "left_anti").select("entity_id", F.lit(k).alias("hop"), "via"))
         seen = seen.unionByName(front)
     return seen.where("hop > 0")
