@@ -98,12 +98,12 @@ def _prune(g) -> DataFrame:
 
 @graph_query("gr_traverse")
 def _traverse(g) -> DataFrame:
-    from threadloom.operators.algorithms import entity_bridges
+    from threadloom.operators.algorithms import bridges_by_source
 
     near = g.cooc.select(F.col("entity_a").alias("source"), F.col("entity_b").alias("target"), F.col("weight").cast("double").alias("score"))
     near = near.unionByName(near.select(F.col("target").alias("source"), F.col("source").alias("target"), "score"))
     start = g.cooc.orderBy(F.desc("weight"), "entity_a").first()
-    return V.traverse(near, entity_bridges(g), start["entity_a"] if start else "")
+    return V.traverse(near, bridges_by_source(g), start["entity_a"] if start else "")
 
 
 # pairs of graphs
