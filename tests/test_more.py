@@ -45,6 +45,29 @@ def test_jaccard_with_threshold(spark, least):
     assert got == want
 
 
+def test_candidates_are_not_gathered(spark, monkeypatch):
+    """Features in many sets are dealt by parts, each pair is made once, and nothing is grouped above the join."""
+    monkeypatch.setattr(R, "_TOGETHER", 4)
+    rng = np.random.default_rng(5)
+    sets = {f"k{i:02d}": {f"f{int(x)}" for x in rng.integers(0, 12, size=6)} for i in range(40)}
+    found = R._similar_sets(spark.createDataFrame([(k, f) for k, fs in sets.items() for f in fs], "k string, f string"), "k", 0.2)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.2)
+    assert sorted((r.a, r.b, r.inter) for r in found.collect()) == want
+
+
+def test_best_conversations_by_falling_bounds(spark):
+    """The best pairs are the same whether a high bound finds enough of them or not."""
+    from tests.test_graph import graph
+
+    rng = np.random.default_rng(3)
+    held = {f"m{i}": sorted({int(x) for x in rng.integers(0, 9, size=4)}) for i in range(12)}
+    g = graph(spark, [], mentions=[(m, f"e{x}") for m, xs in held.items() for x in xs], contains=[(f"c{m[1:]}", m) for m in held])
+    every = [tuple(r) for r in R.conversation_similarity(g, 0.02, 66, True).collect()]
+    for top in (1, 30):
+        assert [tuple(r) for r in R.conversation_similarity(g, 0.02, top, True).collect()] == every[:top]
+
+
 @pytest.mark.parametrize(
     "text, seconds",
     [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.graph import Graph
 from threadloom.operators.text import name_score, query_terms
+from threadloom.plans.ranking import global_rank
 from threadloom.session import durable
 
 
@@ -176,9 +177,8 @@ def _features(g: Graph) -> tuple[DataFrame, DataFrame]:
 def _jaccard_pairs(sets: DataFrame, key: str, least: float = 0.0) -> DataFrame:
     """a < b with a shared feature: inter and Jaccard of ``least`` or more; an inverted index, not all pairs.
 
-    With a threshold only prefixes are indexed: two sets that alike share one of their rarest n - ceil(least * n) + 1
-    features, and their sizes differ by no more than the threshold allows. A feature that nearly every set holds is then
-    met only where a set has little else.
+    With a threshold only prefixes are indexed (``_similar_sets``). A feature that nearly every set holds is then met only
+    where a set has little else.
     """
     if least > 0:
         return _similar_sets(sets, key, least - 1e-6)  # callers round
@@ -189,18 +189,54 @@ def _jaccard_pairs(sets: DataFrame, key: str, least: float = 0.0) -> DataFrame:
     return inter.join(na, "a").join(nb, "b").select("a", "b", "inter", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jaccard"))
 
 
+#: Rows of one feature that meet in one task; a feature of more is dealt over several, by pairs of its parts.
+_TOGETHER = 4096
+
+
 def _similar_sets(sets: DataFrame, key: str, least: float) -> DataFrame:
-    rare = sets.groupBy("f").agg(_count("df"))
-    held = sets.join(rare, "f").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "f"))).alias("s"))  # one set is one row
-    rows = durable(held.select(key, F.transform("s", lambda x: x["f"]).alias("fs"), F.size("s").alias("n")))
-    first = rows.select(key, "n", F.explode(F.slice("fs", F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("f"))
-    a = first.select(F.col(key).alias("a"), F.col("n").alias("na"), "f")
-    b = first.select(F.col(key).alias("b"), F.col("n").alias("nb"), "f")
-    near = (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
-    pairs = a.join(b, "f").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    both = pairs.join(rows.select(F.col(key).alias("a"), F.col("fs").alias("fa")), "a").join(rows.select(F.col(key).alias("b"), F.col("fs").alias("fb")), "b")
-    inter = both.select("a", "b", F.size(F.array_intersect("fa", "fb")).cast("bigint").alias("inter"), F.size("fa").alias("na"), F.size("fb").alias("nb"))
-    return inter.select("a", "b", "inter", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jaccard")).where(F.col("jaccard") >= least)
+    """a < b, inter, jaccard of ``least`` (over 0) or more; each pair is made once, where its rarest common feature lies.
+
+    Features are numbered from rare to frequent. Two sets of Jaccard j share at least j / (1 + j) * (na + nb), so they meet at
+    a place in both lists behind which so many can still follow. Rows carry their whole set and a bitmap of it: bits of one
+    that the other lacks bound what they share, and what passes is counted there, so candidates are never shuffled.
+    """
+    sets = durable(sets.select(key, "f"))
+    rank = global_rank(sets.groupBy("f").agg(_count("df")), ["df", "f"])
+    coded = sets.join(rank.select("f", F.col("rank").cast("int").alias("r")), "f")
+    lists = durable(coded.groupBy(key).agg(F.sort_array(F.collect_list("r")).alias("fs")).withColumn("n", F.size("fs")))  # one set is one row
+    mean, total = lists.agg(F.coalesce(F.avg("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    words = [f"w{k}" for k in range(min(8, max(4, 1 << int(mean / 2.5).bit_length())))]
+
+    def word(k: int) -> Column:
+        bit = lambda r: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.floor(r / len(words)), F.lit(64)).cast("int"))
+        return F.aggregate("fs", F.lit(0).cast("bigint"), lambda acc, r: F.when(r % len(words) == k, acc.bitwiseOR(bit(r))).otherwise(acc)).alias(words[k])
+
+    rows = lists.select(key, "n", "fs", *[word(k) for k in range(len(words))])
+    shown = F.posexplode(F.slice("fs", F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("at", "f")
+    # of features that more rows have than this there are fewer than 2^14
+    crowd = max(_TOGETHER, -(-total >> 14))
+    hot = durable(lists.select("n", "fs").select(shown).groupBy("f").agg(_count("rows")).where(F.col("rows") > crowd))
+    parts = F.coalesce(F.ceil(F.col("rows") / F.lit(_TOGETHER)), F.lit(1)).cast("int")
+    placed = rows.select("*", shown).join(F.broadcast(hot), "f", "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+
+    def side(df: DataFrame, e: str) -> DataFrame:
+        return df.select("f", "p", "q", F.col(key).alias(e), *[F.col(c).alias(f"{e}_{c}") for c in ("n", "at", "fs", *words)])
+
+    a = side(placed.withColumn("p", F.col("own")).withColumn("q", every), "a")
+    b = side(placed.withColumn("q", F.col("own")).withColumn("p", every), "b")
+    need = F.ceil(F.lit(least / (1 + least)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    follow = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    near = (F.col("a_n") >= F.col("b_n") * least) & (F.col("b_n") >= F.col("a_n") * least) & (follow >= need)
+
+    lacks = [F.bit_count(F.col(f"a_{w}").bitwiseAND(F.bitwise_not(F.col(f"b_{w}")))) for w in words]
+    alike = F.col("a_n") - sum(lacks[1:], lacks[0]) >= need
+    common = F.array_intersect("a_fs", "b_fs")
+    # in this order: most candidates share too little, so their common features are looked for once
+    enough = F.size(common) >= need
+    met = a.join(b, ["f", "p", "q"]).where((F.col("a") < F.col("b")) & near & alike & enough & (F.get(common, F.lit(0)) == F.col("f")))
+    inter = met.select("a", "b", F.size(common).cast("bigint").alias("inter"), "a_n", "b_n")
+    return inter.select("a", "b", "inter", (F.col("inter") / (F.col("a_n") + F.col("b_n") - F.col("inter"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def _every_pair(ents: DataFrame) -> DataFrame:
@@ -239,13 +275,21 @@ def conversation_similarity(g: Graph, least: float = 0.3, top: int | None = None
     """a, b, score: Jaccard of entity sets, or 0.7 of it and 0.3 of the keywords'. ``least`` <= 0 adds disjoint pairs with score 0."""
     ents, keys = _features(g)
     if keywords:
+        ents, keys = durable(ents), durable(keys)
+        for bound in (0.4, 0.1):
+            # if so many pairs reach a higher bound, the best are among them, and few others are looked at
+            if not top or bound <= least:
+                break
+            found = durable(_weighted_pairs(ents, keys, bound).withColumn("score", F.round("score", 6)).where(F.col("score") >= bound))
+            if found.count() >= top:
+                return found.orderBy(F.desc("score"), "a", "b").limit(top)
         pairs = _weighted_pairs(ents, keys, least)
     else:
         pairs = _jaccard_pairs(ents, "conv_id", least).select("a", "b", F.col("jaccard").alias("score"))
         if least <= 0:
             pairs = _every_pair(ents).join(pairs, ["a", "b"], "left").fillna(0.0, ["score"])
-    out = pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= least).orderBy(F.desc("score"), "a", "b")
-    return out.limit(top) if top else out
+    out = pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
+    return out.orderBy(F.desc("score"), "a", "b").limit(top) if top else out
 
 
 def similar_conversations(g: Graph, conv_id: str, top: int = 10, least: float = 0.0) -> DataFrame:
