@@ -244,7 +244,7 @@ graph_query(
 )(
     lambda g: R.conversation_topics(g).agg(F.count(F.lit(1)).alias("n")).select(F.lit("HAS_TOPIC").alias("edge"), "n")
     .unionByName(R.cross_links(g).agg(F.count(F.lit(1)).alias("n")).select(F.lit("SIMILAR_TO").alias("edge"), "n"))
-    .unionByName(A.entity_bridges(g).agg(F.count(F.lit(1)).alias("n")).select(F.lit("BRIDGES").alias("edge"), "n"))
+    .unionByName(A.count_bridges(g).select(F.lit("BRIDGES").alias("edge"), "n"))
 )
 def _parts(s: SparkSession, d: str) -> tuple[Graph, Graph]:
     """Two graphs that share every third conversation and together hold all."""
