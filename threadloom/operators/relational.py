@@ -189,6 +189,8 @@ def _jaccard_pairs(sets: DataFrame, key: str, least: float = 0.0) -> DataFrame:
     return inter.join(na, "a").join(nb, "b").select("a", "b", "inter", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jaccard"))
 
 
+#: Rows of conversations' entities from which the best pairs are first looked for under higher bounds, as each takes joins of its own.
+_MANY = 1 << 18
 #: Rows of one feature that meet in one task; a feature of more is dealt over several, by pairs of its parts.
 _TOGETHER = 4096
 
@@ -276,7 +278,7 @@ def conversation_similarity(g: Graph, least: float = 0.3, top: int | None = None
     ents, keys = _features(g)
     if keywords:
         ents, keys = durable(ents), durable(keys)
-        for bound in (0.4, 0.1):
+        for bound in (0.4, 0.1) if ents.count() > _MANY else ():
             # if so many pairs reach a higher bound, the best are among them, and few others are looked at
             if not top or bound <= least:
                 break
